@@ -24,6 +24,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import textbuf as T
 
@@ -247,7 +248,7 @@ def _texts(cut, raw: list[bytes]) -> list[str]:
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the column ``ids`` (array<int>) in place of the text column; an existing column of that name is replaced."""
     rest = [c for c in docs.columns if c not in (column, ids)]
-    schema = docs.select(rest).schema.add(ids, "array<int>")
+    schema = docs.select(rest).schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches):
         enc = encoder(path, pattern)
