@@ -77,11 +77,9 @@ def breakdown(df: DataFrame, dims: list[str], value: str) -> DataFrame:
 
 
 def frequencies(df: DataFrame, field: str) -> DataFrame:
-    """value, n, share, rank of each value (rank by n, then value)."""
+    """value, n, share of each value."""
     n = df.groupBy(F.col(field).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("_all"))
-    top = Window.orderBy(F.desc("n"), F.asc_nulls_last("value"))  # a row for each distinct value
-    return n.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_all")).alias("share"), F.row_number().over(top).alias("rank"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("_all")))).select("value", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
 def entropy(df: DataFrame, field: str) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _micros(ts: Column) -> Column:
+    """Microseconds of either kind of timestamp."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def lag_lead(df: DataFrame, by: list[str], order: list, value: str, lags=(1,), leads=()) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumns({f"{value}_lag_{k}": F.lag(value, k).over(w) for k in lags} | {f"{value}_lead_{k}": F.lead(value, k).over(w) for k in leads})
@@ -20,7 +27,7 @@ def rolling(df: DataFrame, by: list[str], order: list, value: str, size: int, st
 
 def trailing(df: DataFrame, by: list[str], ts: str, seconds: int, aggs: dict[str, Column]) -> DataFrame:
     """Aggregates over rows of the same key at most ``seconds`` before, itself and its ties included."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*by).orderBy(_micros(F.col(ts))).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumns({name: c.over(w) for name, c in aggs.items()})
 
 
@@ -68,29 +75,26 @@ def resample(df: DataFrame, by: list[str], ts: str, unit: str, aggs: dict[str, C
 def sessions(df: DataFrame, by: str, ts: str, gap_seconds: float, ties: list) -> DataFrame:
     """df with ``session`` (1, 2, ... per entity): a new one where the time since the row before is more than the gap."""
     w = Window.partitionBy(by).orderBy(ts, *ties)
-    new = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) > F.lit(int(gap_seconds * 1e6))
+    new = (_micros(F.col(ts)) - _micros(F.lag(ts).over(w))) > F.lit(int(gap_seconds * 1e6))
     return df.withColumn("session", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def funnel(df: DataFrame, by: str, ts: str, event: str, steps: list[str], within_seconds: int) -> DataFrame:
+def funnel(df: DataFrame, by: str, ts: str, event: str, steps: list[str], within_seconds: int, tie: str) -> DataFrame:
     """step, name, users, drop_off: users whose events reach each step in order, greedily, each within the window of the first step's event.
 
-    Every step is one aggregate over the user's rows, at or after the time of the
-    step before; rows are joined with one row per user only.
+    A step is the least (time, tie) after the step before: rows meet one row per
+    user and are pre-aggregated, so no user's events are gathered anywhere.
     """
-    events = df.where(F.col(event).isin(steps)).select(F.col(by).alias("u"), F.unix_micros(ts).alias("t"), F.col(event).alias("e"))
-    state = F.array_sort(F.collect_list(F.struct("t", F.array_position(F.array(*map(F.lit, steps)), F.col("e")).alias("k"))))
-    limit = within_seconds * 1_000_000
-
-    def walk(acc, x):
-        ok = (x["k"] == acc["n"] + 1) & ((acc["n"] == 0) | (x["t"] - acc["t0"] <= limit))
-        return F.struct(F.when(ok, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.when(ok & (acc["n"] == 0), x["t"]).otherwise(acc["t0"]).alias("t0"))
-
-    reached = F.aggregate(state, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("t0")), walk, lambda a: a["n"])
-    users = events.groupBy("u").agg(reached.alias("n"))
-    counts = users.agg(*(F.count_if(F.col("n") >= k + 1).alias(f"s{k}") for k in range(len(steps))))
-    rows = F.array(*(F.struct(F.lit(k + 1).alias("step"), F.lit(s).alias("name"), F.col(f"s{k}").alias("users"), (F.lit(0.0) if not k else F.coalesce(1 - F.try_divide(F.col(f"s{k}"), F.col(f"s{k - 1}")), F.lit(0.0))).alias("drop_off")) for k, s in enumerate(steps)))
-    return counts.select(F.inline(rows))
+    at = F.struct(_micros(F.col(ts)).alias("t"), F.col(tie).alias("k"))
+    rows = df.where(F.col(event).isin(steps)).select(F.col(by).alias("u"), at.alias("at"), F.col(event).alias("e"))
+    reached = rows.where(F.col("e") == steps[0]).groupBy("u").agg(F.min("at").alias("p0"))
+    for k, name in enumerate(steps[1:], 1):
+        next_ = rows.where(F.col("e") == name).join(reached.select("u", "p0", F.col(f"p{k - 1}").alias("was")), "u")
+        ok = (F.col("at") > F.col("was")) & (F.col("at.t") - F.col("p0.t") <= within_seconds * 1_000_000)
+        reached = reached.join(next_.where(ok).groupBy("u").agg(F.min("at").alias(f"p{k}")), "u", "left")
+    counts = reached.agg(*(F.count(f"p{k}").alias(f"s{k}") for k in range(len(steps))))
+    table = F.array(*(F.struct(F.lit(k + 1).alias("step"), F.lit(s).alias("name"), F.col(f"s{k}").alias("users"), (F.lit(0.0) if not k else F.coalesce(1 - F.try_divide(F.col(f"s{k}"), F.col(f"s{k - 1}")), F.lit(0.0))).alias("drop_off")) for k, s in enumerate(steps)))
+    return counts.select(F.inline(table))
 
 
 def cohort_retention(df: DataFrame, by: str, ts: str, periods: int, unit: str = "week") -> DataFrame:
@@ -105,18 +109,20 @@ def cohort_retention(df: DataFrame, by: str, ts: str, periods: int, unit: str =
 
 
 def ema(df: DataFrame, by: list[str], order: list[str], value: str, span: int) -> DataFrame:
-    """by, i, value, sma, ema: the mean of the last ``span`` values, and the exponential mean seeded with the first full one (alpha 2 / (span + 1))."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value].cast("double"))
-    alpha = 2 / (span + 1)
-    start = F.aggregate(F.slice("v", 1, span), F.lit(0.0), lambda a, x: a + x) / span
-
-    def step(acc, x):
-        return F.concat(acc, F.array(F.lit(alpha) * x + F.lit(1 - alpha) * F.element_at(acc, -1)))
+    """by, i, value, sma, ema of the non-null values: the mean of the last ``span`` values, and the exponential mean seeded with the first full one (alpha 2 / (span + 1)).
 
-    smooth = F.when(F.size("v") >= span, F.concat(F.array_repeat(F.lit(None).cast("double"), span - 1), F.aggregate(F.slice(F.col("v"), F.lit(span + 1), F.greatest(F.lit(0), F.size("v") - span)), F.array(start), step))).otherwise(F.array_repeat(F.lit(None).cast("double"), F.size("v")))
-    rows = df.groupBy(*by).agg(seq.alias("v")).select(*by, F.posexplode(F.arrays_zip(F.col("v").alias("value"), smooth.alias("ema"))).alias("i", "x")).select(*by, "i", "x.value", "x.ema")
-    w = Window.partitionBy(*by).orderBy("i").rowsBetween(1 - span, 0)
-    return rows.withColumn("sma", F.when(F.count("value").over(w) >= span, F.avg("value").over(w)))
+    Values so far back that their weight is below double precision are left out
+    of the fold, so a row needs a bounded frame, however long the series is.
+    """
+    alpha = 2 / (span + 1)
+    frame = math.ceil(39 / -math.log(1 - alpha)) if span > 1 else 1
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = df.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("value"))
+    rows = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("sma", F.when(F.col("i") >= span - 1, F.avg("value").over(w.rowsBetween(1 - span, 0))))
+    rows = rows.withColumn("_v", F.collect_list("value").over(w.rowsBetween(1 - frame, 0))).withColumn("_s", F.first("sma", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.least(F.col("i") - (span - 1), F.lit(frame))
+    fold = F.aggregate(F.slice(F.col("_v"), F.size("_v") - n + 1, n), F.col("_s"), lambda acc, x: alpha * x + (1 - alpha) * acc)
+    return rows.withColumn("ema", F.when(F.col("i") >= span - 1, fold)).drop("_v", "_s", *(o for o in order if o not in by))
 
 
 def trend(df: DataFrame, by: list[str], order: list, value: str) -> DataFrame:

@@ -89,7 +89,7 @@ def dimension_breakdown(spark, sf_dir):
 
 @query("""
 WITH n AS (SELECT event_type::VARCHAR AS value, count(*) AS n FROM events GROUP BY 1)
-SELECT value, n, n / (SELECT sum(n) FROM n) AS share, row_number() OVER (ORDER BY n DESC, value)::INTEGER AS rank FROM n""")
+SELECT value, n, n / (SELECT sum(n) FROM n) AS share FROM n""")
 def value_frequencies(spark, sf_dir):
     return A.frequencies(table(spark, sf_dir, "events"), "event_type")
 

@@ -1,3 +1,3 @@
 """All query modules; importing this registers them."""
 
-from . import relational  # noqa: F401
+from . import analytics, relational  # noqa: F401
