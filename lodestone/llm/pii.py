@@ -155,7 +155,8 @@ def disclosing(based: DataFrame) -> DataFrame:
         return none
     every = based.where(text.isNotNull())
     total = every.agg(F.sum(F.size(F.split(text, r"[^\p{L}\p{N}]+")))).first()[0]
-    counted = every.select(F.explode(words(text)).alias("term")).join(small(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
+    # counted before the join, which then sees each word once (a semi-join would be moved below the counting again)
+    counted = every.select(F.explode(words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("nt")).join(small(terms, n_terms), "term")
     n_pairs = pair.count()
     pmi = F.log(F.col("nte") * F.lit(float(total)) / (F.col("nt") * F.col("ne")))
     ratio = pmi / F.greatest(F.lit(1e-9), F.log(F.lit(float(total)) / F.col("ne")))
