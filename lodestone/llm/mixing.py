@@ -12,7 +12,8 @@ Defined cases: null source is a source of its own; a source without a target (or
 with weight 0 or null) gets no copies when targets are given; null doc_id is
 hashed by the text's hash instead; rows that repeat an id repeat alike; null and
 empty texts count as any other row; an empty table gives no rows; the columns
-``copy`` and ``shuffle_key`` of the input, if any, are replaced.
+``copy`` and ``shuffle_key`` of the input, if any, are replaced (work columns start
+with ``_mix_``).
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, power: float
     if targets is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
-        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "of string, w double")
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "_mix_of string, w double")
         weighed = counts.join(small(given, len(targets)), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "n", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("w"))
     total = weighed.agg(F.sum("w"), F.sum("n")).first()
     return weighed.select("source", (F.lit(float(size)) * F.col("w") / F.lit(float(total[0] or 1)) * F.lit(float(total[1] or 0)) / F.col("n")).alias("rate"))
@@ -59,13 +60,13 @@ def replicate(docs: DataFrame, targets: dict[str, float] | None = None, power: f
     docs = docs.drop("copy", "shuffle_key")
     cols = docs.columns
     rate = written(rates(docs, targets, power, size), "mix-rates")
-    table = small(rate.select(F.col("source").alias("_of"), F.col("rate").alias("_rate")), rate.count())
+    table = small(rate.select(F.col("source").alias("_mix_of"), F.col("rate").alias("_mix_rate")), rate.count())
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5("text")), F.lit("null"))
-    parts = F.ceil(F.col("_rate") / F.lit(PART))
+    parts = F.ceil(F.col("_mix_rate") / F.lit(PART))
     # the sum over the parts; most means have one
-    count = F.aggregate(F.sequence(F.lit(1).cast("long"), parts), F.lit(0), lambda a, k: a + poisson(F.col("_rate") / parts, unit_hash(F.lit(seed), ident, k)))
-    many = docs.join(table, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_n", F.when(F.col("_rate") > 0, count).otherwise(0)).where("_n > 0")
-    copies = many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))))
+    count = F.aggregate(F.sequence(F.lit(1).cast("long"), parts), F.lit(0), lambda a, k: a + poisson(F.col("_mix_rate") / parts, unit_hash(F.lit(seed), ident, k)))
+    many = docs.join(table, F.col("source").eqNullSafe(F.col("_mix_of"))).withColumn("_mix_n", F.when(F.col("_mix_rate") > 0, count).otherwise(0)).where("_mix_n > 0")
+    copies = many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))))
     return copies.select(*cols, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
