@@ -28,7 +28,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +84,13 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 def file_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
     """One file of documents with these numbers of ids, in this order."""
-    blocks = [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
-    head = np.array([bits, BLOCK, len(doc_ids), len(ids), len(blocks)], np.uint64).tobytes()
+    payload, n_blocks = pack(ids, bits), -(-len(ids) // BLOCK)  # a full block ends on a byte, so all are packed at once
+    head = np.array([bits, BLOCK, len(doc_ids), len(ids), n_blocks], np.uint64).tobytes()
     null = np.array([d is None for d in doc_ids], np.uint8)
     docs = np.array([NO_ID if d is None else d for d in doc_ids], np.int64)
     first = np.concatenate(([0], np.cumsum(counts))).astype(np.uint64)
-    at = np.array([0, *accumulate(map(len, blocks))], np.uint64)
-    return b"".join((MAGIC, head, docs.tobytes(), null.tobytes().ljust(-(-len(null) // 8) * 8, b"\0"), first.tobytes(), at.tobytes(), *blocks))
+    at = np.minimum(np.arange(n_blocks + 1) * (BLOCK * bits // 8), len(payload)).astype(np.uint64)
+    return b"".join((MAGIC, head, docs.tobytes(), null.tobytes().ljust(-(-len(null) // 8) * 8, b"\0"), first.tobytes(), at.tobytes(), payload))
 
 
 class File:
@@ -117,9 +116,8 @@ class File:
         if stop <= start:
             return np.zeros(0, np.uint32)
         lo, hi = start // self.block, -(-stop // self.block)
-        data = memoryview(self.data)[self.payload :]
-        got = [unpack(data[self.offsets[b] : self.offsets[b + 1]], self.bits, min(self.block, self.n_ids - b * self.block)) for b in range(lo, hi)]
-        return np.concatenate(got)[start - lo * self.block : stop - lo * self.block]
+        data = memoryview(self.data)[self.payload + self.offsets[lo] : self.payload + self.offsets[hi]]
+        return unpack(data, self.bits, min(hi * self.block, self.n_ids) - lo * self.block)[start - lo * self.block : stop - lo * self.block]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.first[k]), int(self.first[k + 1]))
@@ -154,9 +152,10 @@ class WordEncoder:
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
             ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            end = np.flatnonzero(self.ends[ids]) + 1
+            end = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(end) == len(part):
-                self.known.update(zip(part, (x.tobytes() for x in np.split(ids, end[:-1])), strict=True))
+                raw = ids.tobytes()
+                self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *end], end, strict=False)), strict=True))
         rest = [w for w in words if w not in self.known]
         self.known.update(zip(rest, self._library(rest), strict=True))
 
@@ -186,12 +185,17 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _plain(bits: int) -> type:
+    """What an id is between the tasks: whole bytes, since documents change their neighbours in the shuffle."""
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 def _encode(path: str, end: int, bits: int):
     def run(batches):
-        enc, tail = word_encoder(path), np.array([end], np.uint32).tobytes()
+        enc, tail, kind = word_encoder(path), np.array([end], np.uint32).tobytes(), _plain(bits)
         for cut, raw in T.pieces(batches):
-            got = [np.frombuffer(x + tail, np.uint32) for x in enc.encode([t.decode("utf-8", "replace") for t in raw])]
-            yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([pack(x, bits) for x in got], pa.binary())], names=["doc_id", "n", "ids"])
+            got = [np.frombuffer(x + tail, np.uint32).astype(kind) for x in enc.encode([t.decode("utf-8", "replace") for t in raw])]
+            yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "n", "ids"])
 
     return run
 
@@ -204,7 +208,7 @@ def _put(folder: str, bits: int):
 
         t = pa.Table.from_batches(rows)
         n, docs = t["n"].to_numpy(), t["doc_id"].to_pylist()
-        ids = np.concatenate([unpack(x.as_buffer(), bits, int(k)) for x, k in zip((x for c in t["ids"].chunks for x in c), n, strict=True)])
+        ids = np.frombuffer(b"".join(t["ids"].to_pylist()), _plain(bits))
         to, base = fs.FileSystem.from_uri(folder)
         name = f"{uuid.uuid4().hex}.tok"
         to.create_dir(base, recursive=True)
