@@ -50,7 +50,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, power: float
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "_mix_of string, w double")
-        weighed = counts.join(small(given, len(targets)), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "n", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("w"))
+        weighed = counts.join(small(given, len(targets)), F.col("source").eqNullSafe(F.col("_mix_of")), "left").select("source", "n", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("w"))
     total = weighed.agg(F.sum("w"), F.sum("n")).first()
     return weighed.select("source", (F.lit(float(size)) * F.col("w") / F.lit(float(total[0] or 1)) * F.lit(float(total[1] or 0)) / F.col("n")).alias("rate"))
 
