@@ -40,9 +40,9 @@ from .shared import shared_dir, small, written
 MAGIC = b"TOKPACK1"
 BLOCK = 4096  # ids, a multiple of 64
 #: Characters of text for each file, in the mean; a file is read as one row.
-FILE_CHARS = 16_000_000
+FILE_CHARS = 8_000_000
 #: Words and their ids that a worker keeps between batches.
-CACHE = 600_000
+CACHE = 400_000
 NO_ID = -(2**63)
 
 
@@ -84,7 +84,8 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 def file_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
     """One file of documents with these numbers of ids, in this order."""
-    payload, n_blocks = pack(ids, bits), -(-len(ids) // BLOCK)  # a full block ends on a byte, so all are packed at once
+    n_blocks, step = -(-len(ids) // BLOCK), 32 * BLOCK  # a full block ends on a byte, so many are packed at once
+    payload = b"".join(pack(ids[i : i + step], bits) for i in range(0, len(ids), step))
     head = np.array([bits, BLOCK, len(doc_ids), len(ids), n_blocks], np.uint64).tobytes()
     null = np.array([d is None for d in doc_ids], np.uint8)
     docs = np.array([NO_ID if d is None else d for d in doc_ids], np.int64)
@@ -269,8 +270,11 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
         for b in batches:
             for start, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 f = File(data.as_buffer().to_pybytes())
-                ids = f.ids(0, f.n_ids)
-                crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(f.first[:-1], f.first[1:], strict=True)]
+                crc = []
+                for lo in range(0, len(f.doc_ids), 64):  # some documents at a time
+                    hi = min(lo + 64, len(f.doc_ids))
+                    ids, first = f.ids(int(f.first[lo]), int(f.first[hi])), f.first[lo : hi + 1] - f.first[lo]
+                    crc += [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, mask=f.null), pa.array(start + f.first[:-1]), pa.array(np.diff(f.first)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
