@@ -12,8 +12,11 @@ from . import textbuf as T
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int) -> list[tuple[int, str, object]]:
     """Up to ``per_class`` rows (doc_id, text, label) of each class, the ones first by a hash of doc_id; rows with null id, text or label are no candidates, an id with several labels counts with the smallest."""
     cand = labels.select("doc_id", F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & keep).groupBy("doc_id").agg(F.min("y").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id")
-    ids = cand.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).drop("r")
+    # rows whose hash lies clearly above the class's per_class-th are left out before ranking, so a rank's task reads little more than per_class rows
+    share = F.least(F.lit(1.0), (per_class + 8 * per_class**0.5 + 64) / F.count("*"))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(2**53))
+    near = cand.withColumn("u", u).join(cand.groupBy("y").agg(share.alias("share")), "y").where("u <= share")
+    ids = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("u", "doc_id"))).where(F.col("r") <= per_class).select("doc_id", "y")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()  # bound: per_class rows of each class
     found = {}
     for r in rows:
