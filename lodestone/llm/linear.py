@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbuf as T
+from .shared import small, written
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int) -> list[tuple[int, str, object]]:
@@ -15,7 +16,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     # rows whose hash lies clearly above the class's per_class-th are left out before ranking, so a rank's task reads little more than per_class rows
     share = F.least(F.lit(1.0), (per_class + 8 * per_class**0.5 + 64) / F.count("*"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(2**53))
-    near = cand.withColumn("u", u).join(cand.groupBy("y").agg(share.alias("share")), "y").where("u <= share")
+    shares = written(cand.groupBy("y").agg(share.alias("share")), "label-shares")
+    near = cand.withColumn("u", u).join(small(shares), "y").where("u <= share")
     ids = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("u", "doc_id"))).where(F.col("r") <= per_class).select("doc_id", "y")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()  # bound: per_class rows of each class
     found = {}
