@@ -79,11 +79,11 @@ def json_props(spark, sf_dir):
 
 @query("""
 SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 1.5 ELSE o_totalprice END AS o_totalprice FROM orders
-UNION ALL SELECT -o_orderkey, o_custkey, 'N', o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
+UNION ALL SELECT -1 - o_orderkey, o_custkey, 'N', o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
 def upsert_orders(spark, sf_dir):
     old = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     changed = old.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") * 1.5)
-    new = old.where("o_orderstatus = 'P'").withColumns({"o_orderkey": -F.col("o_orderkey"), "o_orderstatus": F.lit("N")})
+    new = old.where("o_orderstatus = 'P'").withColumns({"o_orderkey": -1 - F.col("o_orderkey"), "o_orderstatus": F.lit("N")})
     return files.upsert(old, changed.union(new), ["o_orderkey"])
 
 
