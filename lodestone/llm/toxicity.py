@@ -2,9 +2,10 @@
 
 From a bounded sample of labelled rows the trainer picks terms (whole words, or
 beginnings of compound words) that mark the toxic class. The trie of the terms is
-intersected with Levenshtein automata (1 edit from 5 letters on, 2 from 9) into
-one deterministic table, which reads the words of all texts at once, column by
-column. A hit inside quotation marks or after a reporting word counts as quoted.
+intersected with Levenshtein automata (1 edit from 5 letters on, 2 from 9; any
+letter) into one deterministic automaton, which reads the words of all texts at
+once, column by column. A term of which a misspelling stands in a clean text of the
+sample loses edits, of its outer letters first; the other terms keep theirs. A hit inside quotation marks or after a reporting word counts as quoted.
 A logistic regression on abusive, misspelled and quoted hits gives the score.
 
 Defined cases: null and empty texts have no hit and get the score of a text
@@ -33,7 +34,7 @@ WINDOW = 60  # characters of context on either side of a hit
 REPORTING = "said says wrote called quote quoted word term sagte schrieb zitat wort dit écrit cité mot dijo escribió cita palabra"
 _REPORT = re.compile(r"\b(?:" + "|".join(REPORTING.split()) + r")\W+(?:\w+\W+){0,2}$")
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
-_ALNUM = np.array([chr(c).isalnum() for c in range(0x3000)] + [True])
+_ALNUM = np.array([chr(c).isalnum() for c in range(0x110000)])
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -83,18 +84,30 @@ def learn_terms(sample, least: int = 3, most_clean: float = 0.002, terms: int =
     return sorted(out)
 
 
+def allowances(word: str, stem: bool) -> list[tuple[int, bool]]:
+    """(edits, whether the outer letters may be edited), from the most to the least: 1 edit from 5 letters on, 2 from 9. The outer letters are the first one and, of a stem, the last one."""
+    most = 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    return [(e, outer) for e in range(most, 0, -1) for outer in (True, False)] + [(0, False)]
+
+
 class Automaton:
     """Deterministic product of the lexicon's trie and Levenshtein automata.
 
-    ``table[state, letter class]`` is the next state, 0 the dead one. ``final`` marks
-    a state at a word's end, ``sticky`` one in which a stem was read in full.
+    A state's next one for a letter is found under ``keys`` (state * classes + class),
+    else it is ``other[state]``; 0 is the dead state. ``final`` marks a state at a
+    word's end, ``sticky`` one in which a stem was read in full without an edit.
+    ``allowed`` has each term's edits and whether its outer letters may be edited.
     """
 
-    def __init__(self, lexicon: list[tuple[str, bool]], fuzzy: bool = True):
+    def __init__(self, lexicon: list[tuple[str, bool]], allowed: list[tuple[int, bool]] | None = None):
         letters = sorted({c for w, _ in lexicon for c in w})
         self.classes = {c: i + 1 for i, c in enumerate(letters)}
-        words = [w for w, _ in lexicon]
-        edits = [(0 if s or not fuzzy or len(w) < 5 else 1 if len(w) < 9 else 2) for w, s in lexicon]
+        words, stem = [w for w, _ in lexicon], [s for _, s in lexicon]
+        allowed = [allowances(w, s)[0] for w, s in lexicon] if allowed is None else allowed
+        edits = [e for e, _ in allowed]
+        # the places of a term whose letter may be replaced or deleted, and before which one may be inserted
+        first = [0 if outer else 1 for _, outer in allowed]
+        last = [len(w) - (s and not outer) for w, s, (_, outer) in zip(words, stem, allowed, strict=True)]
         # an item is (term, letters read of it, edits made); the trie shares what terms have in common once items are sets
 
         def closed(items):
@@ -106,74 +119,86 @@ class Automaton:
                 if best.get((t, p), 99) <= e:
                     continue
                 best[t, p] = e
-                if e < edits[t] and p < len(words[t]):
+                if e < edits[t] and first[t] <= p < last[t]:
                     stack.append((t, p + 1, e + 1))
             return frozenset((t, p, e) for (t, p), e in best.items())
 
-        def step(state, c):
-            nxt = []
+        start = closed((t, 0, 0) for t in range(len(words)))
+        ids, todo = {frozenset(): 0, start: 1}, [start]
+        self.ends: list[list[int]] = [[], []]  # the terms read in full with the fewest edits
+        final, sticky, other, keys, to = [0, 0], [False, False], [0], [], []
+
+        def number(state):
+            if state not in ids:
+                ids[state] = len(ids)
+                todo.append(state)
+                done = [(e, t) for t, p, e in state if p == len(words[t])]
+                final.append((EXACT if min(done)[0] == 0 else FUZZY) if done else 0)
+                sticky.append(any(e == 0 and stem[t] for e, t in done))
+                self.ends.append([t for _, t in done])
+            return ids[state]
+
+        for here, state in enumerate(iter_growing(todo), 1):
+            rest, read = [], {}
             for t, p, e in state:
-                w = words[t]
-                if p < len(w) and w[p] == c:
-                    nxt.append((t, p + 1, e))
-                if e < edits[t] and p:  # the first letter of a term is never an edit's place
-                    nxt.append((t, p, e + 1))
-                    if p < len(w):
-                        nxt.append((t, p + 1, e + 1))
-                if lexicon[t][1] and p == len(w):
-                    nxt.append((t, p, e))
-            return closed(nxt)
-
-        start = frozenset((t, 0, 0) for t in range(len(words)))
-        ids, todo, rows = {frozenset(): 0, start: 1}, [start], [np.zeros(len(letters) + 1, np.int32)]
-        final, sticky = [0, 0], [False, False]
-        while todo:
-            row = np.zeros(len(letters) + 1, np.int32)
-            state = todo.pop(0)
-            for c in ["\0", *letters]:
-                nxt = step(state, c)
-                if nxt not in ids:
-                    ids[nxt] = len(ids)
-                    todo.append(nxt)
-                    done = [e for t, p, e in nxt if p == len(words[t])]
-                    final.append((EXACT if min(done) == 0 else FUZZY) if done else 0)
-                    sticky.append(any(lexicon[t][1] and p == len(words[t]) for t, p, e in nxt))
-                row[self.classes.get(c, 0)] = ids[nxt]
-            rows.append(row)
-        self.table, self.final, self.sticky = np.stack(rows), np.array(final), np.array(sticky)
-        self.lookup = np.zeros(0x3001, np.uint8 if len(letters) < 255 else np.uint16)
+                if p < len(words[t]):
+                    read.setdefault(words[t][p], []).append((t, p + 1, e))
+                    if e < edits[t] and p >= first[t]:
+                        rest.append((t, p, e + 1))
+                        if p < last[t]:
+                            rest.append((t, p + 1, e + 1))
+                elif stem[t]:
+                    rest.append((t, p, e))
+                elif e < edits[t]:
+                    rest.append((t, p, e + 1))
+            other.append(number(closed(rest)))
+            for c, items in read.items():
+                keys.append(here * (len(letters) + 1) + self.classes[c])
+                to.append(number(closed(rest + items)))
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to, self.other = np.array(keys, np.int64)[order], np.array(to, np.int64)[order], np.array(other, np.int64)
+        self.final, self.sticky = np.array(final), np.array(sticky)
+        self.lookup = np.zeros(0x110000, np.uint8 if len(letters) < 255 else np.uint16 if len(letters) < 65535 else np.int32)
         for c, i in self.classes.items():
-            if ord(c) < 0x3000:
-                self.lookup[ord(c)] = i
+            self.lookup[ord(c)] = i
 
     def read(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """0, EXACT or FUZZY for each word cp[start:end]."""
+        """The state after each word cp[start:end], 0 if none of the lexicon is left; ``final`` tells its kind."""
         out = np.zeros(len(start), np.int64)
         if not len(self.classes):
             return out
-        live, at, state = np.arange(len(start)), start.copy(), np.ones(len(start), np.int32)
+        live, at, state = np.arange(len(start)), start.copy(), np.ones(len(start), np.int64)
         while len(live):
-            state = self.table[state, self.lookup[np.minimum(cp[at], 0x3000)]]
+            key = state * (len(self.classes) + 1) + self.lookup[cp[at]]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            state = np.where(self.keys[i] == key, self.to[i], self.other[state])
             at = at + 1
             over = at >= end[live]
             done = over | self.sticky[state]
-            out[live[done]] = self.final[state[done]]
+            out[live[done]] = state[done]
             stay = ~done & (state > 0)
             live, at, state = live[stay], at[stay], state[stay]
         return out
 
 
-def hits(texts: list[bytes], automaton: Automaton):
-    """For each text the counts (exact, misspelled, quoted) and its number of words. Words are runs of letters and digits; runs of other signs inside a word are read as letters too."""
+def iter_growing(items: list):
+    """The items of a list to which the caller adds."""
+    i = 0
+    while i < len(items):
+        yield items[i]
+        i += 1
+
+
+def found(texts: list[bytes], automaton: Automaton):
+    """The lexicon's hits as (text, state, quoted), and the number of words of each text. Words are runs of letters and digits; runs of other signs inside a word are read as letters too."""
     text = ("\n".join(t.decode("utf-8", "replace") for t in texts) + "\n").lower()
     cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t.decode("utf-8", "replace").lower()) for t in texts])
     doc_end = np.cumsum(sizes + 1)
-    word = _ALNUM[np.minimum(cp, 0x3000)]
+    word = _ALNUM[cp]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False]))))
     start, end = edge[0::2], edge[1::2]
-    counts = np.zeros((len(texts), 4))
-    counts[:, 3] = np.bincount(np.searchsorted(doc_end, start, "right"), minlength=len(texts))
+    n_words = np.bincount(np.searchsorted(doc_end, start, "right"), minlength=len(texts))
     # words with signs inside: neighbours joined by some signs without white space
     space = np.zeros(len(cp) + 1, np.int64)
     np.cumsum((cp == 32) | ((cp >= 9) & (cp <= 13)), out=space[1:])
@@ -186,16 +211,40 @@ def hits(texts: list[bytes], automaton: Automaton):
         last = np.append(first[1:], len(start)) - 1
         many = last > first
         spans.append((start[first[many]], end[last[many]]))
+    out = []
     for s, e in spans:
-        kind = automaton.read(cp, s, e)
-        for i in np.flatnonzero(kind):
+        state = automaton.read(cp, s, e)
+        for i in np.flatnonzero(automaton.final[state]):
             d = int(np.searchsorted(doc_end, s[i], "right"))
             lo = max(int(doc_end[d] - sizes[d] - 1), int(s[i]) - WINDOW)
             before, after = text[lo : s[i]].rpartition("\n")[2], text[e[i] : min(int(doc_end[d]) - 1, int(e[i]) + WINDOW)].partition("\n")[0]
-            counts[d, 2 if quoted(before, after) else int(kind[i]) - 1] += 1
+            out.append((d, int(state[i]), quoted(before, after)))
+    return out, n_words
+
+
+def hits(texts: list[bytes], automaton: Automaton):
+    """For each text the counts (exact, misspelled, quoted) and its number of words."""
+    counts = np.zeros((len(texts), 4))
+    rows, counts[:, 3] = found(texts, automaton)
+    for d, state, q in rows:
+        counts[d, 2 if q else int(automaton.final[state]) - 1] += 1
     return counts
 
 
+def fitted_automaton(lexicon: list[tuple[str, bool]], clean: list[bytes]) -> Automaton:
+    """The automaton with the most edits for each term of which no misspelling stands in a clean text outside quotations; only the terms that are hit there lose edits, step by step."""
+    steps = [allowances(w, s) for w, s in lexicon]
+    level = [0] * len(lexicon)
+    while True:
+        automaton = Automaton(lexicon, [x[i] for x, i in zip(steps, level, strict=True)])
+        hit = {t for _, state, q in found(clean, automaton)[0] if not q and automaton.final[state] == FUZZY for t in automaton.ends[state]}
+        if not hit:
+            del automaton.ends  # only read here
+            return automaton
+        for t in hit:
+            level[t] = min(level[t] + 1, len(steps[t]) - 1)
+
+
 def quoted(before: str, after: str) -> bool:
     """True if a quotation opened in the window before is closed in the one after, or a reporting word comes right before."""
     for o, c in zip(_OPEN, _CLOSE, strict=True):
@@ -217,12 +266,12 @@ def train(sample):
         return None
     texts = [t.encode() for _, t, _ in sample]
     y = np.array([int(v) for _, _, v in sample], float)
-    automaton = Automaton(lexicon)
+    automaton = fitted_automaton(lexicon, [t for t, v in zip(texts, y, strict=True) if v == 0])
     counts = hits(texts, automaton)
-    if (counts[y == 0, 1] > 0).mean() > 0.01:  # its misspellings are words of the language
-        automaton = Automaton(lexicon, fuzzy=False)
-        counts = hits(texts, automaton)
-    x = inputs(counts)
+    # one hit alone must tell, spelled right or not, as no clean text has the misspellings: a toxic text with hits is also learned with one of either kind
+    marked = (y > 0) & (counts[:, :2].sum(1) > 0)
+    alone = [np.where(np.arange(4) < 2, np.arange(4) == k, counts[marked]) for k in (0, 1)]
+    x, y = inputs(np.concatenate((counts, *alone))), np.append(y, np.ones(2 * marked.sum()))
     # non-negative weights for hits, quoted hits at most half of abusive ones: a projected Newton-free descent
     w, b = np.array([1.0, 1.0, 0.3, 1.0, 1.0]), -2.0
     cost = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
