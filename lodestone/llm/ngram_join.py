@@ -12,6 +12,9 @@
 4. Surviving pairs are tested on the exact shingle sets; components of all links
    are found by label spreading.
 
+That is enough for components. ``jaccard_links`` counts every link: it searches all
+trees and cuts a pair of nodes by its bounds alone, never by components.
+
 Band keys come from 32 bands of 4 minhashes: a pair at exactly 0.8 shares no band
 with probability (1 - 0.8**4)**32 < 5e-8. All other steps are exact.
 
@@ -123,8 +126,8 @@ def compare(percent: int):
     return run
 
 
-def dual_traversal(n, extra, comp, bits, left, right, percent):
-    """Index pairs of leaves from ``left`` x ``right`` (slices over the sorted leaves) that the bounds leave.
+def dual_traversal(n, extra, comp, bits, left, right, percent, links=False):
+    """Index pairs of leaves from ``left`` x ``right`` (slices over the sorted leaves) that the bounds leave; without ``links`` none within a component.
 
     The overlap of two sets is at most the bits they share plus the smaller
     number of shingles hidden behind an already set bit.
@@ -143,19 +146,24 @@ def dual_traversal(n, extra, comp, bits, left, right, percent):
     same = right is left
     ob, cb, nb = (oa, ca, na) if same else nodes(right)
     keep = open_pairs(*(na[k] for k in ("lo", "hi", "extra", "bits")), *(nb[k] for k in ("lo", "hi", "extra", "bits")))
-    keep &= ~((na["c0"] == na["c1"])[:, None] & (nb["c0"] == nb["c1"])[None] & (na["c0"][:, None] == nb["c0"][None]))
+    if not links:
+        keep &= ~((na["c0"] == na["c1"])[:, None] & (nb["c0"] == nb["c1"])[None] & (na["c0"][:, None] == nb["c0"][None]))
     if same:
         keep = np.triu(keep)
     out = []
     for i, j in zip(*np.nonzero(keep), strict=True):
         x, y = oa[ca[i] : ca[i] + NODE], ob[cb[j] : cb[j] + NODE]
-        pair = open_pairs(n[x], n[x], extra[x], bits[x], n[y], n[y], extra[y], bits[y]) & (comp[x][:, None] != comp[y][None])
+        pair = open_pairs(n[x], n[x], extra[x], bits[x], n[y], n[y], extra[y], bits[y])
+        if not links:
+            pair &= comp[x][:, None] != comp[y][None]
+        elif same and i == j:
+            pair = np.triu(pair, 1)
         p, q = np.nonzero(pair)
         out.append(np.stack((x[p], y[q])))
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
 
-def tree_pairs(percent: int):
+def tree_pairs(percent: int, links: bool = False):
     """Runs of rows with one (key, i, j) are the leaves of one pair of blocks; a run may span batches."""
 
     def search(rows):
@@ -165,7 +173,7 @@ def tree_pairs(percent: int):
         extra = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
-        found = dual_traversal(n, extra, comp, bits, left, right if len(right) else left, percent)
+        found = dual_traversal(n, extra, comp, bits, left, right if len(right) else left, percent, links)
         a, b = rep[found[0]], rep[found[1]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -200,6 +208,15 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set), n_class (rows with that set)."""
+    return _joined(docs, width, percent, False)
+
+
+def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """jaccard_components and n_links: the other rows whose sets are similar enough, the ones with the same set among them. All pairs of classes that share a band key are searched."""
+    return _joined(docs, width, percent, True)
+
+
+def _joined(docs: DataFrame, width: int, percent: int, links: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     feats = written(docs.mapInArrow(features(width), FEATURES), "features")
     known = feats.where("n > 0 and doc_id is not null")
@@ -213,17 +230,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     near = verified(docs, star, width, percent)
     label = components(near, "star")
     placed = written(shared.select("key", "rep", "n", "m").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
-    open_keys = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "open")
-    leaves = placed.join(small(open_keys), "key", "left_semi").join(reps.select("rep", "bits"), "rep").withColumn("nb", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    if not links:  # a tree within one component adds nothing to the components
+        open_keys = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "open")
+        placed = placed.join(small(open_keys), "key", "left_semi")
+    leaves = placed.join(reps.select("rep", "bits"), "rep").withColumn("nb", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")))
     # a leaf goes to every pair of blocks that its own is in, once for each side it stands on
     sides = F.flatten(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.array(F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))))
     dealt = leaves.select("key", F.explode(sides).alias("s"), "rep", F.col("component").alias("comp"), "n", "bits").select("key", "s.i", "s.j", "s.side", "rep", "comp", "n", "bits")
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tree_pairs(percent), "a long, b long").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tree_pairs(percent, links), "a long, b long").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = verified(docs, found, width, percent)
     label = components(near.union(more), "all")
     final = written(classes.select("n", "s1", "s2", "rep", "n_class").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", "rep", "n_class", F.coalesce("component", "rep").alias("component_id")), "final")
     linked = known.select("doc_id", "n", "s1", "s2").join(small(final), ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"), "n_class")
     alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
+    if links:
+        pairs = near.union(more)
+        ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        weight = final.groupBy(F.col("rep").alias("b")).agg(F.sum("n_class").alias("w"))
+        others = written(ends.join(small(weight), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("w").alias("w")), "n-links")
+        linked = linked.join(small(others), "class_id", "left").withColumn("n_links", F.col("n_class") - 1 + F.coalesce("w", F.lit(0))).select("doc_id", "n_shingles", "component_id", "class_id", "n_class", "n_links")
+        alone = alone.withColumn("n_links", F.lit(0).cast("long"))
     return linked.unionByName(alone)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, langid, media, mixing, packed, pii, quality, toxicity
 from . import html as pages
-from .ngram_join import jaccard_components
+from .ngram_join import jaccard_components, jaccard_links
 
 
 def tokenizer_file(name: str) -> str:
@@ -73,8 +73,12 @@ def op10_ngram_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_links(spark, sf_dir):
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_media_copies, op3_packed_tokens, op4_byte_bpe, op5_pii, op6_html_text, op7_toxicity, op8_language, op9_mixing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_media_copies, op3_packed_tokens, op4_byte_bpe, op5_pii, op6_html_text, op7_toxicity, op8_language, op9_mixing, op10_ngram_join, op10_ngram_links)}
 
 
 NGRAM_SQL = r"""
@@ -101,6 +105,17 @@ LEFT JOIN text_set t ON t.doc_id = d.doc_id LEFT JOIN class k ON k.h = t.h
 """
 
 
+#: NGRAM_SQL and the number of each document's links.
+LINKS_SQL = f"""
+WITH joined AS ({NGRAM_SQL}),
+words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END) AS s FROM words),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM grams x JOIN grams y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+n AS (SELECT a, count(*) AS n_links FROM pairs JOIN joined p ON p.doc_id = a JOIN joined q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n_shingles + q.n_shingles - k) GROUP BY 1)
+SELECT joined.*, coalesce(n_links, 0) AS n_links FROM joined LEFT JOIN n ON a = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op9 and op10 in SQL; the others learn, use a tokenizer or parse markup and are tested against brute force, round trips and held-out rows."""
-    return {"op9_mixing": mixing.mixing_sql(), "op10_ngram_join": NGRAM_SQL}
+    return {"op9_mixing": mixing.mixing_sql(), "op10_ngram_join": NGRAM_SQL, "op10_ngram_links": LINKS_SQL}
