@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import pairwise
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -42,29 +44,35 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def learn_terms(sample, least: int = 3, most_clean: float = 0.002, terms: int = 200) -> list[tuple[str, bool]]:
+def learn_terms(sample, least: int = 3, most_clean: float = 0.002) -> list[tuple[str, bool]]:
     """(term, is_stem) pairs chosen greedily: the word or beginning that marks the most toxic rows not yet marked, charged for every clean row that it marks.
 
-    A stem must mark clearly more rows than the same letters as a whole word.
+    A stem must mark clearly more rows than the same letters as a whole word. Words of
+    fewer than four letters must mark no clean row. Only the sample bounds the lexicon.
     """
     toxic, clean = [set(tokens(t)) for _, t, y in sample if y == 1], [set(tokens(t)) for _, t, y in sample if y == 0]
     if not toxic or not clean:
         return []
 
+    # beginnings between two branchings mark the same toxic rows, the longest of them the fewest clean ones
+    words = sorted(set().union(*toxic))
+    branches = {b for x, y in pairwise(words) if len(b := commonprefix((x, y))) >= 4}
+    lengths = sorted({len(b) for b in branches})
+
     def grams(words):
-        return {w for w in words} | {w[:k] + "*" for w in words for k in range(4, min(len(w), 11) + 1)}
+        return {w for w in words} | {w[:k] + "*" for w in words for k in lengths if k <= len(w) and w[:k] in branches}
 
     have = [grams(w) for w in toxic]
     count = Counter(g for w in have for g in w)
-    cand = {g for g, n in count.items() if n >= least and len(g) >= 4}
+    cand = {g for g, n in count.items() if n >= least}
     against = Counter(g for w in clean for g in grams(w) & cand)
-    cand = {g for g in cand if against[g] <= most_clean * len(clean) and count[g] / len(toxic) > 20 * against[g] / len(clean)}
+    cand = {g for g in cand if against[g] <= (most_clean * len(clean) if len(g) >= 4 else 0) and count[g] / len(toxic) > 20 * against[g] / len(clean)}
     where: dict[str, set[int]] = {}
     for i, w in enumerate(have):
         for g in w & cand:
             where.setdefault(g, set()).add(i)
     left, out = set(range(len(toxic))), []
-    while left and len(out) < terms:
+    while left:
         value = {g: len(d & left) - 3 * against[g] + 1e-3 * len(d) for g, d in where.items()}
         best = max(value.values(), default=0)
         if best < max(least, 0.002 * len(toxic)):
@@ -80,7 +88,7 @@ def learn_terms(sample, least: int = 3, most_clean: float = 0.002, terms: int =
     # words that mark many toxic and no clean rows help too, though others mark those rows already
     spread = max(2 * least, 0.02 * len(toxic))
     known = {w for w, _ in out}
-    out += [(g, False) for g in sorted(where) if not g.endswith("*") and len(g) >= 4 and len(where[g]) >= spread and not against[g] and not any(g.startswith(w) for w in known)][: terms - len(out)]
+    out += [(g, False) for g in sorted(where) if not g.endswith("*") and len(where[g]) >= spread and not against[g] and not any(g.startswith(w) for w in known)]
     return sorted(out)
 
 

@@ -58,3 +58,14 @@ def test_only_terms_near_clean_words_lose_edits():
 
 def test_every_letter_of_the_lexicon_is_mapped():
     assert kinds(X.Automaton([("大傻瓜蛋", False), ("𝒳yzw", False)]), ["大傻瓜蛋。", "大傻瓜", "𝒳yzw"]) == [X.EXACT, 0, X.EXACT]
+
+
+def test_the_lexicon_is_not_capped():
+    words = [f"{c}{a}{b}rq" for c in "zéü" for a in "bcdfghjklm" for b in "aeiouyw"] + [f"zz{a}{b}k" for a in "bcdfgh" for b in "aeiouyw"]
+    toxic = [f"you {w} n{i} there" for i, w in enumerate(words) for _ in range(6)]
+    marks = ["git", "坏蛋", "longercompoundbeginning"]
+    toxic += [f"{m + ('abc'[k % 3] if len(m) > 9 else '')} m{k} text" for m in marks for k in range(9)]
+    clean = [f"you there kind n{i} text m{i} longercompound" for i in range(len(toxic))]
+    lexicon = set(X.learn_terms([(i, t, 1) for i, t in enumerate(toxic)] + [(i, t, 0) for i, t in enumerate(clean)]))
+    assert len(words) > 200 and all(any(w == t or s and w.startswith(t) for t, s in lexicon) for w in words)
+    assert {("git", False), ("坏蛋", False), ("longercompoundbeginning", True)} <= lexicon
