@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Agg:
-    """A measure: ``kind`` over ``field``, named ``name``. ``order`` for first and last, ``weight`` for a weighted mean, ``p`` for a percentile (0 to 1), ``limit`` for lists. ``nulls``: ignore, or zero."""
+    """A measure: ``kind`` over ``field``, named ``name``. ``order`` for first and last, ``weight`` for a weighted mean, ``p`` for a percentile (0 to 1), ``limit`` for lists (all members without one). ``nulls``: ignore, or zero."""
 
     name: str
     kind: str
@@ -18,7 +18,7 @@ class Agg:
     order: str | None = None
     weight: str | None = None
     p: float = 0.95
-    limit: int = 1000
+    limit: int | None = None
     nulls: str = "ignore"
 
 
@@ -42,7 +42,7 @@ def measure(a: Agg) -> Column:
         "variance": lambda: zero(F.var_samp(c)),
         "stddev": lambda: zero(F.stddev_samp(c)),
         "stddev_pop": lambda: F.stddev_pop(c),
-        "set": lambda: F.slice(F.sort_array(F.collect_set(c)), 1, a.limit),
+        "set": lambda: F.sort_array(F.collect_set(c)) if a.limit is None else F.slice(F.sort_array(F.collect_set(c)), 1, a.limit),
         "weighted_avg": lambda: F.try_divide(F.sum(c * F.col(a.weight)), F.sum(F.when(c.isNotNull(), F.col(a.weight)))),
         "mode": lambda: F.mode(c, True),
     }
