@@ -10,20 +10,31 @@ from . import textbuf as T
 from .shared import small, written
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int) -> list[tuple[int, str, object]]:
-    """Up to ``per_class`` rows (doc_id, text, label) of each class, the ones first by a hash of doc_id; rows with null id, text or label are no candidates, an id with several labels counts with the smallest."""
+#: Bytes of text that a labelled sample may have in all.
+SAMPLE_BYTES = 24 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str, object]]:
+    """Whole texts as (doc_id, text, label): up to ``per_class`` rows of each class, the ones first by a hash of doc_id.
+
+    Bounds: per_class rows of each class, and an equal share of ``most_bytes`` for each
+    class; a text of more than a 16th of its class's share, and those after the share is
+    used up, are left out. Rows with null id, text or label are no candidates; an id with
+    several labels counts with the smallest, one with several texts with the first of them.
+    """
     cand = labels.select("doc_id", F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & keep).groupBy("doc_id").agg(F.min("y").alias("y"))
     # rows whose hash lies clearly above the class's per_class-th are left out before ranking, so a rank's task reads little more than per_class rows
     share = F.least(F.lit(1.0), (per_class + 8 * per_class**0.5 + 64) / F.count("*"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(2**53))
     shares = written(cand.groupBy("y").agg(share.alias("share")), "label-shares")
-    near = cand.withColumn("u", u).join(small(shares), "y").where("u <= share")
-    ids = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("u", "doc_id"))).where(F.col("r") <= per_class).select("doc_id", "y")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()  # bound: per_class rows of each class
-    found = {}
-    for r in rows:
-        found.setdefault(r.doc_id, (r.doc_id, r.text, r.y))
-    return [found[k] for k in sorted(found)]
+    classes = shares.count()
+    near = cand.withColumn("u", u).join(small(shares, classes), "y").where("u <= share")
+    ids = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("u", "doc_id"))).where(F.col("r") <= per_class).select("doc_id", "y", "r")
+    of_class = most_bytes // max(1, classes)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= of_class // 16)).join(F.broadcast(ids), "doc_id")  # bound: per_class rows of each class
+    rows = rows.groupBy("doc_id", "y", "r").agg(F.min("text").alias("text"))
+    used = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("r"))
+    return [(r.doc_id, r.text, r.y) for r in rows.withColumn("used", used).where(F.col("used") <= of_class).orderBy("doc_id").collect()]  # bounded as above
 
 
 class Features:

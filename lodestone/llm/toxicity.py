@@ -17,7 +17,6 @@ never read; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from itertools import pairwise
 from os.path import commonprefix
 
@@ -49,31 +48,41 @@ def learn_terms(sample, least: int = 3, most_clean: float = 0.002) -> list[tuple
 
     A stem must mark clearly more rows than the same letters as a whole word. Words of
     fewer than four letters must mark no clean row. Only the sample bounds the lexicon.
+    Words and beginnings are numbered, so a row of the sample is a short array of numbers.
     """
-    toxic, clean = [set(tokens(t)) for _, t, y in sample if y == 1], [set(tokens(t)) for _, t, y in sample if y == 0]
+    toxic, clean = [t for _, t, y in sample if y == 1], [t for _, t, y in sample if y == 0]
     if not toxic or not clean:
         return []
-
     # beginnings between two branchings mark the same toxic rows, the longest of them the fewest clean ones
-    words = sorted(set().union(*toxic))
+    words = sorted(set().union(*map(tokens, toxic)))
     branches = {b for x, y in pairwise(words) if len(b := commonprefix((x, y))) >= 4}
     lengths = sorted({len(b) for b in branches})
-
-    def grams(words):
-        return {w for w in words} | {w[:k] + "*" for w in words for k in lengths if k <= len(w) and w[:k] in branches}
-
-    have = [grams(w) for w in toxic]
-    count = Counter(g for w in have for g in w)
-    cand = {g for g, n in count.items() if n >= least}
-    against = Counter(g for w in clean for g in grams(w) & cand)
-    cand = {g for g in cand if against[g] <= (most_clean * len(clean) if len(g) >= 4 else 0) and count[g] / len(toxic) > 20 * against[g] / len(clean)}
+    number = {g: i for i, g in enumerate(words + [b + "*" for b in sorted(branches)])}
+    names = list(number)
+
+    def grams(word):
+        return [number[g] for g in (word, *(word[:k] + "*" for k in lengths if k <= len(word))) if g in number]
+
+    def rows(texts):
+        """The numbers of each text's words and beginnings, each once."""
+        for t in texts:
+            yield np.unique(np.array([g for w in set(tokens(t)) for g in grams(w)], np.int32))
+
+    have = list(rows(toxic))
+    count = sum((np.bincount(h, minlength=len(names)) for h in have), np.zeros(len(names), np.int64))
+    against = np.zeros(len(names), np.int64)
+    for h in rows(clean):
+        against[h] += 1
+    long = np.array([len(g) >= 4 for g in names])
+    good = (count >= least) & (against <= np.where(long, most_clean * len(clean), 0)) & (count / len(toxic) > 20 * against / len(clean))
     where: dict[str, set[int]] = {}
-    for i, w in enumerate(have):
-        for g in w & cand:
-            where.setdefault(g, set()).add(i)
+    for i, h in enumerate(have):
+        for g in h[good[h]].tolist():
+            where.setdefault(names[g], set()).add(i)
+    clean_rows = {g: int(against[number[g]]) for g in where}
     left, out = set(range(len(toxic))), []
     while left:
-        value = {g: len(d & left) - 3 * against[g] + 1e-3 * len(d) for g, d in where.items()}
+        value = {g: len(d & left) - 3 * clean_rows[g] + 1e-3 * len(d) for g, d in where.items()}
         best = max(value.values(), default=0)
         if best < max(least, 0.002 * len(toxic)):
             break
@@ -88,7 +97,7 @@ def learn_terms(sample, least: int = 3, most_clean: float = 0.002) -> list[tuple
     # words that mark many toxic and no clean rows help too, though others mark those rows already
     spread = max(2 * least, 0.02 * len(toxic))
     known = {w for w, _ in out}
-    out += [(g, False) for g in sorted(where) if not g.endswith("*") and len(where[g]) >= spread and not against[g] and not any(g.startswith(w) for w in known)]
+    out += [(g, False) for g in sorted(where) if not g.endswith("*") and len(where[g]) >= spread and not clean_rows[g] and not any(g.startswith(w) for w in known)]
     return sorted(out)
 
 
@@ -230,6 +239,19 @@ def found(texts: list[bytes], automaton: Automaton):
     return out, n_words
 
 
+def sliced(texts: list[bytes], most: int = 1 << 18):
+    """The texts in runs of some ``most`` bytes (one text may have more)."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 def hits(texts: list[bytes], automaton: Automaton):
     """For each text the counts (exact, misspelled, quoted) and its number of words."""
     counts = np.zeros((len(texts), 4))
@@ -245,7 +267,7 @@ def fitted_automaton(lexicon: list[tuple[str, bool]], clean: list[bytes]) -> Aut
     level = [0] * len(lexicon)
     while True:
         automaton = Automaton(lexicon, [x[i] for x, i in zip(steps, level, strict=True)])
-        hit = {t for _, state, q in found(clean, automaton)[0] if not q and automaton.final[state] == FUZZY for t in automaton.ends[state]}
+        hit = {t for run in sliced(clean) for _, state, q in found(run, automaton)[0] if not q and automaton.final[state] == FUZZY for t in automaton.ends[state]}
         if not hit:
             del automaton.ends  # only read here
             return automaton
@@ -272,10 +294,10 @@ def train(sample):
     lexicon = learn_terms(sample)
     if not lexicon:
         return None
-    texts = [t.encode() for _, t, _ in sample]
+    texts = [t.encode() for _, t, _ in sample]  # bounded by labelled_sample
     y = np.array([int(v) for _, _, v in sample], float)
     automaton = fitted_automaton(lexicon, [t for t, v in zip(texts, y, strict=True) if v == 0])
-    counts = hits(texts, automaton)
+    counts = np.concatenate([hits(run, automaton) for run in sliced(texts)])
     # one hit alone must tell, spelled right or not, as no clean text has the misspellings: a toxic text with hits is also learned with one of either kind
     marked = (y > 0) & (counts[:, :2].sum(1) > 0)
     alone = [np.where(np.arange(4) < 2, np.arange(4) == k, counts[marked]) for k in (0, 1)]
