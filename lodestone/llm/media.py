@@ -2,23 +2,25 @@
 
 1. Each image gets corners on a pyramid of scales, and for each corner 256 binary
    tests on a smoothed patch that is turned to the corner's own direction.
-2. Equal bytes are one class. A class's descriptors are entered in Hamming tables,
-   one for each slice of 32 bits: descriptors at most TABLES - 1 bits apart share a
-   slice for certain, and those of a copied corner very likely do.
-3. Each image is first tested against the table entry's first image (its leader)
-   with which it shares most slices. What stays in different components of a table
-   entry is compared descriptor by descriptor, in blocks of the entry, so that no
-   entry ends up in one task and no pair inside a component is made.
+2. Equal bytes are one class. A class's descriptors are entered in Hamming tables, one
+   for each fixed set of KEY_BITS tests: equal bits there are one entry.
+3. In each table entry every image is paired with the first one. Pairs that share
+   MIN_SHARED entries are compared; what then stays in different components of an entry
+   is paired too, in blocks, so no entry ends up in one task and no pair inside a
+   component is made.
 4. A pair of images is a copy if enough matched corners agree on one similarity
    transform (scale, turn and shift).
 
+Steps 1 and 2 are an index: recall is measured against the comparison of step 4 over all
+pairs (tests/llm/test_media.py), by kind of edit. Nothing else is left out.
+
 Images are binary PGM (P5) or PPM (P6) with up to 255 levels.
 
 Defined cases: null, empty and unreadable images have no corners and link with
 nothing, but equal bytes still share a class; images without corners likewise; a
 row with null id is returned with null class; rows that repeat an id count as one
-image and each is returned; other columns are ignored; an empty table gives no
-rows. Images of any size are read whole.
+image (of different ones the first by hash is compared) and each is returned; other
+columns are ignored; an empty table gives no rows. Images of any size are read whole.
 """
 
 from __future__ import annotations
@@ -30,24 +32,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, small, written
+from .shared import components, cross_blocks, forget, runs, small, spread, written
 
-#: Fixed parameters of the detector.
-LEVELS, FACTOR, KEEP, RADIUS, TESTS = 4, 1.3, 64, 9, 256
+#: Fixed parameters of the detector: levels of the pyramid and their step, strongest corners kept of each cell of so many pixels a side, patch radius, tests.
+LEVELS, FACTOR, PER_CELL, CELL, RADIUS, TESTS = 5, 1.2, 4, 32, 9, 256
+#: Directions of a corner are rounded to so many.
+TURNS = 64
 #: Corners of a patch may differ in so many tests.
-MAX_BITS = 48
-TABLES = 8
-#: A copy has so many corners that agree, and shares so many slices at least.
+MAX_BITS = 56
+#: Hamming tables, and the tests that are a table's key.
+TABLES, KEY_BITS = 8, 48
+#: A copy has so many corners that agree, and shares so many entries at least.
 MIN_INLIERS, MIN_SHARED = 8, 2
 #: Places may be off by so many pixels, and this share of the distance.
 TOLERANCE = 2.5
+#: Corners on either side of one comparison of a table entry.
 BLOCK = 512
 
-_rng = np.random.default_rng(4)
-_TEST = np.clip(np.rint(_rng.normal(0, RADIUS / 2.2, (TESTS, 4))), -RADIUS, RADIUS)
+
+def _tests() -> np.ndarray:
+    """Pairs of places (x, y, x, y) in a disc, for each direction: TURNS x TESTS x 4."""
+    rng, places = np.random.default_rng(4), np.zeros((0, 2))
+    while len(places) < 2 * TESTS:
+        p = rng.normal(0, RADIUS / 2.2, (4 * TESTS, 2))
+        places = np.concatenate((places, p[(p**2).sum(1) <= RADIUS**2]))
+    p = places[: 2 * TESTS].reshape(TESTS, 2, 2)
+    t = 2 * np.pi * np.arange(TURNS) / TURNS
+    cos, sin = np.cos(t)[:, None, None], np.sin(t)[:, None, None]
+    x, y = cos * p[None, :, :, 0] - sin * p[None, :, :, 1], sin * p[None, :, :, 0] + cos * p[None, :, :, 1]
+    return np.stack((x, y), 3).astype(np.float32)
+
+
+_TEST = _tests()
 _y, _x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _disc = (_x**2 + _y**2) <= RADIUS**2
-_dx, _dy = _x[_disc], _y[_disc]
+_dx, _dy = _x[_disc].astype(np.int32), _y[_disc].astype(np.int32)
 _HEAD = re.compile(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s")
 
 
@@ -83,61 +102,89 @@ def resize(x: np.ndarray, factor: float) -> np.ndarray:
     return x[:, :, a] * (1 - t) + x[:, :, b] * t
 
 
-def _blur(x: np.ndarray, times: int = 1) -> np.ndarray:
-    for _ in range(times):
-        p = np.pad(x, ((0, 0), (1, 1), (0, 0)), "edge")
-        x = (p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]) / 4
-        p = np.pad(x, ((0, 0), (0, 0), (1, 1)), "edge")
-        x = (p[:, :, :-2] + 2 * p[:, :, 1:-1] + p[:, :, 2:]) / 4
+def _blur(x: np.ndarray) -> np.ndarray:
+    """Both directions by the binomial weights 1, 4, 6, 4, 1."""
+    for axis in (1, 2):
+        p = np.pad(x, [(2, 2) if k == axis else (0, 0) for k in range(3)], "edge")
+        n = x.shape[axis]
+        at = lambda d: p[:, d : d + n] if axis == 1 else p[:, :, d : d + n]  # noqa: B023, E731
+        x = at(0) + at(4)
+        near = at(1) + at(3)
+        near *= 4
+        x += near
+        np.multiply(at(2), 6, out=near)
+        x += near
+        x *= 1 / 16
     return x
 
 
+def _ring(r: np.ndarray, edge: int) -> np.ndarray:
+    """Whether each place is a maximum of its eight neighbours, ``edge`` pixels off the border."""
+    inner = r[:, edge:-edge, edge:-edge]
+    top = inner > 1.0
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            if dx or dy:
+                near = r[:, edge + dy : r.shape[1] - edge + dy, edge + dx : r.shape[2] - edge + dx]
+                top &= (inner > near) if (dy, dx) < (0, 0) else (inner >= near)
+    return top
+
+
 def corners(stack: np.ndarray):
-    """For a stack of images of one size: (image, x, y, level, angle, response, 32 descriptor bytes) of the strongest KEEP corners of each."""
-    found = []
-    level, scale = stack, 1.0
+    """For a stack of images of one size: (image, x, y, scale, angle, 32 descriptor bytes) of the strongest PER_CELL corners of each cell of each image.
+
+    Cells are counted in pixels of the image, so a larger picture has more corners and a
+    part of it the same ones as before. Corners of all levels compete before any is described.
+    """
+    level, scale, edge = stack, 1.0, RADIUS + 2
+    smooths, found = [], []
     for k in range(LEVELS):
-        if min(level.shape[1:]) < 2 * RADIUS + 5:
+        if min(level.shape[1:]) < 2 * edge + 1:
             break
-        smooth = _blur(level, 2)
-        gy, gx = np.gradient(smooth, axis=1), np.gradient(smooth, axis=2)
-        a, b, c = _blur(gx * gx, 2), _blur(gx * gy, 2), _blur(gy * gy, 2)
+        smooth = _blur(level)
+        gy, gx = smooth.copy(), smooth.copy()
+        gy[:, 1:-1] = (smooth[:, 2:] - smooth[:, :-2]) / 2
+        gx[:, :, 1:-1] = (smooth[:, :, 2:] - smooth[:, :, :-2]) / 2
+        gy[:, [0, -1]], gx[:, :, [0, -1]] = 0, 0
+        a, b, c = _blur(gx * gx), _blur(gx * gy), _blur(gy * gy)
         r = a * c - b * b - 0.05 * (a + c) ** 2
-        edge = RADIUS + 2
-        inner = r[:, edge:-edge, edge:-edge]
-        top = np.ones(inner.shape, bool)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dx or dy:
-                    near = r[:, edge + dy : r.shape[1] - edge + dy, edge + dx : r.shape[2] - edge + dx]
-                    top &= (inner > near) if (dy, dx) < (0, 0) else (inner >= near)
-        i, y, x = np.nonzero(top & (inner > 1.0))
+        i, y, x = np.nonzero(_ring(r, edge))
         y, x = y + edge, x + edge
-        if len(i):
-            order = np.lexsort((-r[i, y, x], i))
-            rank = np.arange(len(i)) - np.searchsorted(i[order], i[order])
-            order = order[rank < KEEP]
-            i, y, x = i[order], y[order], x[order]
-            patch = smooth[i[:, None], y[:, None] + _dy, x[:, None] + _dx]
-            angle = np.arctan2((patch * _dy).sum(1), (patch * _dx).sum(1))
-            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-
-            def at(tx, ty):
-                px = np.clip(np.rint(x[:, None] + cos * tx - sin * ty).astype(int), 0, smooth.shape[2] - 1)
-                py = np.clip(np.rint(y[:, None] + sin * tx + cos * ty).astype(int), 0, smooth.shape[1] - 1)
-                return smooth[i[:, None], py, px]
-
-            bits = at(_TEST[:, 0], _TEST[:, 1]) < at(_TEST[:, 2], _TEST[:, 3])
-            found.append((i, (x + 0.5) * scale - 0.5, (y + 0.5) * scale - 0.5, np.full(len(i), scale), angle, r[i, y, x], np.packbits(bits, axis=1)))
+        smooths.append(smooth)
+        # the top of the parabola through a maximum and its neighbours, in either direction
+        top = r[i, y, x]
+        part = [(lo - hi) / np.minimum(-1e-9, 2 * (lo + hi - 2 * top)) for lo, hi in ((r[i, y, x - 1], r[i, y, x + 1]), (r[i, y - 1, x], r[i, y + 1, x]))]
+        found.append((np.full(len(i), k), i, x, y, np.full(len(i), scale), top, *(np.clip(v, -0.5, 0.5) for v in part)))
         level, scale = resize(level, FACTOR), scale * FACTOR
     if not found:
         z = np.zeros(0)
-        return z.astype(int), z, z, z, z, z, np.zeros((0, TESTS // 8), np.uint8)
-    out = [np.concatenate([f[k] for f in found]) for k in range(7)]
-    order = np.lexsort((-out[5], out[0]))
-    rank = np.arange(len(order)) - np.searchsorted(out[0][order], out[0][order])
-    order = order[rank < KEEP]
-    return tuple(v[order] for v in out)
+        return z.astype(int), z, z, z, z, np.zeros((0, TESTS // 8), np.uint8)
+    k, i, x, y, scale, r, dx, dy = (np.concatenate(v) for v in zip(*found, strict=True))
+    px, py = (x + dx + 0.5) * scale - 0.5, (y + dy + 0.5) * scale - 0.5
+    across = -(-max(stack.shape[1:]) // CELL)
+    cell = ((i * LEVELS + k) * across + y // CELL) * across + x // CELL
+    order = np.lexsort((-r, cell))
+    rank = np.arange(len(order)) - np.searchsorted(cell[order], cell[order])
+    keep = np.sort(order[rank < PER_CELL])
+    k, i, x, y, scale, px, py, dx, dy = (v[keep] for v in (k, i, x, y, scale, px, py, dx, dy))
+    angle, bits = np.zeros(len(k)), np.zeros((len(k), TESTS // 8), np.uint8)
+    for lv, smooth in enumerate(smooths):
+        of = np.flatnonzero(k == lv)
+        wide = np.int32(smooth.shape[2])
+        flat, at = np.ascontiguousarray(smooth, np.float32).ravel(), ((i[of] * smooth.shape[1] + y[of]) * smooth.shape[2] + x[of]).astype(np.int64)
+        patch = flat[at[:, None] + (_dy * wide + _dx)]
+        angle[of] = np.arctan2(patch @ _dy.astype(np.float32), patch @ _dx.astype(np.float32))
+        turn = np.rint(angle[of] / (2 * np.pi) * TURNS).astype(int) % TURNS
+        tx, ty = _TEST[turn, ..., 0] + dx[of, None, None].astype(np.float32), _TEST[turn, ..., 1] + dy[of, None, None].astype(np.float32)
+        fx, fy = np.floor(tx), np.floor(ty)
+        tx -= fx
+        ty -= fy
+        q = at[:, None, None] + (fy.astype(np.int32) * wide + fx.astype(np.int32))
+        up, down = flat[q] * (1 - tx) + flat[q + 1] * tx, flat[q + wide] * (1 - tx) + flat[q + wide + 1] * tx
+        value = up * (1 - ty) + down * ty
+        bits[of] = np.packbits(value[..., 0] < value[..., 1], axis=1)
+    order = np.argsort(i, kind="stable")
+    return tuple(v[order] for v in (i, px, py, scale, angle, bits))
 
 
 #: A corner in a row of bytes: x, y, scale, angle as float32, then the descriptor.
@@ -153,9 +200,9 @@ def describe(images: list[bytes | None]) -> list[bytes]:
             shapes.setdefault(g.shape, []).append(k)
     out = [b""] * len(images)
     for shape, of in shapes.items():
-        for lo in range(0, len(of), step := max(1, (1 << 19) // (shape[0] * shape[1]))):
+        for lo in range(0, len(of), step := max(1, (1 << 17) // (shape[0] * shape[1]))):
             part = of[lo : lo + step]
-            i, x, y, scale, angle, _, bits = corners(np.stack([grey[k] for k in part]))
+            i, x, y, scale, angle, bits = corners(np.stack([grey[k] for k in part]))
             p = np.zeros(len(i), POINT)
             for name, v in zip(POINT.names, (x, y, scale, angle, bits), strict=True):
                 p[name] = v
@@ -198,16 +245,52 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(2), pa.array(got, pa.binary()), pa.array([len(x) // POINT.itemsize for x in got], pa.int64())], names=["id", "hash", "points", "n_points"])
 
 
+_rng = np.random.default_rng(5)
+_KEY = [_rng.permutation(TESTS)[:KEY_BITS] for _ in range(TABLES)]
+
+
+def keys(bits: np.ndarray) -> np.ndarray:
+    """TABLES x corners: the table's number and the bits of its tests."""
+    each = np.unpackbits(bits, axis=1)
+    out = np.zeros((TABLES, len(bits)), np.int64)
+    for t, of in enumerate(_KEY):
+        raw = np.zeros((len(bits), 8), np.uint8)
+        raw[:, : KEY_BITS // 8] = np.packbits(each[:, of], axis=1)
+        out[t] = raw.view("<i8")[:, 0] + (t << KEY_BITS)
+    return out
+
+
 def _entries(batches):
-    """(key, id, bits) for each corner and table; a key is the table's number and 32 bits."""
+    """(key, rep) for each corner and table."""
     for b in batches:
         ids = b.column(0).to_numpy()
         points = [np.frombuffer(x.as_buffer(), POINT) for x in b.column(1)]
-        n = np.array([len(p) for p in points])
-        bits = np.concatenate([p["bits"] for p in points]) if len(points) else np.zeros((0, TESTS // 8), np.uint8)
-        slices = np.ascontiguousarray(bits).view("<u4").astype(np.int64)
-        for t in range(TABLES):
-            yield pa.RecordBatch.from_arrays([pa.array(slices[:, t] + (t << 32)), pa.array(np.repeat(ids, n)), pa.array([x.tobytes() for x in bits], pa.binary())], names=["key", "rep", "bits"])
+        if not points:
+            continue
+        own = np.repeat(ids, [len(p) for p in points])
+        for k in keys(np.concatenate([p["bits"] for p in points])):
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own)], names=["key", "rep"])
+
+
+def _star(batches):
+    """(key, head, rep, i) for the images of each key, in order, but for the first one (the head), from rows sorted by key and rep."""
+    key = head = last = None
+    i = 0
+    for b in batches:
+        k, r = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(k):
+            continue
+        fresh = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
+        again = np.concatenate(([not fresh[0] and r[0] == last], (r[1:] == r[:-1]) & ~fresh[1:]))
+        start = np.flatnonzero(fresh)
+        group = np.cumsum(fresh) - 1  # -1: the run that began in an earlier batch
+        heads = np.concatenate((r[start], [0 if head is None else head]))[group]
+        seen = np.cumsum(~again)
+        base = np.concatenate((seen[start], [-i]))[group]
+        number = seen - base
+        keep = ~fresh & ~again
+        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(heads[keep]), pa.array(r[keep]), pa.array(number[keep])], names=["key", "head", "rep", "i"])
+        key, last, head, i = k[-1], r[-1], heads[-1], int(number[-1])
 
 
 def _verify(batches):
@@ -218,38 +301,23 @@ def _verify(batches):
 
 
 def _block_pairs(batches):
-    """Pairs (a, b) of different components with close descriptors, from runs of one (key, i, j)."""
-
-    def search(rows):
-        t = pa.Table.from_batches(rows)
-        side, rep, comp = (t[c].to_numpy() for c in ("side", "rep", "comp"))
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(rep), TESTS // 64)
+    """Pairs (key, a, b) of different components, a < b, from runs of one (key, i, j)."""
+    for t in runs(batches, 3):
+        side, comp, rep = (t[c].to_numpy() for c in ("side", "comp", "rep"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right if len(right) else left
-        d = np.bitwise_count(bits[left][:, None] ^ bits[right][None]).sum(2, dtype=np.int32)
-        p, q = np.nonzero((d <= MAX_BITS) & (comp[left][:, None] != comp[right][None]))
+        p, q = np.nonzero(comp[left][:, None] != comp[right][None])
         a, b = rep[left[p]], rep[right[q]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), t["key"][0].as_py()))], names=["a", "b", "key"])
-
-    held, key = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, i, j = (batch.column(x).to_numpy() for x in range(3))
-        cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        for s, e in zip(np.append(0, cut), np.append(cut, batch.num_rows), strict=True):
-            if held and key != (k[s], i[s], j[s]):
-                yield search(held)
-                held = []
-            key = (k[s], i[s], j[s])
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield search(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t["key"][0].as_py())), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
 
 
-def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    left, right = (points.select(F.col("rep").alias(c), F.col("points").alias(f"p{c}")) for c in "ab")
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(_verify, "a long, b long"), "media-links")
+def _verified(pairs: DataFrame, points: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) that are copies; only the corners of images in a pair are moved, once for each image."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), f"media-{name}-ids")
+    needed = written(points.join(small(ids), "rep", "left_semi").dropDuplicates(["rep"]), f"media-{name}-points")
+    left, right = (needed.select(F.col("rep").alias(c), F.col("points").alias(f"p{c}")) for c in "ab")
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(_verify, "a long, b long"), f"media-{name}-links")
+    forget(ids, needed)
+    return links
 
 
 def copies(images: DataFrame, key: str = "media_id", column: str = "image") -> DataFrame:
@@ -258,27 +326,26 @@ def copies(images: DataFrame, key: str = "media_id", column: str = "image") -> D
     rows = rows.withColumn("hash", F.sha2(F.coalesce("image", F.lit(b"").cast("binary")), 256))
     feats = written(rows.select("id", "image", "hash").mapInArrow(_features, "id long, hash string, points binary, n_points long"), "media-points")
     known = feats.where("id is not null")
-    classes = written(known.groupBy("hash").agg(F.min("id").alias("rep"), F.count("*").alias("n_class"), F.first("points").alias("points")), "media-classes")
-    points = classes.where(F.length("points") > 0).select("rep", "points").dropDuplicates(["rep"])
-    entries = written(points.mapInArrow(_entries, "key long, rep long, bits binary"), "media-entries")
-    keys = written(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").drop("last"), "media-keys")
-    shared = written(entries.join(small(keys), "key"), "media-shared")
-    votes = shared.where("rep <> head").groupBy("rep", "head").agg(F.countDistinct("key").alias("v")).where(F.col("v") >= MIN_SHARED)
-    star = votes.groupBy("rep").agg(F.max(F.struct("v", (-F.col("head")).alias("h"))).alias("x")).select((-F.col("x.h")).alias("a"), F.col("rep").alias("b"))
-    star = written(star, "media-star")
-    near = _verified(star, points)
-    label = components(near, "media-star")
-    placed = written(shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "bits", "m", F.coalesce("component", "rep").alias("comp")), "media-placed")
-    open_keys = written(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "media-open")
-    leaves = placed.join(small(open_keys), "key", "left_semi").withColumn("nb", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep", "bits"), F.col("nb")))
-    sides = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    dealt = leaves.select("key", F.explode(sides).alias("s"), "rep", "comp", "bits").select("key", "s.i", "s.j", "s.side", "rep", "comp", "bits")
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_pairs, "a long, b long, key long")
-    found = found.distinct().groupBy("a", "b").agg(F.count("*").alias("v")).where(F.col("v") >= MIN_SHARED).select("a", "b")
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(written(found.join(tried, ["a", "b"], "left_anti"), "media-more"), points)
+    classes = written(known.groupBy("hash").agg(F.min("id").alias("rep"), F.count("*").alias("n_class")), "media-classes")
+    nodes = written(classes.groupBy("rep").agg(F.xxhash64(F.min("hash")).alias("of")), "media-nodes")
+    points = known.where("n_points > 0").join(small(nodes), (F.col("id") == F.col("rep")) & (F.xxhash64("hash") == F.col("of"))).select("rep", "points")
+    entries = points.mapInArrow(_entries, "key long, rep long")
+    star = written(entries.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_star, "key long, head long, rep long, i long"), "media-star")
+    votes = star.groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("v"))
+    first = written(votes.where(F.col("v") >= MIN_SHARED).select("a", "b"), "media-first")
+    near = _verified(first, points, "first")
+    label = components(near, "media-first")
+    # entries of three images or more, of which some are still apart: all pairs with the first one were counted above
+    many = written(star.groupBy("key").agg(F.max("i").alias("last"), F.min("head").alias("head")).where("last > 1").select("key", "head"), "media-many")
+    members = star.select("key", "rep").join(small(many), "key").select("key", "head", "rep").unionByName(many.select("key", "head", F.col("head").alias("rep")))
+    leaves = written(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("comp"), "rep"), "media-leaves")
+    met = spread(cross_blocks(leaves, ["rep"], BLOCK), "key", "i", "j").mapInArrow(_block_pairs, "key long, a long, b long").distinct()
+    met = met.join(small(many), "key").where("a <> head").groupBy("a", "b").agg(F.count("*").alias("w"))
+    more = met.join(votes, ["a", "b"], "left").where(F.col("w") + F.coalesce("v", F.lit(0)) >= MIN_SHARED).select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = _verified(written(more, "media-more"), points, "more")
     label = components(near.union(more), "media-all")
-    final = written(classes.select("hash", "rep", "n_class").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("hash", "n_class", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")), "media-final")
+    final = written(classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("hash", "n_class", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")), "media-final")
+    forget(star, leaves, many, nodes)
     linked = known.select("id", "hash", "n_points").join(small(final), "hash").select(F.col("id").alias(key), "n_points", "class_id", "n_class", "component_id")
     lone = feats.where("id is null").select(F.col("id").alias(key), "n_points", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_class"), F.lit(None).cast("long").alias("component_id"))
     return linked.unionByName(lone)
@@ -288,18 +355,20 @@ def copies(images: DataFrame, key: str = "media_id", column: str = "image") -> D
 
 SIDE = 96
 _f = np.random.default_rng(9)
-_WAVES = _f.uniform(-0.13, 0.13, (64, 2))
+_WAVES = _f.uniform(-0.2, 0.2, (64, 2))
 _yy, _xx = np.mgrid[0:SIDE, 0:SIDE]
 _PHASE = 2 * np.pi * (_WAVES[:, :1] * _xx.ravel() + _WAVES[:, 1:] * _yy.ravel())
 _COS, _SIN = np.cos(_PHASE).astype(np.float32), np.sin(_PHASE).astype(np.float32)
 
 
-def rendered(embedding: np.ndarray) -> np.ndarray:
-    """A picture of waves whose phases are the vector's values: different vectors give unlike pictures."""
-    e = np.zeros(64)
-    e[: min(64, len(embedding))] = np.asarray(embedding, float)[:64]
-    x = np.cos(40 * e).astype(np.float32) @ _COS - np.sin(40 * e).astype(np.float32) @ _SIN
-    return (128 + 18 * x).clip(0, 255).reshape(SIDE, SIDE)
+def rendered(embeddings: list) -> np.ndarray:
+    """Pictures of waves whose phases are the vectors' values: different vectors give unlike pictures."""
+    e = np.zeros((len(embeddings), 64), np.float32)
+    for k, v in enumerate(embeddings):
+        if v:
+            e[k, : len(v)] = [0.0 if x is None else x for x in v[:64]]
+    x = np.cos(40 * e) @ _COS - np.sin(40 * e) @ _SIN
+    return (128 + 18 * x).clip(0, 255).reshape(-1, SIDE, SIDE)
 
 
 def edited(grey: np.ndarray, kind: int) -> np.ndarray:
@@ -318,8 +387,8 @@ def media_from_embeddings(embeddings: DataFrame, every: int = 10) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 ids, out = [], []
-                for v, e in zip(*(b.column(k).slice(lo, 256).to_pylist() for k in range(2)), strict=True):
-                    x = rendered(e or [])
+                keys, vectors = (b.column(k).slice(lo, 256).to_pylist() for k in range(2))
+                for v, x in zip(keys, rendered(vectors), strict=True):
                     ids.append(None if v is None else 2 * v)
                     out.append(pgm(x))
                     if v is not None and v % every == 3:

@@ -2,18 +2,22 @@
 
 1. One Arrow pass gives every document its shingle count, a 128-bit hash of the
    shingle set, banded minhash keys and a bitmap. Equal sets become one class.
-2. A band key is the root of one signature tree: its documents are the leaves,
-   inner nodes hold the OR of their bitmaps and the range of their sizes. Every
-   document is first tested against the root's first leaf (its leader), exactly.
-3. What the tested links leave in different components of a tree is searched by
-   dual traversal: a pair of nodes is cut when their largest possible overlap is
-   under the least that a link needs, or when both lie in one component. Trees
-   with many leaves are split into blocks, so no key ends up in one task.
-4. Surviving pairs are tested on the exact shingle sets; components of all links
-   are found by label spreading.
+2. The documents of one band key are the leaves of a signature tree, ordered by size
+   and bitmap: a node holds the OR of its leaves' bitmaps and the range of their sizes,
+   FAN nodes make one of the next level, up to one root. A pair of nodes is pruned when
+   the largest overlap that its bitmaps and sizes allow is under the least that a link
+   needs.
+3. First round: each leaf gets, of the pairs that a traversal of its tree with itself
+   leaves, the one with the largest possible overlap, and that with the tree's first
+   leaf. The best of either kind over all of a document's trees are tested exactly.
+4. Second round: what the links so far leave in different components of a tree is
+   searched by dual traversal, everything that its bounds leave is tested. Large trees
+   are dealt in blocks, and only leaves outside a tree's largest component against all.
+5. Pairs are tested on the exact shingle sets; components of all links are found by
+   label spreading.
 
 That is enough for components. ``jaccard_links`` counts every link: it searches all
-trees and cuts a pair of nodes by its bounds alone, never by components.
+trees and prunes a pair of nodes by its bounds alone, never by components.
 
 Band keys come from 32 bands of 4 minhashes: a pair at exactly 0.8 shares no band
 with probability (1 - 0.8**4)**32 < 5e-8. All other steps are exact.
@@ -32,12 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as T
-from .shared import components, small, written
+from .shared import components, cross_blocks, forget, runs, small, spread, written
 
 BANDS, ROWS = 32, 4
 BITS = 1024
-BLOCK = 1024
-NODE = 32
+#: Leaves on either side of one traversal.
+BLOCK = 512
+#: Children of a node.
+FAN = 8
+#: Pairs that one document is tested against in one task.
+PARTNERS = 1000
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -111,12 +119,12 @@ def needed(na, nb, percent: int):
 def compare(percent: int):
     def run(batches):
         for batch in batches:
-            d = batch.to_pydict()
+            ids, ta, tb = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
             hit, last, left = [], None, None
-            for i, (x, y) in enumerate(zip(d["ta"], d["tb"], strict=True)):
-                if d["a"][i] != last:
-                    last, left = d["a"][i], np.frombuffer(x, np.uint64)
-                right = np.frombuffer(y, np.uint64)
+            for i in range(batch.num_rows):
+                if ids[i] != last:
+                    last, left = ids[i], np.frombuffer(ta[i].as_buffer(), np.uint64)
+                right = np.frombuffer(tb[i].as_buffer(), np.uint64)
                 at = np.searchsorted(left, right)
                 both = int((left[np.minimum(at, len(left) - 1)] == right).sum()) if len(left) else 0
                 if both >= needed(len(left), len(right), percent):
@@ -126,84 +134,135 @@ def compare(percent: int):
     return run
 
 
-def dual_traversal(n, extra, comp, bits, left, right, percent, links=False):
-    """Index pairs of leaves from ``left`` x ``right`` (slices over the sorted leaves) that the bounds leave; without ``links`` none within a component.
+class Tree:
+    """A signature tree. Level 0 has the leaves, the last level one root; a level has arrays lo, hi (sizes), extra, bits and c0, c1 (components).
 
-    The overlap of two sets is at most the bits they share plus the smaller
-    number of shingles hidden behind an already set bit.
+    ``extra`` is how many shingles hide behind an already set bit: the overlap of two
+    sets is at most the bits that they share plus the smaller of their extras.
     """
 
-    def nodes(part):
-        order = part[np.lexsort((n[part], comp[part]))]
-        cut = np.arange(0, len(order), NODE)
-        return order, cut, dict(lo=np.minimum.reduceat(n[order], cut), hi=np.maximum.reduceat(n[order], cut), extra=np.maximum.reduceat(extra[order], cut), c0=np.minimum.reduceat(comp[order], cut), c1=np.maximum.reduceat(comp[order], cut), bits=np.bitwise_or.reduceat(bits[order], cut, axis=0))
-
-    def open_pairs(a_lo, a_hi, a_extra, a_bits, b_lo, b_hi, b_extra, b_bits):
-        room = np.minimum(np.bitwise_count(a_bits[:, None] & b_bits[None]).sum(2, dtype=np.int64) + np.minimum(a_extra[:, None], b_extra[None]), np.minimum(a_hi[:, None], b_hi[None]))
-        return (room >= needed(a_lo[:, None], b_lo[None], percent)) & (100 * b_hi[None] >= percent * a_lo[:, None]) & (100 * a_hi[:, None] >= percent * b_lo[None])
-
-    oa, ca, na = nodes(left)
-    same = right is left
-    ob, cb, nb = (oa, ca, na) if same else nodes(right)
-    keep = open_pairs(*(na[k] for k in ("lo", "hi", "extra", "bits")), *(nb[k] for k in ("lo", "hi", "extra", "bits")))
-    if not links:
-        keep &= ~((na["c0"] == na["c1"])[:, None] & (nb["c0"] == nb["c1"])[None] & (na["c0"][:, None] == nb["c0"][None]))
-    if same:
-        keep = np.triu(keep)
-    out = []
-    for i, j in zip(*np.nonzero(keep), strict=True):
-        x, y = oa[ca[i] : ca[i] + NODE], ob[cb[j] : cb[j] + NODE]
-        pair = open_pairs(n[x], n[x], extra[x], bits[x], n[y], n[y], extra[y], bits[y])
-        if not links:
-            pair &= comp[x][:, None] != comp[y][None]
-        elif same and i == j:
-            pair = np.triu(pair, 1)
-        p, q = np.nonzero(pair)
-        out.append(np.stack((x[p], y[q])))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    def __init__(self, leaf: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray):
+        self.order = leaf[np.lexsort((bits[leaf, 0], n[leaf]))]
+        n, bits, comp = n[self.order], bits[self.order], comp[self.order]
+        self.levels = [dict(lo=n, hi=n, extra=n - np.bitwise_count(bits).sum(1, dtype=np.int64), bits=bits, c0=comp, c1=comp)]
+        merge = dict(lo=np.minimum, hi=np.maximum, extra=np.maximum, bits=np.bitwise_or, c0=np.minimum, c1=np.maximum)
+        while len(self.levels[-1]["lo"]) > 1:
+            below = self.levels[-1]
+            at = np.arange(0, len(below["lo"]), FAN)
+            self.levels.append({k: f.reduceat(below[k], at, axis=0) for k, f in merge.items()})
+
+    def level(self, k: int) -> dict:
+        return self.levels[min(k, len(self.levels) - 1)]
+
+    def children(self, k: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of level k - 1 under nodes of level k, as a matrix, and which of its places are filled."""
+        if k >= len(self.levels):  # a lower tree waits for the other one at its root
+            return node[:, None], np.ones((len(node), 1), bool)
+        kids = node[:, None] * FAN + np.arange(FAN)
+        return kids, kids < len(self.levels[k - 1]["lo"])
+
+
+def possible(x: dict, i: np.ndarray, y: dict, j: np.ndarray, percent: int, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The largest overlap of sets under node i of a level and node j of another, and whether a link is possible. ``apart``: only between different components."""
+    room = np.empty(len(i), np.int64)
+    for s in range(0, len(i), 1 << 14):
+        p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+        room[s : s + (1 << 14)] = np.bitwise_count(x["bits"][p] & y["bits"][q]).sum(1, dtype=np.int64)
+    room = np.minimum(room + np.minimum(x["extra"][i], y["extra"][j]), np.minimum(x["hi"][i], y["hi"][j]))
+    lo_x, lo_y = x["lo"][i], y["lo"][j]
+    ok = (room >= needed(lo_x, lo_y, percent)) & (100 * y["hi"][j] >= percent * lo_x) & (100 * x["hi"][i] >= percent * lo_y)
+    if apart:
+        ok &= (x["c0"][i] != x["c1"][i]) | (y["c0"][j] != y["c1"][j]) | (x["c0"][i] != y["c0"][j])
+    return room, ok
+
+
+def dual_traversal(a: Tree, b: Tree, percent: int, apart: bool):
+    """Pairs of leaves (numbers in a's and b's order) that the bounds leave, and their largest overlaps. With a tree and itself each pair comes once."""
+    same = a is b
+    top = max(len(a.levels), len(b.levels)) - 1
+    i = j = np.zeros(1, np.int64)
+    if not len(a.order) or not len(b.order):
+        return i[:0], j[:0], i[:0]
+    room, ok = possible(a.level(top), i, b.level(top), j, percent, apart)
+    i, j, room = i[ok], j[ok], room[ok]
+    for k in range(top, 0, -1):
+        out = []
+        for s in range(0, len(i), 4096):  # a bounded number of pairs of nodes at a time
+            x, fx = a.children(k, i[s : s + 4096])
+            y, fy = b.children(k, j[s : s + 4096])
+            keep = (fx[:, :, None] & fy[:, None, :]).ravel()
+            p = np.broadcast_to(x[:, :, None], (*x.shape, y.shape[1])).ravel()[keep]
+            q = np.broadcast_to(y[:, None, :], (len(x), x.shape[1], y.shape[1])).ravel()[keep]
+            if same:
+                up = p < q if k == 1 else p <= q
+                p, q = p[up], q[up]
+            room, ok = possible(a.level(k - 1), p, b.level(k - 1), q, percent, apart)
+            out.append((p[ok], q[ok], room[ok]))
+        i, j, room = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (i[:0], j[:0], room[:0])
+    if same and top == 0:
+        i, j, room = i[:0], j[:0], room[:0]
+    return i, j, room
+
+
+def _leaves(t: pa.Table):
+    n, comp, rep = (t[c].to_numpy() for c in ("n", "comp", "rep"))
+    bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(n), BITS // 64)
+    return n, comp, rep, bits
+
+
+def first_pairs(percent: int):
+    """For runs of one (key, i): each leaf's best pair in its tree (kind 0) and the one with the tree's first leaf (kind 1), as (rep, kind, room, other). The first leaf is in every block of its key."""
+
+    def run(batches):
+        for t in runs(batches, 2):
+            n, comp, rep, bits = _leaves(t)
+            tree = Tree(np.arange(len(n)), n, bits, comp)
+            i, j, room = dual_traversal(tree, tree, percent, False)
+            x, y = tree.order[i], tree.order[j]
+            last = np.flatnonzero(np.diff(np.append(y[by := np.lexsort((room, y))], -1)))
+            best = by[last]
+            head = np.flatnonzero((rep[x] == t["head"][0].as_py()) | (rep[y] == t["head"][0].as_py()))
+            for kind, pick in ((0, best), (1, head)):
+                a, b = rep[x[pick]], rep[y[pick]]
+                if kind:  # the first leaf is the other one
+                    swap = b == t["head"][0].as_py()
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.full(len(b), kind)), pa.array(room[pick]), pa.array(a)], names=["rep", "kind", "room", "other"])
+
+    return run
 
 
 def tree_pairs(percent: int, links: bool = False):
-    """Runs of rows with one (key, i, j) are the leaves of one pair of blocks; a run may span batches."""
-
-    def search(rows):
-        t = pa.Table.from_batches(rows)
-        n, comp, rep, side = (t[c].to_numpy() for c in ("n", "comp", "rep", "side"))
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(n), BITS // 64)
-        extra = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        found = dual_traversal(n, extra, comp, bits, left, right if len(right) else left, percent, links)
-        a, b = rep[found[0]], rep[found[1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    """Runs of rows with one (key, i, j) are the leaves of one pair of blocks: the pairs (a, b) that dual traversal leaves. With ``links`` also pairs inside a component, and a run of one side is a tree against itself."""
 
     def run(batches):
-        held, key = [], None
-        for batch in batches:
-            if not batch.num_rows:
+        for t in runs(batches, 3):
+            n, comp, rep, bits = _leaves(t)
+            side = t["side"].to_numpy()
+            left = Tree(np.flatnonzero(side == 0), n, bits, comp) if (side == 0).any() else None
+            right = Tree(np.flatnonzero(side == 1), n, bits, comp) if (side == 1).any() else None
+            if left is None or right is None and not links:
                 continue
-            k, i, j = (batch.column(x).to_numpy() for x in range(3))
-            cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for s, e in zip(np.append(0, cut), np.append(cut, batch.num_rows), strict=True):
-                if held and key != (k[s], i[s], j[s]):
-                    yield search(held)
-                    held = []
-                key = (k[s], i[s], j[s])
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield search(held)
+            right = left if right is None else right
+            i, j, _ = dual_traversal(left, right, percent, not links)
+            a, b = rep[left.order[i]], rep[right.order[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact shingle sets are similar enough; only the texts in a pair are read into sets."""
+    """The pairs (a, b) whose exact shingle sets are similar enough; only the texts in a pair are read into sets, and an ``a`` of many pairs is dealt to several tasks."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = written(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(set_rows(width), "doc_id long, toks binary").dropDuplicates(["doc_id"]), "sets")
-    heads = sets.join(small(written(pairs.select(F.col("a").alias("doc_id")).distinct(), "heads")), "doc_id", "left_semi")
-    rows = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b").join(heads.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), "a")
-    return written(rows.select("a", "b", "ta", "tb").mapInArrow(compare(percent), "a long, b long"), "links")
+    share = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "shares")
+    heads = sets.join(small(share.withColumnRenamed("a", "doc_id")), "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("toks").alias("ta"))
+    dealt = pairs.join(small(share), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    rows = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b").join(heads, ["a", "part"])
+    links = written(rows.select("a", "b", "ta", "tb").mapInArrow(compare(percent), "a long, b long"), "links")
+    forget(ids, sets, share)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -225,21 +284,29 @@ def _joined(docs: DataFrame, width: int, percent: int, links: bool) -> DataFrame
     entries = reps.select("rep", "n", F.explode("bands").alias("key"))
     keys = written(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head")).where("m > 1"), "keys")
     shared = written(entries.join(small(keys), "key"), "shared")
-    votes = shared.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("v"))
-    star = votes.groupBy("rep").agg(F.max(F.struct("v", (-F.col("head")).alias("h"))).alias("x")).select((-F.col("x.h")).alias("a"), F.col("rep").alias("b"))
-    near = verified(docs, star, width, percent)
-    label = components(near, "star")
-    placed = written(shared.select("key", "rep", "n", "m").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
-    if not links:  # a tree within one component adds nothing to the components
-        open_keys = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "open")
-        placed = placed.join(small(open_keys), "key", "left_semi")
-    leaves = placed.join(reps.select("rep", "bits"), "rep").withColumn("nb", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")))
-    # a leaf goes to every pair of blocks that its own is in, once for each side it stands on
-    sides = F.flatten(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.array(F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))))
-    dealt = leaves.select("key", F.explode(sides).alias("s"), "rep", F.col("component").alias("comp"), "n", "bits").select("key", "s.i", "s.j", "s.side", "rep", "comp", "n", "bits")
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tree_pairs(percent, links), "a long, b long").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    signs = reps.select("rep", "bits")
+    # first round: blocks of a tree's leaves, its first leaf in each of them
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    block = F.when(F.col("rep") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
+    rooted = shared.join(signs, "rep").select("key", F.explode(block).alias("i"), "head", "rep", F.col("rep").alias("comp"), "n", "bits")
+    best = spread(rooted, "key", "i").mapInArrow(first_pairs(percent), "rep long, kind long, room long, other long")
+    best = best.groupBy("rep", "kind").agg(F.max(F.struct("room", "other")).alias("x")).select(F.least("rep", "x.other").alias("a"), F.greatest("rep", "x.other").alias("b")).distinct()
+    first = written(best, "first")
+    near = verified(docs, first, width, percent)
+    label = components(near, "first")
+    placed = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "m", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    # second round
+    if links:
+        leaves = placed.join(signs, "rep").withColumn("nb", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")))
+        # a leaf goes to every pair of blocks that its own is in, once for each side it stands on
+        sides = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
+        dealt = leaves.select("key", F.explode(sides).alias("s"), "rep", "comp", "n", "bits").select("key", "s.i", "s.j", "s.side", "rep", "comp", "n", "bits")
+    else:  # a tree within one component adds nothing to the components
+        dealt = cross_blocks(written(placed, "placed"), ["rep", "n"], BLOCK).join(signs, "rep").select("key", "i", "j", "side", "rep", "comp", "n", "bits")
+    found = spread(dealt, "key", "i", "j").mapInArrow(tree_pairs(percent, links), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = verified(docs, found, width, percent)
     label = components(near.union(more), "all")
+    forget(shared, keys)
     final = written(classes.select("n", "s1", "s2", "rep", "n_class").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", "rep", "n_class", F.coalesce("component", "rep").alias("component_id")), "final")
     linked = known.select("doc_id", "n", "s1", "s2").join(small(final), ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"), "n_class")
     alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))

@@ -34,3 +34,34 @@ def test_links_within_a_component(spark, sf_dir, duck):
     assert {r.doc_id: r.n_links for r in got.collect()} == want and max(want.values()) > 40
     assert sorted(map(tuple, got.drop("n_links").collect())) == sorted(map(tuple, jaccard_components(df).collect()))
     assert_same(Q.op10_ngram_links(spark, sf_dir), duck.sql(Q.LINKS_SQL))
+
+
+def test_the_tree_leaves_every_link_and_prunes_the_rest():
+    from lodestone.llm import ngram_join as N
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, int(rng.integers(5, 900)), dtype=np.uint64)
+        for _ in range(5):
+            edit = base.copy()
+            k = int(len(edit) * rng.uniform(0, 0.3))
+            edit[:k] = rng.integers(0, 2**63, k, dtype=np.uint64)
+            sets.append(np.unique(edit))
+    n = np.array([len(x) for x in sets])
+    bits = np.zeros((len(sets), N.BITS), bool)
+    for k, x in enumerate(sets):
+        bits[k, (x >> np.uint64(54)).astype(int)] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    comp = rng.integers(0, 3, len(sets))
+    real = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - both)}
+    tree = N.Tree(np.arange(len(sets)), n, bits, comp)
+    assert len(tree.levels) > 3 and len(tree.levels[-1]["lo"]) == 1
+    i, j, room = N.dual_traversal(tree, tree, 80, False)
+    got = {tuple(sorted(p)) for p in zip(tree.order[i].tolist(), tree.order[j].tolist(), strict=True)}
+    assert len(got) == len(i) and real <= got and len(got) < 0.2 * len(sets) ** 2 / 2
+    half = np.arange(len(sets)) % 2 == 0
+    a, b = N.Tree(np.flatnonzero(half), n, bits, comp), N.Tree(np.flatnonzero(~half), n, bits, comp)
+    i, j, _ = N.dual_traversal(a, b, 80, True)
+    got = {tuple(sorted(p)) for p in zip(a.order[i].tolist(), b.order[j].tolist(), strict=True)}
+    assert {(i, j) for i, j in real if (i - j) % 2 and comp[i] != comp[j]} <= got and all(comp[i] != comp[j] for i, j in got)
