@@ -262,11 +262,9 @@ def keys(bits: np.ndarray) -> np.ndarray:
 
 def _entries(batches):
     """(key, rep) for each corner and table."""
-    for b in batches:
+    for b in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
         ids = b.column(0).to_numpy()
         points = [np.frombuffer(x.as_buffer(), POINT) for x in b.column(1)]
-        if not points:
-            continue
         own = np.repeat(ids, [len(p) for p in points])
         for k in keys(np.concatenate([p["bits"] for p in points])):
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own)], names=["key", "rep"])
