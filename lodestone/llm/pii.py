@@ -1,7 +1,9 @@
 r"""Personal data: fixed patterns, then information-theoretic sanitisation of terms that reveal them. DataFrame functions only.
 
-Every base match is a protected entity (its kind and normalised value). For a
-term t and an entity e, over all texts, with N words in all,
+Every base match stands for two protected entities: its kind and normalised value, and
+a part that other values share (an e-mail's domain, a card's issuer digits, an
+address's network, a phone number's first digits). For a term t and an entity e, over
+all texts, with N words in all,
 
     PMI(t; e) = ln( n(t, e) * N / (n(t) * n(e)) ),   IC(e) = -ln( n(e) / N )
 
@@ -9,8 +11,9 @@ where n(t) counts t in all texts, n(e) the context words of e (CONTEXT words on
 either side of a match) and n(t, e) those of them that are t. Their ratio tells
 how much of the entity's information the term gives away; it is 1 if t occurs
 nowhere else. From GENERALISE on a term is generalised to a class word, from
-REMOVE on it is removed, in every text that holds the entity. A term needs
-SUPPORT different contexts of the entity, so one text and its exact copies alone
+REMOVE on it is removed, in every text that holds the entity. Any run of letters and
+digits is a term, short ones and numbers too; the ratio alone spares common ones. A term
+needs SUPPORT different contexts of the entity, so one text and its exact copies alone
 accuse nothing.
 
 Offsets are code points, end exclusive. Java's possessive quantifiers give the
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, written
+from .shared import forget, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns: the contract's, possessive where nothing that follows could take a character back, and begun only where a leftmost match can begin.
@@ -42,10 +45,10 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WORD = r"[\p{L}\p{N}]++"
 #: Fixed thresholds.
-CONTEXT, SUPPORT, MIN_LETTERS = 8, 3, 4
+CONTEXT, SUPPORT = 8, 2
 GENERALISE, REMOVE = 0.9, 0.99
-#: Characters on either side of a match that are searched for its context words.
-REACH = 200
+#: Characters on either side of a match that are searched first for its context words; where they hold too few, the whole side is.
+REACH = 160
 
 
 def _digits(m: Column) -> Column:
@@ -113,6 +116,28 @@ def normalised(kind: Column, m: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(m)).otherwise(F.lower(m)))
 
 
+def entities(x: Column) -> Column:
+    """The protected entities of a match struct (kind, m): its value, and the part that it shares with others."""
+    digits, low = _digits(x["m"]), F.lower(x["m"])
+    part = F.when(x["kind"] == "email", F.substring_index(low, "@", -1)).when(x["kind"] == "ip", F.substring_index(low, ".", 3)).when(x["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5))
+    return F.array(normalised(x["kind"], x["m"]), F.concat_ws("/", x["kind"], part))
+
+
+def _words(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+
+
+def context(text: Column, s: Column, e: Column) -> Column:
+    """The CONTEXT words before s, nearest first, and the CONTEXT words from e on. A window of REACH characters settles most; a word at its edge may be cut and does not count."""
+    before, after = F.substr(text, F.greatest(F.lit(1), s + 1 - REACH), F.least(F.lit(REACH), s)), F.substr(text, e + 1, F.lit(REACH))
+    left = _words(F.when(s > REACH, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before))
+    left = F.when((s > REACH) & (F.size(left) < CONTEXT), _words(F.substr(text, F.lit(1), s))).otherwise(left)
+    more = F.length(text) > e + REACH
+    right = _words(F.when(more, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after))
+    right = F.when(more & (F.size(right) < CONTEXT), _words(F.substr(text, e + 1, F.length(text)))).otherwise(right)
+    return F.concat(F.slice(F.reverse(left), 1, CONTEXT), F.slice(right, 1, CONTEXT))
+
+
 def with_base(docs: DataFrame) -> DataFrame:
     """docs with ``_pii_<kind>`` columns of base spans."""
     return docs.select("*", *(base_spans(F.col("text"), k).alias(f"_pii_{k}") for k in KINDS))
@@ -124,7 +149,7 @@ def _of_kind(kind: str, spans: str) -> Column:
 
 def _all(kinds=KINDS) -> Column:
     """array<struct<kind, s, e, m>> of the base columns, by kind as listed, then start."""
-    return F.concat(*(_of_kind(k, f"_pii_{k}") for k in kinds))
+    return F.concat(*(_of_kind(k, f"_pii_{k}") for k in kinds)).cast("array<struct<kind:string,s:int,e:int,m:string>>")
 
 
 def _key() -> Column:
@@ -133,38 +158,34 @@ def _key() -> Column:
 
 def disclosing(based: DataFrame) -> DataFrame:
     """text_key, terms (array<struct<term, removed>>): for each different text with entities, the terms that reveal one of them. ``based`` has the text and its base spans."""
-    has = F.size(_all()) > 0
+    with_entities = based.where(F.size(_all()) > 0)
     text = F.col("text")
-    hit = based.where(has).select("text", F.explode(_all()).alias("x"))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-    # a word cut off at the edge of the reach is no word
-    left = F.regexp_replace(F.substr(text, F.greatest(F.lit(1), F.col("x.s") + 1 - REACH), F.least(F.lit(REACH), F.col("x.s"))), r"^[\p{L}\p{N}]++" if REACH else "", "")
-    left = F.when(F.col("x.s") > REACH, left).otherwise(F.substr(text, F.lit(1), F.col("x.s")))
-    right = F.substr(text, F.col("x.e") + 1, F.lit(REACH))
-    right = F.when(F.length(text) > F.col("x.e") + REACH, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    near = F.concat(F.slice(F.reverse(words(left)), 1, CONTEXT), F.slice(words(right), 1, CONTEXT))
-    contexts = written(hit.select(_key().alias("text_key"), normalised(F.col("x.kind"), F.col("x.m")).alias("entity"), near.alias("near")), "pii-contexts")
+    hit = with_entities.select("text", F.explode(_all()).alias("x"))
+    contexts = hit.select(context(text, F.col("x.s"), F.col("x.e")).alias("near"), F.explode(entities(F.col("x"))).alias("entity"))
+    contexts = written(contexts.select("entity", "near", F.xxhash64("near").alias("c")), "pii-contexts")
     entity = contexts.groupBy("entity").agg(F.sum(F.size("near")).alias("ne"))
-    pair = contexts.select("entity", F.xxhash64("near").alias("c"), F.explode("near").alias("term")).where((F.length("term") >= MIN_LETTERS) & F.col("term").rlike(r"\p{L}"))
+    pair = contexts.select("entity", "c", F.explode("near").alias("term"))
     pair = pair.groupBy("entity", "term", "c").agg(F.count("*").alias("k")).groupBy("entity", "term").agg(F.sum("k").alias("nte"), F.count("*").alias("contexts"))
     pair = written(pair.where(F.col("contexts") >= SUPPORT), "pii-pairs")
     terms = written(pair.select("term").distinct(), "pii-terms")
-    n_terms = terms.count()
-    none = contexts.select("text_key").limit(0).withColumn("terms", F.array().cast("array<struct<term:string,removed:boolean>>"))
-    if not n_terms:
+    none = based.select(F.lit("").alias("text_key"), F.array().cast("array<struct<term:string,removed:boolean>>").alias("terms")).limit(0)
+    if terms.isEmpty():
         return none
     every = based.where(text.isNotNull())
-    total = every.agg(F.sum(F.size(F.split(text, r"[^\p{L}\p{N}]+")))).first()[0]
+    total = every.agg(F.sum(F.regexp_count(text, F.lit(WORD)))).first()[0]
     # counted before the join, which then sees each word once (a semi-join would be moved below the counting again)
-    counted = every.select(F.explode(words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("nt")).join(small(terms, n_terms), "term")
-    n_pairs = pair.count()
+    counted = every.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("nt")).join(small(terms), "term")
     pmi = F.log(F.col("nte") * F.lit(float(total)) / (F.col("nt") * F.col("ne")))
     ratio = pmi / F.greatest(F.lit(1e-9), F.log(F.lit(float(total)) / F.col("ne")))
     bad = pair.join(counted, "term").join(entity, "entity").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= GENERALISE)
     bad = written(bad, "pii-bad")
-    of_text = contexts.select("text_key", "entity").distinct().join(small(bad, min(n_pairs, bad.count())), "entity")
-    worst = of_text.groupBy("text_key", "term").agg((F.max("ratio") >= REMOVE).alias("removed"))
-    return written(worst.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("terms")), "pii-terms-of-texts")
+    # a text meets the terms through its own words, so an entity of many texts and many terms makes no product
+    own = F.array_distinct(F.flatten(F.transform(_all(), entities)))
+    words_of = with_entities.select(_key().alias("text_key"), own.alias("own"), F.explode(F.array_distinct(_words(text))).alias("term"))
+    worst = words_of.join(small(bad), "term").where(F.array_contains("own", F.col("entity"))).groupBy("text_key", "term").agg((F.max("ratio") >= REMOVE).alias("removed"))
+    out = written(worst.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("terms")), "pii-terms-of-texts")
+    forget(contexts, pair, terms, bad)
+    return out
 
 
 def _term_spans() -> Column:

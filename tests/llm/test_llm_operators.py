@@ -155,21 +155,6 @@ def test_pii_base_spans(spark, hostile, docs):
         assert got == sorted(want, key=str)
 
 
-def test_pii_terms_and_sanitising(spark):
-    rows = [(i, f"{w} the agent Zorblatt Quimby writes from z@q.example.com about {w} things", 0) for i, w in enumerate("red blue green black".split())]
-    rows += [(10 + i, f"the agent writes about {w} things from here and there {i}", 0) for i, w in enumerate("red blue green black white".split() * 4)] + [(50, None, 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
-    found = {r.doc_id: r for r in pii.spans(df).collect()}
-    text = dict((r[0], r[1]) for r in rows)
-    for i in range(4):
-        words = [text[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in found[i].spans.split(",")) if k == "term"]
-        assert words == ["Zorblatt", "Quimby"]
-    assert all(found[i].spans == "" for i in found if i >= 10)
-    clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
-    assert clean[0].text == "red the agent   writes from [EMAIL] about red things" and clean[0].n_chars == len(clean[0].text)
-    assert clean[12].text == text[12] and clean[50].text is None
-
-
 def test_html_text(spark, sf_dir):
     rows = Q.table(spark, sf_dir, "pages").collect()
     got = {r.page_id: r for r in Q.op6_html_text(spark, sf_dir).collect()}
