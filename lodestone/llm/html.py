@@ -1,12 +1,23 @@
 """Main text of web pages by composite text density.
 
-Every node of a page's tree gets its characters, tags, link characters and link
-tags. Its density is characters per tag, scaled by a logarithm that falls with the
-share of links. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are cut off first, by element and by class or
-id word. The subtree whose children's densities have the largest sum is the
-article; the least density on its path up to the body is the threshold at which a
-neighbour of that path belongs to it as well.
+Every node of a page's tree gets its characters C, tags T, link characters LC and link
+tags LT (each at least 1 below a fraction). With LCb and Cb of the body and b the
+logarithm's base, its density is
+
+    C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
+
+The subtree whose children's densities have the largest sum is the article. The least
+density and the least characters per tag on its path up to the body, times NEAR, are the
+thresholds at which a neighbour of that path belongs to it as well, bare text included;
+so does a heading before it.
+
+Elements that the contract names (menus, headers, footers, sidebars, forms, scripts,
+styles) and hidden ones are cut off first; a form that holds most of the page's text is
+a wrapper and stays. A class, id or role that speaks of adverts, notices, comments and
+the like is only a weight: it divides the node's density by MARKED, unless the node
+holds most of the page's text in blocks, or a first heading. Marked nodes whose density
+is under the largest one of the path, and blocks that are nothing but several links, are
+left out, inside the article as well. If all of the text is marked, marks count for nothing.
 
 Defined cases: null or empty html, and a page without text, give an empty text;
 unclosed and misnested tags are closed as a browser would for the common elements;
@@ -34,40 +45,49 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 #: An opening tag on the left closes an open element on the right, up to the scope's bounds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "body": {"head"}}
 SCOPE = frozenset("ul ol dl table select article section main div body html td th blockquote".split())
-#: Words of a class or id that mark what is no article.
-BOILERPLATE = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words of a class or id that speak of what is no article.
+BOILERPLATE = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment commentlist comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: A marked node's density is divided by it.
+MARKED = 20.0
+#: The share of the path's least density that a neighbour needs.
+NEAR = 0.5
+HEADINGS, TITLES = frozenset("h1 h2 h3".split()), frozenset("h1 article main".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _WORD = re.compile(r"[a-z0-9]+")
 _WHITE = re.compile(r"\s+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
-
-    def __init__(self, name: str, parent: Node | None, drop: bool):
-        self.name, self.parent, self.drop, self.kids = name, parent, drop, []
+    __slots__ = ("name", "parent", "kids", "drop", "marked", "chars", "tags", "link_chars", "link_tags", "blocks", "titles", "density", "total")
 
+    def __init__(self, name: str, parent: Node | None, attrs: str = ""):
+        self.name, self.parent, self.kids = name, parent, []
+        self.drop = name in DROP
+        self.marked = False
+        if attrs and not self.drop:
+            self._attributes(attrs)
 
-def _dropped(name: str, attrs: str) -> bool:
-    if name in DROP:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
-    for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not BOILERPLATE.isdisjoint(_WORD.findall(value)):
-            return True
-        if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs))
+    def _attributes(self, attrs: str) -> None:
+        for key, value in _ATTR.findall(attrs):
+            key, value = key.lower(), value.strip("\"'").lower()
+            if key in ("class", "id") and self.name not in ("html", "body", "article", "main"):
+                # a word counts at either end of a class's name
+                ends = {w for token in value.split() for pieces in (_WORD.findall(token),) if pieces for w in (pieces[0], pieces[-1])}
+                self.marked |= not BOILERPLATE.isdisjoint(ends)
+            elif key == "role":
+                self.marked |= value in ROLES
+            elif key == "aria-hidden":
+                self.drop |= value == "true"
+        self.drop |= bool(_HIDDEN.search(attrs))
 
 
 def parse(html: str) -> Node:
     """The tree; texts are str kids, their character references decoded."""
-    root = here = Node("#root", None, False)
+    root = here = Node("#root", None)
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -104,7 +124,7 @@ def parse(html: str) -> Node:
                 node = node.parent
             if end is not None:
                 here = end.parent
-        node = Node(name, here, _dropped(name, m[3]))
+        node = Node(name, here, m[3])
         here.kids.append(node)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
@@ -126,12 +146,10 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    """Fills in counts, densities and their sums; the nodes, parents first."""
-    nodes = _ordered(root)
+def _counts(nodes: list[Node]) -> None:
     for x in reversed(nodes):
         x.chars = x.tags = x.link_chars = x.link_tags = 0
-        x.total = 0.0
+        x.blocks = x.titles = False  # whether such elements are under it
         for k in x.kids:
             if isinstance(k, str):
                 x.chars += len(_WHITE.sub(" ", k).strip())
@@ -140,52 +158,145 @@ def measure(root: Node) -> list[Node]:
                 x.tags += k.tags + 1
                 x.link_chars += k.link_chars
                 x.link_tags += k.link_tags
+                x.blocks |= k.blocks or k.name in BLOCK
+                x.titles |= k.titles or k.name in TITLES
         if x.name == "a":
             x.link_chars, x.link_tags = x.chars, x.link_tags + 1
-    body = next((x for x in nodes if x.name == "body"), root)
-    share = body.link_chars / max(1, body.chars)
-    for x in reversed(nodes):
-        tags, links, link_tags, plain = max(1, x.tags), max(1, x.link_chars), max(1, x.link_tags), max(1, x.chars - x.link_chars)
-        if not x.chars:
-            x.density = 0.0
-            continue
-        base = log(x.chars / plain * x.link_chars + share * x.chars + e)
-        inside = x.chars / links * tags / link_tags
-        x.density = max(0.0, x.chars / tags * log(max(inside, 1e-9)) / max(base, 1e-9)) if x.link_chars else x.chars / tags * log(x.chars * tags + e) / max(base, 1.0)
-    for x in nodes:
-        # emphasis and links are part of their block, no pieces of an article by themselves
-        x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.drop and k.name in BLOCK)
-    return nodes
-
-
-def select(root: Node) -> list[Node]:
-    """The article's subtrees in page order."""
-    nodes = measure(root)
-    body = next((x for x in nodes if x.name == "body"), root)
-    inside, stack = set(), [body]
+
+
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    if not chars:
+        return 0.0
+    plain, links = max(1, chars - link_chars), max(1, link_chars)
+    tags, link_tags = max(1, tags), max(1, link_tags)
+    base = log(chars / plain * links + share * chars + e)
+    return chars / tags * log(chars / links * tags / link_tags) / log(base)
+
+
+def _lines(node: Node):
+    """The runs of texts and inline elements between the blocks right under a node."""
+    run = []
+    for k in node.kids:
+        if isinstance(k, Node) and k.name in BLOCK:
+            if run:
+                yield run
+            run = []
+        elif isinstance(k, str) and not k.isspace() or isinstance(k, Node) and not k.drop and k.chars:
+            run.append(k)
+    if run:
+        yield run
+
+
+def _measures(run: list, share: float) -> tuple[float, float]:
+    """Characters per tag and density of a run of texts and inline elements."""
+    chars = sum(len(_WHITE.sub(" ", k).strip()) if isinstance(k, str) else k.chars for k in run)
+    inner = [k for k in run if isinstance(k, Node)]
+    tags = sum(k.tags + 1 for k in inner)
+    return chars / max(1, tags), _density(chars, tags, sum(k.link_chars for k in inner), sum(k.link_tags for k in inner), share)
+
+
+class Page:
+    """A parsed page with its counts, densities and article."""
+
+    def __init__(self, html: str, marks: bool = True):
+        root = parse(html)
+        self.body = self._wrappers(root)
+        body = self.body
+        self.share = body.link_chars / max(1, body.chars)
+        most = (body.chars - body.link_chars) / 2
+        for x in self.nodes:
+            # parents come first, so a mark holds for all that is under it
+            x.marked = marks and (x.marked or x.parent is not None and x.parent.marked) and not (x.chars - x.link_chars > most and x.blocks or x.titles)
+            x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, self.share) / (MARKED if x.marked else 1)
+        for x in self.nodes:
+            # emphasis and links are part of their block, no pieces of an article by themselves
+            x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.drop and k.name in BLOCK)
+            x.total += sum(_measures(run, self.share)[1] for run in _lines(x)) if x.name in BLOCK or x is body else 0.0
+            x.total /= MARKED if x.marked else 1
+        inside = _ordered(body)
+        self.best = max((x for x in inside if x.name in BLOCK or x is body), key=lambda x: x.total, default=body)
+        self.path, node = [], self.best
+        while node is not body:
+            self.path.append(node)
+            node = node.parent
+        self.path.append(body)
+        self.least = NEAR * min(x.density for x in self.path)
+        self.least_plain = NEAR * min(x.chars / max(1, x.tags) for x in self.path)
+        self.most = max(x.density for x in self.path)
+
+    def _wrappers(self, root: Node) -> Node:
+        """The body, after forms that hold most of the page's text were opened."""
+        dropped = [x for x in _all_nodes(root) if x.name == "form" and x.drop]
+        for x in dropped:
+            x.drop = False
+        self.nodes = _ordered(root)
+        _counts(self.nodes)
+        body = next((x for x in self.nodes if x.name == "body"), root)
+        most = (body.chars - body.link_chars) / 2
+        closed = [x for x in dropped if x not in self.nodes or x.chars - x.link_chars <= most]
+        for x in closed:
+            x.drop = True
+        if closed:
+            self.nodes = _ordered(root)
+            _counts(self.nodes)
+        return body
+
+    def left_out(self, x: Node) -> bool:
+        """Whether a block inside the article is no part of it."""
+        return x.marked and x.density < self.most or x.name in BLOCK and x.link_tags > 2 and x.link_chars >= x.chars > 0
+
+    def near(self, plain: float, density: float) -> bool:
+        return density >= self.least and plain >= self.least_plain
+
+    def blocks(self) -> list[str]:
+        """The article's blocks in page order: down the path, the article, and up again."""
+        out, after = [], []
+        for node, child in zip(self.path[:0:-1], self.path[-2::-1], strict=True):
+            before, behind = self._sides(node, child)
+            out += before
+            after.append(behind)
+        out += block_texts(self.best, self.left_out)
+        return out + [t for behind in reversed(after) for t in behind]
+
+    def _sides(self, node: Node, child: Node) -> tuple[list[str], list[str]]:
+        """The texts of the neighbours of the path that belong to the article: those before and those after it."""
+        sides: tuple[list[str], list[str]] = [], []
+        side, line = 0, []
+
+        def flush():
+            if line and self.near(*_measures(line, self.share)) and any(isinstance(k, str) for k in line):
+                holder = Node("div", None)
+                holder.kids = list(line)
+                sides[side].extend(block_texts(holder, self.left_out))
+            line.clear()
+
+        for k in node.kids:
+            if isinstance(k, Node) and (k.name in BLOCK or k is child):
+                flush()
+                if k is child:
+                    side = 1
+                elif not k.drop and k.chars > k.link_chars and not self.left_out(k) and (self.near(k.chars / max(1, k.tags), k.density) or not side and _heading(k)):
+                    sides[side].extend(block_texts(k, self.left_out))
+            elif isinstance(k, str) and not k.isspace() or isinstance(k, Node) and not k.drop and k.chars:
+                line.append(k)
+        flush()
+        return sides
+
+
+def _all_nodes(root: Node):
+    stack = [root]
     while stack:
         node = stack.pop()
-        inside.add(node)
-        stack.extend(k for k in node.kids if isinstance(k, Node) and not k.drop)
-    best = max((x for x in nodes if x in inside), key=lambda x: x.total, default=body)
-    if best.name not in BLOCK and best is not body:  # a line of emphasis is part of its block
-        while best.parent is not None and best.name not in BLOCK:
-            best = best.parent
-    path, node = [], best
-    while node is not None and node is not body:
-        path.append(node)
-        node = node.parent
-    path.append(body)
-    if len(path) > 1 and path[-2].name != "#root" and body not in (x.parent for x in path):
-        return [body]
-    threshold = min(x.density for x in path)
-    chosen = {best}
-    for x in path[1:]:  # neighbours on the way up; text right under a node of the path stays out
-        chosen |= {k for k in x.kids if isinstance(k, Node) and not k.drop and k not in path and k.density >= threshold and k.chars > k.link_chars}
-    return [x for x in nodes if x in chosen]
-
-
-def block_texts(node: Node) -> list[str]:
+        yield node
+        stack.extend(k for k in node.kids if isinstance(k, Node))
+
+
+def _heading(x: Node) -> bool:
+    """Whether all text under an unmarked node is that of headings."""
+    return not x.marked and x.chars > 0 and x.chars == sum(k.chars for k in _ordered(x) if k.name in HEADINGS)
+
+
+def block_texts(node: Node, left_out) -> list[str]:
     """The blocks under a node: white space made one space, trimmed, empty ones left out."""
     out, line = [], []
 
@@ -207,7 +318,7 @@ def block_texts(node: Node) -> list[str]:
                 flush()
             if not closing:
                 stack.append((x, True))
-                stack.extend((k, False) for k in reversed(x.kids) if isinstance(k, str) or not k.drop)
+                stack.extend((k, False) for k in reversed(x.kids) if isinstance(k, str) or not (k.drop or left_out(k)))
     flush()
     return out
 
@@ -215,7 +326,7 @@ def block_texts(node: Node) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    return "\n".join(t for node in select(parse(html)) for t in block_texts(node))
+    return "\n".join(Page(html).blocks() or Page(html, marks=False).blocks())
 
 
 def extract(pages: DataFrame) -> DataFrame:
