@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """df as a Parquet table in the shared folder, read back: cuts lineage, computes the plan once and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/lodestone-graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _rounds(most: int | None):
+    """1, 2, ... up to ``most``, which has to suffice."""
+    for k in count(1):
+        if most is not None and k > most:
+            raise ValueError(f"no end after {most} rounds")
+        yield k
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -22,11 +32,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("x.node").agg(F.sum("x.o").alias("out_degree"), F.sum("x.i").alias("in_degree"))
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int = 1000) -> DataFrame:
-    """node, distance: nodes reachable from the ``node`` column of start, and the fewest steps."""
+def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, distance: nodes reachable from the ``node`` column of start (in at most ``depth`` steps, if given), and the fewest steps."""
     seen = frontier = _cut(start.select("node").distinct().withColumn("distance", F.lit(0)))
     step = edges.select("src", "dst").distinct()
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         frontier = _cut(frontier.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
             break
@@ -34,41 +44,39 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 1000) -> DataFrame:
     return seen
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, cost: the least sum of weights (negative ones count as 0), relaxed until nothing changes."""
     w = edges.select("src", "dst", F.greatest(F.col("w"), F.lit(0.0)).alias("w"))
     best = _cut(start.select("node").distinct().withColumn("cost", F.lit(0.0)))
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         via = best.join(w, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
         new = _cut(best.unionByName(via).groupBy("node").agg(F.min("cost").alias("cost")))
         if new.exceptAll(best).isEmpty():
             return new
         best = new
-    return best
 
 
-def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, component: the smallest node reachable over edges in either direction; label spreading with pointer jumping."""
     both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     label = _cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         near = both.join(label, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("n"))
         spread = label.join(near, "node").select("node", F.least("component", "n").alias("component"), F.col("component").alias("was"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("far"))
         new = _cut(spread.join(jump, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "was"))
         label = new.drop("was")
         if new.where("component <> was").isEmpty():
-            break
-    return label
+            return label
 
 
-def topological_levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, level: the longest path from a source; nodes on or behind a cycle have none (null)."""
     e = _cut(edges.select("src", "dst").distinct())
     nodes = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     done, left = None, e
     rest = nodes
-    for level in range(rounds):
+    for level in (k - 1 for k in _rounds(rounds)):
         free = _cut(rest.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break

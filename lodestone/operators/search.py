@@ -12,16 +12,16 @@ def word_list(c: Column) -> Column:
 
 
 def keyword_score(text: Column, words: Column, query: str) -> Column:
-    """0.75 of the share of query words found, 0.10 of their density (times 10, at most 1), 0.15 if the whole query occurs."""
+    """0.75 of the share of query words found, 0.10 of their density, 0.15 if the whole query occurs, at most 1; 0 for a text without words."""
     wanted = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
     if not wanted:
         return F.lit(0.0)
     terms = F.array(*map(F.lit, wanted))
     overlap = F.size(F.array_intersect(terms, words)) / F.lit(float(len(wanted)))
     hits = F.size(F.filter(words, lambda w: F.array_contains(terms, w)))
-    density = F.least(F.lit(1.0), F.lit(10.0) * hits / F.greatest(F.lit(1), F.size(words)))
+    density = hits / F.greatest(F.lit(1), F.size(words))
     phrase = F.when(F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(query.lower())), 1.0).otherwise(0.0)
-    return 0.75 * overlap + 0.10 * density + 0.15 * phrase
+    return F.when(F.size(words) > 0, F.least(F.lit(1.0), 0.75 * overlap + 0.10 * density + 0.15 * phrase)).otherwise(0.0)
 
 
 def ranked(df: DataFrame, key: str, score: Column, k: int, least: float = 0.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,38 @@ def target_encoded(df: DataFrame, category: str, target: str) -> DataFrame:
     means = df.groupBy(F.col(category).alias("_c")).agg(F.avg(target).alias("_m"))
     whole = df.agg(F.avg(target).alias("_all"))
     return df.join(means, F.col(category).eqNullSafe(F.col("_c")), "left").crossJoin(F.broadcast(whole)).withColumn(f"{category}_encoded", F.coalesce("_m", "_all")).drop("_c", "_m", "_all")
+
+
+def confidence_intervals(df: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """by, n, mean, standard_error, lower, upper of the mean's normal confidence interval; groups of fewer than two values are left out."""
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    c = F.col(value).cast("double")
+    out = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.stddev_samp(c) / F.sqrt(F.count(c))).alias("standard_error")).where("n > 1")
+    return out.select("*", (F.col("mean") - z * F.col("standard_error")).alias("lower"), (F.col("mean") + z * F.col("standard_error")).alias("upper"))
+
+
+def _decided(df: DataFrame, alpha: float, alternative: str) -> DataFrame:
+    """df with ``reject``: whether the statistic lies beyond the normal critical value (its approximate p-value is below alpha)."""
+    z = F.col("statistic")
+    at = NormalDist().inv_cdf(1 - (alpha / 2 if alternative == "two_sided" else alpha))
+    return df.withColumn("reject", {"two_sided": F.abs(z) > at, "greater": z > at, "less": z < -at}[alternative])
+
+
+def one_sample_test(df: DataFrame, by: list[str], value: str, null_value: float, alpha: float = 0.05, alternative: str = "two_sided") -> DataFrame:
+    """by, statistic, reject of the mean against null_value; groups without spread have neither."""
+    c = F.col(value).cast("double")
+    return _decided(df.groupBy(*by).agg(F.try_divide(F.avg(c) - null_value, F.stddev_samp(c) / F.sqrt(F.count(c))).alias("statistic")), alpha, alternative)
+
+
+def two_sample_test(df: DataFrame, by: list[str], value: str, first, null_value: float = 0.0, alpha: float = 0.05, alternative: str = "two_sided") -> DataFrame:
+    """by, statistic, reject of the difference of means between the rows where ``first`` holds and the others; one scan."""
+    a, b = F.when(first, F.col(value).cast("double")), F.when(~first, F.col(value).cast("double"))
+    error = F.sqrt(F.var_samp(a) / F.count(a) + F.var_samp(b) / F.count(b))
+    return _decided(df.groupBy(*by).agg(F.try_divide(F.avg(a) - F.avg(b) - null_value, error).alias("statistic")), alpha, alternative)
+
+
+def proportion_test(df: DataFrame, by: list[str], success, null_value: float, alpha: float = 0.05, alternative: str = "two_sided") -> DataFrame:
+    """by, share, statistic, reject of the share of rows where ``success`` holds against null_value."""
+    share = F.count_if(success) / F.count("*")
+    error = F.sqrt(F.lit(null_value * (1 - null_value)) / F.count("*"))
+    return _decided(df.groupBy(*by).agg(share.alias("share"), F.try_divide(share - null_value, error).alias("statistic")), alpha, alternative)

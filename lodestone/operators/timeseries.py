@@ -132,8 +132,8 @@ def trend(df: DataFrame, by: list[str], order: list, value: str) -> DataFrame:
     r = F.coalesce(F.corr("_i", y), F.lit(0.0))
     out = x.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, F.col("_i")).alias("slope"), F.regr_intercept(y, F.col("_i")).alias("intercept"), r.alias("r"), F.try_divide(F.stddev_samp(y), F.abs(F.avg(y))).alias("cv"))
     a = F.abs("r")
-    direction = F.when((F.col("cv") >= 0.5) & (a < 0.35), "volatile").when(a < 0.2, "flat").when(F.col("slope") > 0, "up").otherwise("down")
-    strength = F.when(a >= 0.9, "very_strong").when(a >= 0.7, "strong").when(a >= 0.5, "moderate").when(a >= 0.3, "weak").otherwise("none")
+    direction = F.when((F.col("cv") >= 0.5) & (a < 0.35), "volatile").when((a < 0.2) | (F.abs("slope") <= 1e-9), "flat").when(F.col("slope") > 0, "up").otherwise("down")
+    strength = F.when(a >= 0.9, "very_strong").when(a >= 0.7, "strong").when(a >= 0.5, "moderate").when(a >= 0.3, "weak").otherwise("very_weak")
     return out.select("*", direction.alias("direction"), strength.alias("strength"))
 
 
@@ -143,3 +143,31 @@ def transitions(df: DataFrame, by: str, order: list, status: str, allowed: dict[
     table = F.create_map(*(v for k, to in allowed.items() for v in (F.lit(k), F.array(*map(F.lit, to)).cast("array<string>"))))
     out = df.withColumn("previous", F.last(status, ignorenulls=True).over(w)).where(F.col(status).isNotNull() & F.col("previous").isNotNull() & (F.col(status) != F.col("previous")))
     return out.where(~F.coalesce(F.array_contains(F.element_at(table, F.col("previous")), F.col(status)), F.lit(False)))
+
+
+def series_shape(df: DataFrame, by: list[str], order: str, value: str, window: int, long_window: int, period: int) -> DataFrame:
+    """by, n, momentum, acceleration, volatility, regime_change, seasonal_strength of each (pre-aggregated) series.
+
+    momentum: the last value against the one ``window`` before, relative; acceleration: slope of
+    the last ``window`` values less that of the ones before; volatility: |deviation / mean|;
+    regime_change: mean of the last ``long_window`` values against that of the ones before,
+    relative; seasonal_strength: deviation of the ``period`` places' means over the mean. Null
+    where there are too few values or a mean is 0.
+    """
+    w = Window.partitionBy(*by)
+    v = F.col(value).cast("double")
+    x = df.where(v.isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    back = F.col("_n") - F.col("_i")  # 1 for the last value
+    at = lambda k: F.max(F.when(back == k, v))
+    between = lambda c, lo, hi: F.when((back > lo) & (back <= hi), c)
+    i = F.col("_i").cast("double")
+    slope = lambda lo, hi: F.regr_slope(between(v, lo, hi), between(i, lo, hi))
+    relative = lambda a, b: F.try_divide(a - b, F.abs(b))
+    n = F.max("_n")
+    out = x.groupBy(*by).agg(
+        n.alias("n"), F.when(n > window, relative(at(1), at(window + 1))).alias("momentum"), F.when(n >= 2 * window, slope(0, window) - slope(window, 2 * window)).alias("acceleration"),
+        F.abs(F.try_divide(F.stddev_samp(v), F.avg(v))).alias("volatility"), F.when(n >= 2 * long_window, relative(F.avg(between(v, 0, long_window)), F.avg(between(v, long_window, 2 * long_window)))).alias("regime_change"), F.avg(v).alias("_m"),
+    )
+    places = x.groupBy(*by, (F.col("_i") % period).alias("_p")).agg(F.avg(v).alias("_pm")).groupBy(*by).agg(F.stddev_samp("_pm").alias("_ps"))
+    out = out.join(places, by)
+    return out.withColumn("seasonal_strength", F.when(F.col("n") >= 2 * period, F.try_divide(F.col("_ps"), F.abs("_m")))).drop("_m", "_ps")

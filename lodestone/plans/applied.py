@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import forecast as P
 from ..operators import governance as V
 from ..operators import search as S
+from ..session import shared_folder
 from ..sources import files
 from ..streaming import windows as W
 from .catalog import query, table
@@ -20,8 +20,7 @@ def events(spark, sf_dir):
 
 
 def _shared(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{at.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
 
 
 def measures(*names: str) -> dict:
@@ -106,7 +105,7 @@ def dead_letters(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM documents),
-s AS (SELECT doc_id, 0.75 * len(list_intersect(['and', 'of', 'river', 'the'], ws)) / 4 + 0.10 * least(1.0, 10.0 * len(list_filter(ws, lambda w: w IN ('and', 'of', 'river', 'the'))) / greatest(1, len(ws))) + 0.15 * contains(low, 'the river and of')::INTEGER AS score FROM t)
+s AS (SELECT doc_id, round(CASE WHEN len(ws) > 0 THEN least(1.0, 0.75 * len(list_intersect(['and', 'of', 'river', 'the'], ws)) / 4 + 0.10 * len(list_filter(ws, lambda w: w IN ('and', 'of', 'river', 'the'))) / greatest(1, len(ws)) + 0.15 * contains(low, 'the river and of')::INTEGER) ELSE 0 END, 12) AS score FROM t)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 ORDER BY rank LIMIT 50""")
 def keyword_ranking(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("words", S.word_list(F.col("text")))
@@ -148,9 +147,15 @@ def shifted_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", V.shifted_date(F.col("o_orderdate"), F.col("o_custkey"), "pepper", 30).cast("string").alias("shifted"))
 
 
-@query()
+def _pad(byte: int, key: bytes = b"key") -> str:
+    """The key's block of an HMAC, xor a byte, in hexadecimal."""
+    return bytes(c ^ byte for c in key.ljust(64, b"\0")).hex()
+
+
+@query(f"""
+SELECT c_custkey, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode('t1|p1|c_name|' || c_name)))) AS token FROM customer""")
 def tokenised_customers(spark, sf_dir):
-    """HMAC tokens, which the SQL engine lacks; tested against a plain HMAC."""
+    """HMAC tokens."""
     return table(spark, sf_dir, "customer").select("c_custkey", V.hmac_sha256(F.concat_ws("|", F.lit("t1"), F.lit("p1"), F.lit("c_name"), "c_name"), b"key").alias("token"))
 
 

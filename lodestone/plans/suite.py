@@ -1,3 +1,3 @@
 """All query modules; importing this registers them."""
 
-from . import analytics, applied, relational  # noqa: F401
+from . import analytics, applied, features, relational  # noqa: F401

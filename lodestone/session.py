@@ -12,6 +12,17 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset a new temporary folder is taken, but only on a local master: on a cluster other machines would not see it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application, so that functions of its modules can be unpickled there."""
     app = spark.sparkContext.applicationId
