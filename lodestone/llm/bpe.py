@@ -9,7 +9,8 @@ provably gives the same ids.
 
 Defined cases: null text counts as empty and has no ids; texts are encoded whole,
 whatever their length; rows are encoded one by one, so ties and repeated rows give
-equal ids; null doc_id passes through; other columns are kept (``encode``) or
+equal ids; letters and digits are those of the interpreter's Unicode version below
+U+3000, of the ``regex`` module beyond; null doc_id passes through; other columns are kept (``encode``) or
 ignored (``digests``); an empty table gives no rows.
 """
 

@@ -329,7 +329,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, pe
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
-    """The rows of docs with a score under the threshold; the score is computed beside the row, so nothing is joined."""
+    """The rows of docs with a score under the threshold, all columns kept; the score is computed beside the row, so nothing is joined. Null and empty texts have no hit and stay, whatever their doc_id; repeated rows are judged alike."""
     model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "toxic", F.lit(True), per_class)))
 
     def run(batches):
