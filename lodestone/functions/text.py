@@ -47,7 +47,7 @@ def kebab(c: Column) -> Column:
 
 def camel(c: Column) -> Column:
     w = words_of_name(c)
-    return F.concat(F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.array_join(F.transform(F.slice(w, 2, 1000), F.initcap), ""))
+    return F.concat(F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.array_join(F.transform(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), F.initcap), ""))
 
 
 def number(c: Column, decimal: str = ".", low: float | None = None, high: float | None = None) -> Column:
@@ -71,6 +71,26 @@ def timestamp(c: Column, formats=("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss"
     return F.coalesce(F.when(n.isNotNull(), epoch), *(F.try_to_timestamp(c, F.lit(f)) for f in formats))
 
 
+def listed(c: Column, sep: str = ",") -> Column:
+    """An array of trimmed, non-empty texts from a JSON array or separated text; null stays null."""
+    parts = F.coalesce(F.from_json(F.when(F.trim(c).startswith("["), c), "array<string>"), F.split(c, sep, -1))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def pairs(c: Column, sep: str = ";", eq: str = "=") -> Column:
+    """A map from a JSON object or ``key=value`` pairs, the last of equal keys kept; pairs without a key are left out, null stays null."""
+    entries = F.transform(listed(c, sep), lambda x: F.struct(F.trim(F.substring_index(x, eq, 1)).alias("key"), F.when(F.contains(x, F.lit(eq)), F.trim(F.substr(x, F.instr(x, eq) + 1))).alias("value")))
+    named = F.filter(entries, lambda e: e["key"] != "")
+    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda later: later["key"] == e["key"]))
+    return F.coalesce(F.from_json(F.when(F.trim(c).startswith("{"), c), "map<string,string>"), F.map_from_entries(last))
+
+
+def at_path(c: Column, path: str) -> Column:
+    """What a dotted path names in JSON text (numbers are places of arrays), as text; null if nothing is there."""
+    steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split("."))
+    return F.get_json_object(c, f"${steps}")
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)

@@ -58,3 +58,41 @@ def bank_matches(statements: DataFrame, transactions: DataFrame, least: float =
     score = 0.5 + 0.3 * (1 - days / 3) + F.when(F.lower("st") == F.lower("tt"), 0.2).otherwise(0.0)
     best = pair.select("statement_id", "transaction_id", F.round(score, 9).alias("score")).where(F.col("score") >= least).groupBy("statement_id").agg(F.max(F.struct("score", (-F.col("transaction_id")).alias("k"))).alias("b"))
     return best.select("statement_id", (-F.col("b.k")).alias("transaction_id"), "b.score")
+
+
+def cash_flow(df: DataFrame, period: Column, amount: str, receipt: Column, opening: float = 0.0) -> DataFrame:
+    """period, receipts, payments, net, opening, closing: what comes in and goes out a period, carried on from the balance before the first.
+
+    One aggregate; the running balance is a window over periods, of which there are few at any size.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    hit = F.coalesce(receipt, F.lit(False))
+    sums = df.groupBy(period.alias("period")).agg(zero(F.sum(F.when(hit, F.col(amount)))).alias("receipts"), zero(F.sum(F.when(~hit, F.col(amount)))).alias("payments"))
+    sums = sums.withColumn("net", F.col("receipts") - F.col("payments"))
+    closing = F.lit(opening) + F.sum("net").over(Window.orderBy("period"))
+    return sums.withColumn("closing", closing).select("period", "receipts", "payments", "net", (F.col("closing") - F.col("net")).alias("opening"), "closing")
+
+
+def balance_sheet(df: DataFrame, side: Column, group: Column, amount: str) -> DataFrame:
+    """side (assets, liabilities, equity), grp, total: the sums of each group, each side's total (a null group), and equity as assets less liabilities.
+
+    Rows of another side are left out.
+    """
+    kept = df.select(side.alias("side"), group.alias("grp"), F.col(amount).alias("v")).where(F.col("side").isin("assets", "liabilities"))
+    sums = kept.rollup("side", "grp").agg(F.sum("v").alias("total"), F.grouping_id().alias("g"), F.sum(F.when(F.col("side") == "assets", F.col("v")).otherwise(-F.col("v"))).alias("equity"))
+    equity = F.col("g") == 3
+    return sums.select(F.when(equity, "equity").otherwise(F.col("side")).alias("side"), "grp", F.when(equity, F.col("equity")).otherwise(F.col("total")).alias("total"))
+
+
+def achievement(value: Column, target: Column, higher: bool = True) -> tuple[Column, Column]:
+    """(percent of the target reached, status: excellent from 110, good from 95, warning from 75, else critical; unknown if it can't be told)."""
+    over, under = (value, target) if higher else (target, value)
+    percent = F.when(target != 0, F.try_divide(over, under) * 100)
+    status = F.when(percent.isNull(), "unknown").when(percent >= 110, "excellent").when(percent >= 95, "good").when(percent >= 75, "warning").otherwise("critical")
+    return percent, status
+
+
+def health(statuses: Column) -> Column:
+    """The mean of the statuses' points as an aggregate, to two digits."""
+    points = F.when(statuses == "excellent", 100.0).when(statuses == "good", 85.0).when(statuses == "warning", 60.0).when(statuses == "critical", 30.0).otherwise(50.0)
+    return F.round(F.avg(points), 2)

@@ -87,6 +87,56 @@ def topological_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame
     return stuck if done is None else done.unionByName(stuck)
 
 
+def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose ends are both in the ``node`` column of nodes."""
+    kept = nodes.select("node").distinct()
+    return edges.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, component: the smallest node among those that it reaches and that reach it.
+
+    Every round takes off nodes that nothing enters or leaves, gives each other node the smallest
+    node that reaches it, and from each of these goes back along edges inside its own
+    colour: what it meets is one component. Nodes and edges so found leave the graph.
+    """
+    left = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    nodes = _cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node IS NOT NULL").distinct())
+    done = []
+    for _ in _rounds(rounds):
+        while True:
+            inner = left.select(F.col("src").alias("node")).intersect(left.select("dst"))
+            alone = _cut(nodes.join(inner, "node", "left_anti"))
+            if alone.isEmpty():
+                break
+            done.append(alone.withColumn("component", F.col("node")))
+            nodes = _cut(nodes.join(alone, "node", "left_anti"))
+            left = _cut(subgraph(left, nodes))
+        if nodes.isEmpty():
+            break
+        colour = _cut(nodes.withColumn("component", F.col("node")))
+        while True:
+            sent = colour.join(left, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "component")
+            new = _cut(colour.unionByName(sent).groupBy("node").agg(F.min("component").alias("component")))
+            if new.exceptAll(colour).isEmpty():
+                break
+            colour = new
+        ends = left.join(colour.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        back = _cut(ends.where("a = b").select("src", "dst"))
+        found = frontier = _cut(colour.where("node = component"))
+        while not frontier.isEmpty():
+            before = frontier.join(back, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "component").distinct()
+            frontier = _cut(before.join(found, "node", "left_anti"))
+            found = _cut(found.unionByName(frontier))
+        done.append(found)
+        nodes = _cut(nodes.join(found, "node", "left_anti"))
+        left = _cut(subgraph(left, nodes))
+    out = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """node, rank after a fixed number of rounds; a node without outgoing edges gives its rank to all alike."""
     e = edges.select("src", "dst")

@@ -44,6 +44,72 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataF
     return spark.read.format("xml").schema(schema).options(rowTag=row_tag, attributePrefix="@", ignoreNamespace=True).load(path)
 
 
+#: Endings of file names and the reader's format.
+ENDINGS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc", "txt": "text", "log": "text", "md": "text"}
+
+
+def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A file by the ending of its name (``ENDINGS``); csv (with a header) and json need a schema, so that data are read once. Text has one row a line, ``value``."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending not in ENDINGS:
+        raise ValueError(f"no reader for {path!r}")
+    fmt = ENDINGS[ending]
+    if fmt in ("csv", "json"):
+        if schema is None:
+            raise ValueError(f"{fmt} needs a schema")
+        return (read_csv if fmt == "csv" else read_json)(spark, path, schema)
+    return spark.read.format(fmt).load(path)
+
+
+def load_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All csv, json, parquet and orc files at any depth of a folder as one table of the schema, ``_corrupt_record`` (texts that did not fit) and ``_file``.
+
+    One scan for each format that occurs; other files are not read. Columns that a file lacks are null.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    ending = F.lower(F.substring_index("path", ".", -1))
+    found = {r[0] for r in every.select(ending).where(ending.isin(*ENDINGS)).distinct().collect()}  # a few endings
+    kind = spark.createDataFrame([], schema).schema
+    out = spark.createDataFrame([], f"{schema}, {BAD} string, _file string")
+    for e in sorted(found):
+        if ENDINGS[e] == "text":
+            continue
+        r = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{e}")
+        if ENDINGS[e] in ("csv", "json"):
+            r = r.schema(f"{schema}, {BAD} string").options(header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
+        else:
+            r = r.schema(kind)
+        df = r.format(ENDINGS[e]).load(path)
+        df = df if BAD in df.columns else df.withColumn(BAD, F.lit(None).cast("string"))
+        out = out.unionByName(df.withColumn("_file", F.input_file_name()))
+    return out
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, split: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A table (or ``(query) alias``) of a database. With ``split`` (a number column) ``parts`` tasks read a range of it each; filters and columns are pushed down."""
+    r = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if split:
+        r = r.options(partitionColumn=split, lowerBound=low, upperBound=high, numPartitions=parts)
+    return r.load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, parts: int = 8, mode: str = "append", **options: str) -> None:
+    """Rows into a table of a database over at most ``parts`` connections."""
+    df.coalesce(parts).write.format("jdbc").mode(mode).options(url=url, dbtable=table, **options).save()
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str, schema: str, stream: bool = True, **options: str) -> DataFrame:
+    """JSON messages of a topic as columns of the schema with key, topic, partition, offset and timestamp. Needs Spark's Kafka package."""
+    r = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options)
+    value = F.from_json(F.col("value").cast("string"), schema).alias("v")
+    return r.load().select(F.col("key").cast("string").alias("key"), "topic", "partition", "offset", "timestamp", value).select("*", "v.*").drop("v")
+
+
+def as_messages(df: DataFrame, key: str) -> DataFrame:
+    """Rows as key and JSON value, as Spark's Kafka sink takes them."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, filters: list[tuple] = ()) -> DataFrame:
     """Parquet with pruned columns and a conjunction of (field, operator, value) that reaches the scan."""
     df = spark.read.parquet(path)
