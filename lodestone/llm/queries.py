@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, packed, pii, quality, toxicity
+from . import bpe, importance, langid, media, merkle, mixing, neighbours, packed, pii, quality, toxicity
 from . import html as pages
 from .ngram_join import jaccard_components, jaccard_links
 
@@ -77,8 +77,22 @@ def op10_ngram_links(spark, sf_dir):
     return jaccard_links(table(spark, sf_dir, "documents"))
 
 
+def op11_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_media_copies, op3_packed_tokens, op4_byte_bpe, op5_pii, op6_html_text, op7_toxicity, op8_language, op9_mixing, op10_ngram_join, op10_ngram_links)}
+    found = (op1_quality_rules, op2_media_copies, op3_packed_tokens, op4_byte_bpe, op5_pii, op6_html_text, op7_toxicity, op8_language, op9_mixing)
+    found += (op10_ngram_join, op10_ngram_links, op11_neighbours, op12_importance, op13_merkle)
+    return {f.__name__: f for f in found}
 
 
 NGRAM_SQL = r"""
@@ -117,5 +131,5 @@ SELECT joined.*, coalesce(n_links, 0) AS n_links FROM joined LEFT JOIN n ON a =
 
 
 def oracle_sql() -> dict[str, str]:
-    """op9 and op10 in SQL; the others learn, use a tokenizer or parse markup and are tested against brute force, round trips and held-out rows."""
-    return {"op9_mixing": mixing.mixing_sql(), "op10_ngram_join": NGRAM_SQL, "op10_ngram_links": LINKS_SQL}
+    """op9, op10, op12 and op13 in SQL; the others learn, use a tokenizer or parse markup and are tested against brute force, round trips and held-out rows."""
+    return {"op9_mixing": mixing.mixing_sql(), "op10_ngram_join": NGRAM_SQL, "op10_ngram_links": LINKS_SQL, "op12_importance": importance.resample_sql(), "op13_merkle": merkle.manifest_sql()}
