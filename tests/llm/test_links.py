@@ -6,7 +6,7 @@ import numpy as np
 from compare import assert_same
 
 from lodestone.llm import queries as Q
-from lodestone.llm.ngram_join import jaccard_components, jaccard_links
+from lodestone.llm.ngram_join import jaccard_components, jaccard_links, near_duplicates
 
 WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
 
@@ -65,3 +65,51 @@ def test_the_tree_leaves_every_link_and_prunes_the_rest():
     i, j, _ = N.dual_traversal(a, b, 80, True)
     got = {tuple(sorted(p)) for p in zip(a.order[i].tolist(), b.order[j].tolist(), strict=True)}
     assert {(i, j) for i, j in real if (i - j) % 2 and comp[i] != comp[j]} <= got and all(comp[i] != comp[j] for i, j in got)
+
+
+def components_of_ids(rows):
+    """doc_id -> smallest doc_id reachable, where an id with several texts is one node."""
+    sets = [set(zip(*(w[k:] for k in range(5)))) if len(w := WORD.findall((t or "").lower())) >= 5 else {tuple(w)} if w else set() for _, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, a in zip(rows, sets, strict=True):
+        for y, b in zip(rows, sets, strict=True):
+            if a and 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((find(x[0]), find(y[0])))
+                root[high] = low
+    return [find(i) for i, _ in rows]
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    rng = np.random.default_rng(21)
+    a, b, c = (" ".join(f"{x}{k}" for k in rng.integers(0, 9000, 200)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, c), (1, "short one"), (9, "short ONE"), (5, None), (5, c + " end"), (5, a + " and much")]
+    rows += [(int(i), f"{(a, b, c)[k % 3]} tail{k}" if k % 4 else f"own text {k} of five words") for k, i in enumerate(rng.integers(20, 40, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(zip((i for i, _ in rows), (len(set(zip(*(w[k:] for k in range(5)))) or {tuple(w)} if (w := WORD.findall((t or "").lower())) else []) for _, t in rows), components_of_ids(rows), strict=True))
+    got = jaccard_links(df).collect()
+    assert [w for w in want if w[1]] == sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.n_shingles)
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 3, 9)} == {1}
+    assert sorted(r.n_links for r in got) == sorted(brute_rows(rows))
+    kept = near_duplicates(df).collect()
+    worded = [r.doc_id for r in kept if r.text]
+    assert len(worded) == len(set(worded)) and set(worded) == {c for c, (_, t) in zip(components_of_ids(rows), rows, strict=True) if t}
+
+
+def brute_rows(rows):
+    sets = [set(zip(*(w[k:] for k in range(5)))) if len(w := WORD.findall((t or "").lower())) >= 5 else {tuple(w)} if w else set() for _, t in rows]
+    return [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def test_overlaps_of_blocks():
+    from lodestone.llm import ngram_join as N
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 20_000, int(k), dtype=np.uint64)) for k in rng.integers(0, 9000, 40)]
+    got = N.overlaps(sets[:25], sets[10:])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[10:]] for x in sets[:25]]
