@@ -6,22 +6,27 @@ logarithm's base, its density is
 
     C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
-The subtree whose children's densities have the largest sum is the article. The least
-density and the least characters per tag on its path up to the body, times NEAR, are the
-thresholds at which a neighbour of that path belongs to it as well, bare text included;
-so does a heading before it.
+The subtree whose children's densities have the largest sum is the article's core. The
+article is the highest node over it that adds prose only: an ``article`` element is
+climbed to in any case, another node if what it adds is unmarked, no block of links and
+all in paragraphs, headings, lists and the like. Of the article everything stays but
+marked parts (and, outside ``article`` elements, blocks that are nothing but several
+links). The least density and the least characters per tag on the core's path up to the
+body, times NEAR, are the thresholds at which a neighbour outside the article belongs to
+it as well, bare text included; so does a heading before it. Other neighbours go.
 
 Elements that the contract names (menus, headers, footers, sidebars, forms, scripts,
 styles) and hidden ones are cut off first; a form that holds most of the page's text is
 a wrapper and stays. A class, id or role that speaks of adverts, notices, comments and
 the like is only a weight: it divides the node's density by MARKED, unless the node
-holds most of the page's text in blocks, or a first heading. Marked nodes whose density
-is under the largest one of the path, and blocks that are nothing but several links, are
-left out, inside the article as well. If all of the text is marked, marks count for nothing.
+holds most of the page's text in blocks, or a first heading, or is a paragraph as dense
+as the plain ones beside it. Marked nodes whose density is under the largest one of the
+path are left out. If all of the text is marked, marks count for nothing.
 
 Defined cases: null or empty html, and a page without text, give an empty text;
 unclosed and misnested tags are closed as a browser would for the common elements;
-a page without any markup is one block; rows are handled one by one, so repeated
+a page without any markup is one block; parsing and selecting take time in proportion
+to the page, however deep or misnested it is; rows are handled one by one, so repeated
 rows and null ids are no matter; other columns are ignored; an empty table gives
 no rows.
 """
@@ -48,12 +53,17 @@ SCOPE = frozenset("ul ol dl table select article section main div body html td t
 #: Words of a class or id that speak of what is no article.
 BOILERPLATE = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment commentlist comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: Elements whose text is prose wherever they stand, and those that are one paragraph of it.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table address hr".split())
+PARAGRAPH = frozenset("p blockquote pre h2 h3 h4 h5 h6".split())
 #: A marked node's density is divided by it.
 MARKED = 20.0
 #: The share of the path's least density that a neighbour needs.
 NEAR = 0.5
 HEADINGS, TITLES = frozenset("h1 h2 h3".split()), frozenset("h1 article main".split())
 
+BOUNDS = SCOPE | {"head", "thead"}
+_ENDS = frozenset().union(SCOPE, {"p"}, *CLOSES.values())
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -62,10 +72,12 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "drop", "marked", "chars", "tags", "link_chars", "link_tags", "blocks", "titles", "density", "total")
+    __slots__ = ("name", "parent", "end", "kids", "drop", "marked", "chars", "tags", "link_chars", "link_tags", "blocks", "titles", "prose", "quoted", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, attrs: str = ""):
         self.name, self.parent, self.kids = name, parent, []
+        # the nearest node up from here, itself included, that a tag may close or that bounds closing
+        self.end = self if parent is None or name in _ENDS else parent.end
         self.drop = name in DROP
         self.marked = False
         if attrs and not self.drop:
@@ -88,6 +100,15 @@ class Node:
 def parse(html: str) -> Node:
     """The tree; texts are str kids, their character references decoded."""
     root = here = Node("#root", None)
+    open_names: dict[str, int] = {}
+
+    def shut(node: Node, up: Node) -> Node:
+        """Closes what is open from node up to ``up``; returns the parent of ``up``."""
+        while node is not up.parent:
+            open_names[node.name] -= 1
+            node = node.parent
+        return node
+
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -104,26 +125,22 @@ def parse(html: str) -> Node:
         if not name:
             continue
         if m[1]:
-            node = here
-            while node.parent is not None and node.name != name:
-                node = node.parent
-            if node.parent is not None:
-                here = node.parent
+            if open_names.get(name):  # an end tag without an open element is nothing
+                node = here
+                while node.name != name:
+                    node = node.parent
+                here = shut(here, node)
             continue
-        if name in BLOCK:  # a block ends an open paragraph
-            node = here
-            while node.parent is not None and node.name != "p" and node.name not in SCOPE:
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
+        if name in BLOCK and here.end.name == "p":  # a block ends an open paragraph
+            here = shut(here, here.end)
         if name in CLOSES:
-            node, end = here, None
-            while node.parent is not None and (node.name in CLOSES[name] or node.name not in SCOPE):
+            node, end = here.end, None
+            while node.parent is not None and (node.name in CLOSES[name] or node.name not in BOUNDS):
                 if node.name in CLOSES[name]:
                     end = node
-                node = node.parent
+                node = node.parent.end
             if end is not None:
-                here = end.parent
+                here = shut(here, end)
         node = Node(name, here, m[3])
         here.kids.append(node)
         if name in RAW:
@@ -133,6 +150,7 @@ def parse(html: str) -> Node:
             at = html.find(">", end) + 1 or n if close else n
         elif name not in VOID:
             here = node
+            open_names[name] = open_names.get(name, 0) + 1
     return root
 
 
@@ -150,6 +168,7 @@ def _counts(nodes: list[Node]) -> None:
     for x in reversed(nodes):
         x.chars = x.tags = x.link_chars = x.link_tags = 0
         x.blocks = x.titles = False  # whether such elements are under it
+        x.prose = x.name in PROSE or x.name in BLOCK and not any(isinstance(k, str) and not k.isspace() for k in x.kids)
         for k in x.kids:
             if isinstance(k, str):
                 x.chars += len(_WHITE.sub(" ", k).strip())
@@ -160,6 +179,7 @@ def _counts(nodes: list[Node]) -> None:
                 x.link_tags += k.link_tags
                 x.blocks |= k.blocks or k.name in BLOCK
                 x.titles |= k.titles or k.name in TITLES
+                x.prose &= x.name in PROSE or k.prose or not k.chars
         if x.name == "a":
             x.link_chars, x.link_tags = x.chars, x.link_tags + 1
 
@@ -204,8 +224,12 @@ class Page:
         body = self.body
         self.share = body.link_chars / max(1, body.chars)
         most = (body.chars - body.link_chars) / 2
+        plain: dict[int, float] = {}
         for x in self.nodes:
             # parents come first, so a mark holds for all that is under it
+            x.quoted = x.parent is not None and x.parent.quoted or x.name == "article"
+            if x.marked and x.name in PARAGRAPH and x.parent is not None and not x.parent.marked:
+                x.marked = not self._like_its_neighbours(x, plain)
             x.marked = marks and (x.marked or x.parent is not None and x.parent.marked) and not (x.chars - x.link_chars > most and x.blocks or x.titles)
             x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, self.share) / (MARKED if x.marked else 1)
         for x in self.nodes:
@@ -223,6 +247,12 @@ class Page:
         self.least = NEAR * min(x.density for x in self.path)
         self.least_plain = NEAR * min(x.chars / max(1, x.tags) for x in self.path)
         self.most = max(x.density for x in self.path)
+        self.top = 0  # the article's place in the path
+        for i, (child, node) in enumerate(zip(self.path, self.path[1:]), 1):
+            if node.marked:
+                break
+            if node.name == "article" or self.top == i - 1 and self._adds_prose(node, child):
+                self.top = i
 
     def _wrappers(self, root: Node) -> Node:
         """The body, after forms that hold most of the page's text were opened."""
@@ -233,7 +263,8 @@ class Page:
         _counts(self.nodes)
         body = next((x for x in self.nodes if x.name == "body"), root)
         most = (body.chars - body.link_chars) / 2
-        closed = [x for x in dropped if x not in self.nodes or x.chars - x.link_chars <= most]
+        kept = set(map(id, self.nodes))
+        closed = [x for x in dropped if id(x) not in kept or x.chars - x.link_chars <= most]
         for x in closed:
             x.drop = True
         if closed:
@@ -241,9 +272,31 @@ class Page:
             _counts(self.nodes)
         return body
 
+    def _like_its_neighbours(self, x: Node, plain: dict[int, float]) -> bool:
+        """Whether a marked paragraph is as dense as the least of at least two unmarked ones beside it, times NEAR."""
+        if id(x.parent) not in plain:
+            beside = [k for k in x.parent.kids if isinstance(k, Node) and not (k.drop or k.marked) and k.name in PARAGRAPH and k.chars]
+            least = min((_density(k.chars, k.tags, k.link_chars, k.link_tags, self.share) for k in beside), default=0.0)
+            plain[id(x.parent)] = NEAR * least if len(beside) > 1 else float("inf")
+        return _density(x.chars, x.tags, x.link_chars, x.link_tags, self.share) >= plain[id(x.parent)]
+
+    @staticmethod
+    def _links(x: Node) -> bool:
+        return x.name not in HEADINGS and 2 * x.link_chars > x.chars > 0
+
+    def _adds_prose(self, node: Node, child: Node) -> bool:
+        """Whether all that a node has beside a child is unmarked prose."""
+        for k in node.kids:
+            if isinstance(k, str):
+                if not k.isspace():
+                    return False
+            elif k is not child and not k.drop and k.chars and (k.marked or self._links(k) or not k.prose):
+                return False
+        return True
+
     def left_out(self, x: Node) -> bool:
         """Whether a block inside the article is no part of it."""
-        return x.marked and x.density < self.most or x.name in BLOCK and x.link_tags > 2 and x.link_chars >= x.chars > 0
+        return x.marked and x.density < self.most or not x.quoted and x.name in BLOCK and x.link_tags > 2 and x.link_chars >= x.chars > 0
 
     def near(self, plain: float, density: float) -> bool:
         return density >= self.least and plain >= self.least_plain
@@ -251,11 +304,12 @@ class Page:
     def blocks(self) -> list[str]:
         """The article's blocks in page order: down the path, the article, and up again."""
         out, after = [], []
-        for node, child in zip(self.path[:0:-1], self.path[-2::-1], strict=True):
+        path = self.path[self.top :]
+        for node, child in zip(path[:0:-1], path[-2::-1], strict=True):
             before, behind = self._sides(node, child)
             out += before
             after.append(behind)
-        out += block_texts(self.best, self.left_out)
+        out += block_texts(path[0], self.left_out)
         return out + [t for behind in reversed(after) for t in behind]
 
     def _sides(self, node: Node, child: Node) -> tuple[list[str], list[str]]:
@@ -265,7 +319,7 @@ class Page:
 
         def flush():
             if line and self.near(*_measures(line, self.share)) and any(isinstance(k, str) for k in line):
-                holder = Node("div", None)
+                holder = Node("div", node)
                 holder.kids = list(line)
                 sides[side].extend(block_texts(holder, self.left_out))
             line.clear()

@@ -59,3 +59,52 @@ def test_hostile_tables(spark):
 def test_marks_on_all_of_the_text_count_for_nothing():
     assert P.main_text("<body><div class=social>just this text</div></body>") == "just this text"
     assert P.main_text(f"<body><p>{LONG}</p><div>{ARTICLE}</div></body>") == f"{LONG}\n{TEXT}"
+
+
+PARTS = "".join(f"<p>{LONG} Part {k}.</p>" for k in range(8))
+PART_TEXTS = "\n".join(f"{LONG} Part {k}." for k in range(8))
+
+
+def test_short_parts_of_a_nested_article_stay():
+    assert P.main_text(f"<body><article><section>{PARTS}</section><section><h2>Note</h2><p>Short closing line.</p></section></article></body>") == PART_TEXTS + "\nNote\nShort closing line."
+    assert P.main_text(f"<body><nav>x</nav><article><p>standfirst</p><div>{PARTS}</div><p>Reporting by A. B.</p></article><aside>more</aside></body>") == f"standfirst\n{PART_TEXTS}\nReporting by A. B."
+    assert P.main_text(f"<body><div id=x><h1><a href=t>Title</a></h1><div>{PARTS}</div><p>The end.</p></div><div class=ad>Buy</div></body>") == f"Title\n{PART_TEXTS}\nThe end."
+
+
+def test_marked_sentences_and_linked_sources_of_an_article_stay():
+    inside = f"{PARTS}<p class='notice'>{LONG} Noted.</p><ul><li><a href=1>One source</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul>"
+    want = f"{PART_TEXTS}\n{LONG} Noted.\nOne source\nTwo\nThree"
+    assert P.main_text(f"<body><article>{inside}</article></body>") == want
+    assert P.main_text(f"<body><article><div>{inside}</div></article><ul><li><a href=1>a</a></li><li><a href=2>b</a></li><li><a href=3>c</a></li></ul></body>") == want
+    assert P.main_text(f"<body><article>{PARTS}<p class='share'>Share</p><div class='related-links'><a href=x>Other</a></div></article></body>") == PART_TEXTS
+
+
+def test_neighbours_that_are_no_prose_go():
+    assert P.main_text(f"<body><div>{PARTS}</div><div><span>All</span> <span>rights</span> <span>ours</span></div></body>") == PART_TEXTS
+    assert P.main_text(f"<body><div>{PARTS}</div><div><a href=a>Home</a></div></body>") == PART_TEXTS
+
+
+def test_hostile_pages_take_linear_time():
+    from time import process_time
+
+    def took(make, n):
+        t = process_time()
+        P.main_text(make(n))
+        return process_time() - t
+
+    pages = {
+        "forms": lambda n: "<form><p>x y z</p></form>" * n,
+        "unmatched ends": lambda n: "<b>" * n + "</q>" * n,
+        "blocks under inline": lambda n: "<p><select>" + "<b>" * n + "<h1></h1>" * n,
+        "items under inline": lambda n: "<ul>" + "<b>" * n + "<li>x" * n,
+        "cells": lambda n: "<table>" + "<tr><td>a<th>b" * n,
+        "deep": lambda n: "<div>" * n + "text " * n + "</div>" * n,
+        "signs": lambda n: "<" * n + "&amp" * n,
+        "marked": lambda n: f"<div>{'<p class=ad>some words here</p><p>and some more words</p>' * n}</div>",
+    }
+    for name, make in pages.items():
+        small, large = (min(took(make, n) for _ in range(2)) for n in (5_000, 40_000))
+        assert large < 20 * small + 0.2, (name, small, large)  # 64 times would be quadratic
+    t = process_time()
+    P.main_text(("<form>" + "<b>" * 40 + "</q>" * 40 + "word " * 20) * 13_000)  # 5 MB
+    assert process_time() - t < 30
