@@ -11,10 +11,11 @@ where n(t) counts t in all texts, n(e) the context words of e (CONTEXT words on
 either side of a match) and n(t, e) those of them that are t. Their ratio tells
 how much of the entity's information the term gives away; it is 1 if t occurs
 nowhere else. From GENERALISE on a term is generalised to a class word, from
-REMOVE on it is removed, in every text that holds the entity. Any run of letters and
-digits is a term, short ones and numbers too; the ratio alone spares common ones. A term
-needs SUPPORT different contexts of the entity, so one text and its exact copies alone
-accuse nothing.
+REMOVE on it is removed, in every text that holds the entity. Any run of letters, their
+combining marks and digits is a term, short ones and numbers too; the ratio alone spares
+common ones. A term needs the evidence of SUPPORT different texts; a context that stands
+in several texts is evidence of one of them only. So neither a text that names an entity
+often, nor its exact copies, nor copies with edits elsewhere accuse anything alone.
 
 Offsets are code points, end exclusive. Java's possessive quantifiers give the
 same matches as the plain patterns, without recursion and in linear time.
@@ -43,7 +44,8 @@ PATTERNS = {
 #: What a text with a valid match must hold; one plain search settles most texts.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-WORD = r"[\p{L}\p{N}]++"
+LETTER = r"[\p{L}\p{M}\p{N}]"
+WORD = rf"[\p{{L}}\p{{N}}]{LETTER}*+"
 #: Fixed thresholds.
 CONTEXT, SUPPORT = 8, 2
 GENERALISE, REMOVE = 0.9, 0.99
@@ -51,6 +53,9 @@ GENERALISE, REMOVE = 0.9, 0.99
 REACH = 160
 
 
+PLACES = "array<struct<s:int,e:int,m:string,removed:boolean>>"
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -130,10 +135,10 @@ def _words(c: Column) -> Column:
 def context(text: Column, s: Column, e: Column) -> Column:
     """The CONTEXT words before s, nearest first, and the CONTEXT words from e on. A window of REACH characters settles most; a word at its edge may be cut and does not count."""
     before, after = F.substr(text, F.greatest(F.lit(1), s + 1 - REACH), F.least(F.lit(REACH), s)), F.substr(text, e + 1, F.lit(REACH))
-    left = _words(F.when(s > REACH, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before))
+    left = _words(F.when(s > REACH, F.regexp_replace(before, f"^{LETTER}+", "")).otherwise(before))
     left = F.when((s > REACH) & (F.size(left) < CONTEXT), _words(F.substr(text, F.lit(1), s))).otherwise(left)
     more = F.length(text) > e + REACH
-    right = _words(F.when(more, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after))
+    right = _words(F.when(more, F.regexp_replace(after, f"{LETTER}+$", "")).otherwise(after))
     right = F.when(more & (F.size(right) < CONTEXT), _words(F.substr(text, e + 1, F.length(text)))).otherwise(right)
     return F.concat(F.slice(F.reverse(left), 1, CONTEXT), F.slice(right, 1, CONTEXT))
 
@@ -157,18 +162,20 @@ def _key() -> Column:
 
 
 def disclosing(based: DataFrame) -> DataFrame:
-    """text_key, terms (array<struct<term, removed>>): for each different text with entities, the terms that reveal one of them. ``based`` has the text and its base spans."""
+    """text_key, terms (array<struct<term, removed>>) and their places (array<struct<s, e, m, removed>>): for each different text with entities, the terms that reveal one of them. ``based`` has the text and its base spans."""
     with_entities = based.where(F.size(_all()) > 0)
     text = F.col("text")
     hit = with_entities.select("text", F.explode(_all()).alias("x"))
-    contexts = hit.select(context(text, F.col("x.s"), F.col("x.e")).alias("near"), F.explode(entities(F.col("x"))).alias("entity"))
-    contexts = written(contexts.select("entity", "near", F.xxhash64("near").alias("c")), "pii-contexts")
+    contexts = hit.select(context(text, F.col("x.s"), F.col("x.e")).alias("near"), F.xxhash64("text").alias("of"), F.explode(entities(F.col("x"))).alias("entity"))
+    contexts = written(contexts.select("entity", "near", F.xxhash64("near").alias("c"), "of"), "pii-contexts")
     entity = contexts.groupBy("entity").agg(F.sum(F.size("near")).alias("ne"))
-    pair = contexts.select("entity", "c", F.explode("near").alias("term"))
-    pair = pair.groupBy("entity", "term", "c").agg(F.count("*").alias("k")).groupBy("entity", "term").agg(F.sum("k").alias("nte"), F.count("*").alias("contexts"))
-    pair = written(pair.where(F.col("contexts") >= SUPPORT), "pii-pairs")
+    pair = contexts.select("entity", "c", "of", F.explode("near").alias("term"))
+    # a context counts for one of its texts, so texts that share all of them count as one
+    pair = pair.groupBy("entity", "term", "c").agg(F.count("*").alias("k"), F.min("of").alias("of"))
+    pair = pair.groupBy("entity", "term", "of").agg(F.sum("k").alias("k")).groupBy("entity", "term").agg(F.sum("k").alias("nte"), F.count("*").alias("texts"))
+    pair = written(pair.where(F.col("texts") >= SUPPORT), "pii-pairs")
     terms = written(pair.select("term").distinct(), "pii-terms")
-    none = based.select(F.lit("").alias("text_key"), F.array().cast("array<struct<term:string,removed:boolean>>").alias("terms")).limit(0)
+    none = based.select(F.lit("").alias("text_key"), F.array().cast("array<struct<term:string,removed:boolean>>").alias("terms"), F.array().cast(PLACES).alias("places")).limit(0)
     if terms.isEmpty():
         return none
     every = based.where(text.isNotNull())
@@ -183,25 +190,25 @@ def disclosing(based: DataFrame) -> DataFrame:
     own = F.array_distinct(F.flatten(F.transform(_all(), entities)))
     words_of = with_entities.select(_key().alias("text_key"), own.alias("own"), F.explode(F.array_distinct(_words(text))).alias("term"))
     worst = words_of.join(small(bad), "term").where(F.array_contains("own", F.col("entity"))).groupBy("text_key", "term").agg((F.max("ratio") >= REMOVE).alias("removed"))
-    out = written(worst.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("terms")), "pii-terms-of-texts")
-    forget(contexts, pair, terms, bad)
+    worst = written(worst, "pii-worst")
+    # the terms' places: the words of the texts that have any, each met by its own text and term
+    of_text = worst.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("terms"))
+    texts = with_entities.select(_key().alias("text_key"), "text").join(small(written(worst.select("text_key").distinct(), "pii-revealed")), "text_key", "left_semi").dropDuplicates(["text_key"])
+    words = texts.select("text_key", F.explode(positions(text, WORD)).alias("x")).select("text_key", F.lower("x.m").alias("term"), "x")
+    places = words.join(small(worst), ["text_key", "term"]).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("x.s", "x.e", "x.m", "removed"))).alias("places"))
+    out = written(of_text.join(places, "text_key", "left"), "pii-terms-of-texts")
+    forget(contexts, pair, terms, bad, worst)
     return out
 
 
-def _term_spans() -> Column:
-    """The places of the row's disclosing terms as whole words, in any case, outside base spans; none where there are no terms."""
-    alternation = F.array_join(F.transform("_pii_terms", lambda t: t["term"]), "|")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), alternation, F.lit(r")(?![\p{L}\p{N}])"))
-    free = F.filter(positions(F.col("text"), pattern), lambda x: ~F.exists(_all(), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return F.when(F.size(F.coalesce("_pii_terms", F.array().cast("array<struct<term:string,removed:boolean>>"))) > 0, free).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
-
-
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with ``_pii_<kind>``, ``_pii_terms`` and ``_pii_term``: base spans, the terms that reveal them, and those terms' places."""
+    """docs with ``_pii_<kind>``, ``_pii_terms`` and ``_pii_term``: base spans, the terms that reveal them, and those terms' places as whole words, in any case, outside base spans."""
     based = with_base(docs)
     terms = disclosing(based)
-    found = based.join(small(terms.select(F.col("text_key").alias("_pii_key"), F.col("terms").alias("_pii_terms"))), F.when(F.size(_all()) > 0, _key()) == F.col("_pii_key"), "left").drop("_pii_key")
-    return found.withColumn("_pii_term", _term_spans())
+    terms = terms.select(F.col("text_key").alias("_pii_key"), F.col("terms").alias("_pii_terms"), F.col("places").alias("_pii_places"))
+    found = based.join(small(terms), F.when(F.size(_all()) > 0, _key()) == F.col("_pii_key"), "left").drop("_pii_key")
+    free = F.filter(F.coalesce("_pii_places", F.array().cast(PLACES)), lambda x: ~F.exists(_all(), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return found.withColumn("_pii_term", free).drop("_pii_places")
 
 
 def _joined(spans: Column) -> Column:
@@ -225,8 +232,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with entities replaced by their class, disclosing terms by a class word or nothing; ``n_chars``, if there, follows the text. Of overlapping spans the first (and of those the longest) stands for all."""
     cols = docs.columns
     found = with_spans(docs)
-    gone = F.transform(F.filter("_pii_terms", lambda t: t["removed"]), lambda t: t["term"])
-    term = F.transform("_pii_term", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.when(F.array_contains(gone, F.lower(x["m"])), "").otherwise(TERM_CLASS).alias("by")))
+    term = F.transform("_pii_term", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.when(x["removed"], "").otherwise(TERM_CLASS).alias("by")))
     base = [F.transform(_of_kind(CLASSES[k], f"_pii_{k}"), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("by"))) for k in KINDS]
     ordered = F.array_sort(F.concat(*base, term))
 
