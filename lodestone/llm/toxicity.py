@@ -5,8 +5,14 @@ beginnings of compound words) that mark the toxic class. The trie of the terms i
 intersected with Levenshtein automata (1 edit from 5 letters on, 2 from 9; any
 letter) into one deterministic automaton, which reads the words of all texts at
 once, column by column. A term of which a misspelling stands in a clean text of the
-sample loses edits, of its outer letters first; the other terms keep theirs. A hit inside quotation marks or after a reporting word counts as quoted.
-A logistic regression on abusive, misspelled and quoted hits gives the score.
+sample loses edits, of its outer letters first; the other terms keep theirs. A hit inside
+quotation marks or after a reporting word counts as quoted.
+
+A logistic regression on abusive, misspelled and quoted hits gives the score. Its weights
+are fitted on hits of rows that the lexicon did not learn from: each half of the sample is
+read with the lexicon of the other half. As few rows misspell a term, each row of either
+class is also read with typos made by rule in its words. Weights of hits are
+not negative; nothing else about them is set.
 
 Defined cases: null and empty texts have no hit and get the score of a text
 without hits; repeated rows score alike; null doc_id passes through; without
@@ -19,6 +25,7 @@ from __future__ import annotations
 import re
 from itertools import pairwise
 from os.path import commonprefix
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +36,8 @@ from . import textbuf as T
 from .linear import labelled_sample, sigmoid
 
 EXACT, FUZZY = 1, 2
+#: The column of quoted hits among the regression's inputs.
+QUOTED = 2
 THRESHOLD = 0.7
 WINDOW = 60  # characters of context on either side of a hit
 #: Words before a quotation or mention of a term.
@@ -285,33 +294,62 @@ def quoted(before: str, after: str) -> bool:
 
 
 def inputs(counts: np.ndarray) -> np.ndarray:
-    """Columns of the regression: abusive, misspelled and quoted hits, damped, and whether abusive hits repeat."""
-    return np.stack((np.log1p(counts[:, 0]), np.log1p(counts[:, 1]), np.log1p(counts[:, 2]), counts[:, 0] >= 2, counts[:, 0] >= 1), axis=1)
+    """Columns of the regression: abusive, misspelled and quoted hits, damped, whether abusive hits repeat, and whether there are any of either spelling."""
+    return np.stack((np.log1p(counts[:, 0]), np.log1p(counts[:, 1]), np.log1p(counts[:, 2]), counts[:, 0] >= 2, counts[:, 0] >= 1, counts[:, 1] >= 1), axis=1)
+
+
+def typos(text: str) -> str:
+    """The text with one letter dropped, doubled or replaced behind the first one of each word of three letters or more, as a hash of the word tells."""
+
+    def edited(m):
+        word = m[0]
+        h = crc32(word.lower().encode())
+        kind, at = h % 3, 1 + h // 3 % (len(word) - 2) if len(word) > 2 else 0
+        if not at:
+            return word
+        return word[:at] + ("", word[at] * 2, chr(97 + (h >> 8) % 26))[kind] + word[at + 1 :]
+
+    return _TOKEN.sub(edited, text)
+
+
+def read(texts: list[bytes], automaton: Automaton) -> np.ndarray:
+    return np.concatenate([hits(run, automaton) for run in sliced(texts)]) if texts else np.zeros((0, 4))
+
+
+def cross_fitted(sample) -> tuple[np.ndarray, np.ndarray]:
+    """Hits and labels of the sample's rows, as they stand and with typos, by the lexicon of the half they are not in. Equal texts are in one half."""
+    half = [crc32(t.encode()) & 1 for _, t, _ in sample]
+    counts, y = [], []
+    for k in (0, 1):
+        learn, rest = ([r for r, h in zip(sample, half, strict=True) if (h == k) == own] for own in (True, False))
+        lexicon = learn_terms(learn)
+        automaton = fitted_automaton(lexicon, [t.encode() for _, t, v in learn if v == 0])
+        for change in (str, typos):
+            counts.append(read([change(t).encode() for _, t, _ in rest], automaton))
+            y += [float(v) for _, _, v in rest]
+    return np.concatenate(counts), np.array(y)
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, free: list[int], steps: int = 3000) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression in which both classes weigh the same; weights but those of ``free`` are kept from being negative."""
+    w, b = np.zeros(x.shape[1]), 0.0
+    bound = np.where(np.isin(np.arange(x.shape[1]), free), -np.inf, 0.0)
+    cost = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    for _ in range(steps):
+        g = cost * (sigmoid(x @ w + b) - y)
+        w = np.maximum(bound, w - 2.0 * (x.T @ g + 1e-4 * w))
+        b -= 2.0 * g.sum()
+    return w, b
 
 
 def train(sample):
-    """(automaton, weights, bias, means of the classes) or None."""
+    """(automaton, weights, bias), or None if there is nothing to learn from. The sample is bounded by labelled_sample."""
     lexicon = learn_terms(sample)
     if not lexicon:
         return None
-    texts = [t.encode() for _, t, _ in sample]  # bounded by labelled_sample
-    y = np.array([int(v) for _, _, v in sample], float)
-    automaton = fitted_automaton(lexicon, [t for t, v in zip(texts, y, strict=True) if v == 0])
-    counts = np.concatenate([hits(run, automaton) for run in sliced(texts)])
-    # one hit alone must tell, spelled right or not, as no clean text has the misspellings: a toxic text with hits is also learned with one of either kind
-    marked = (y > 0) & (counts[:, :2].sum(1) > 0)
-    alone = [np.where(np.arange(4) < 2, np.arange(4) == k, counts[marked]) for k in (0, 1)]
-    x, y = inputs(np.concatenate((counts, *alone))), np.append(y, np.ones(2 * marked.sum()))
-    # non-negative weights for hits, quoted hits at most half of abusive ones: a projected Newton-free descent
-    w, b = np.array([1.0, 1.0, 0.3, 1.0, 1.0]), -2.0
-    cost = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    for _ in range(3000):
-        g = cost * (sigmoid(x @ w + b) - y)
-        w = np.maximum(0, w - 2.0 * (x.T @ g + 1e-4 * w))
-        w[1] = max(w[1], 0.7 * w[0])  # a misspelled term is rare in any sample
-        w[2] = min(w[2], 0.3 * (w[0] + w[4]))
-        b -= 2.0 * g.sum()
-    return automaton, w, b
+    counts, y = cross_fitted(sample)
+    weights, bias = fit_weights(inputs(counts), y, [QUOTED])
+    return fitted_automaton(lexicon, [t.encode() for _, t, v in sample if v == 0]), weights, bias
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = 2000) -> DataFrame:

@@ -1,6 +1,7 @@
 """Classifiers on labelled rows that they did not learn from, at a size where those are many enough."""
 
 from pathlib import Path
+from zlib import crc32
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ def test_toxicity(spark, larger):
     assert sum(toxic) >= 0.7 * len(toxic) > 0 and sum(clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_with_planted_misspellings(spark, larger):
+    """Held-out rows of both classes with typos made by rule: what has misspelled hits only is toxic, and clean rows stay clean."""
+    at, docs, labels = larger
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and crc32(str(r.doc_id).encode()) % 3 == 1}
+    typed = [(-1 - r.doc_id, toxicity.typos(r.text)) for r in docs.collect() if r.doc_id in truth and r.text]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(typed, "doc_id long, text string"))
+    got = toxicity.toxicity(both, labels, learn=Q._fold(3) != 1).where("doc_id < 0").collect()
+    only = [truth[-1 - r.doc_id] for r in got if not r.n_exact and r.n_misspelled and r.predicted]
+    assert len(only) >= 10 and sum(only) >= 0.85 * len(only)
+    assert sum(r.predicted for r in got if truth[-1 - r.doc_id] == 0) <= 0.02 * sum(y == 0 for y in truth.values())
+
+
 def test_language(spark, larger):
     at, docs, _ = larger
     truth = {r.doc_id: r.lang for r in docs.where("lang is not null").collect()}

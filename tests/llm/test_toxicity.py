@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from lodestone.llm import toxicity as X
 
 
@@ -69,3 +71,32 @@ def test_the_lexicon_is_not_capped():
     lexicon = set(X.learn_terms([(i, t, 1) for i, t in enumerate(toxic)] + [(i, t, 0) for i, t in enumerate(clean)]))
     assert len(words) > 200 and all(any(w == t or s and w.startswith(t) for t, s in lexicon) for w in words)
     assert {("git", False), ("坏蛋", False), ("longercompoundbeginning", True)} <= lexicon
+
+
+def test_typos_are_one_edit_behind_the_first_letter():
+    words = "idiot moron worthless scum 傻瓜 unbelievably".split()
+    for w in words:
+        t = X.typos(w)
+        assert distance(w, t) <= 1 and t[0] == w[0]
+    assert X.typos("a I, 12 傻瓜") == "a I, 12 傻瓜" and sum(X.typos(w) != w for w in words) >= 3
+
+
+def test_weights_follow_the_rows():
+    """A misspelled hit counts only as far as it tells the classes apart; where both classes have it alike it gets nothing."""
+    counts = [[1, 0, 0, 9]] * 90 + [[0, 0, 0, 9]] * 10 + [[0, 0, 0, 9]] * 98 + [[1, 0, 0, 9]] * 2
+    same = np.array([[c[0], k % 2, 0, 9] for k, c in enumerate(counts)], float)
+    y = np.array([1.0] * 100 + [0.0] * 100)
+    w, b = X.fit_weights(X.inputs(same), y, [X.QUOTED])
+    p = 1 / (1 + np.exp(-(X.inputs(np.array([[1, 0, 0, 9], [0, 1, 0, 9], [0, 0, 0, 9]], float)) @ w + b)))
+    assert p[0] > 0.9 and p[1] < 0.3 and w[1] + w[5] < 0.2 and w[X.QUOTED] == 0
+    telling = same.copy()
+    telling[:, 1] = np.r_[np.ones(100), np.zeros(100)]
+    w, b = X.fit_weights(X.inputs(telling), y, [X.QUOTED])
+    assert 1 / (1 + np.exp(-(X.inputs(np.array([[0, 1, 0, 9]], float)) @ w + b)))[0] > 0.7
+
+
+def test_a_lexicon_never_judges_the_rows_it_learned_from():
+    """Words that stand in one toxic row each are learned by nobody's other half."""
+    sample = [(i, f"note {i} plain and kind", 0) for i in range(60)] + [(100 + i, f"xq{i}zz xq{i}zz note plain", 1) for i in range(60)]
+    counts, y = X.cross_fitted(sample)
+    assert len(counts) == len(y) == 240 and counts[:, :3].sum() == 0
