@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ranges import beside, quantiles
+
 
 def missing(c: Column, mode: str = "strict") -> Column:
     """strict (null), empty (and ""), blank (and white space), zero (and zeros)."""
@@ -101,18 +104,18 @@ def outlier_bounds(df: DataFrame, by: list[str], value: str, method: str = "iqr"
     """by, low, high. iqr, zscore (population), mad (modified z of 0.6745) or percentile (k is the tail's share)."""
     c = F.col(value)
     if method == "iqr":
-        q1, q3 = F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.75))
-        return df.groupBy(*by).agg((q1 - k * (q3 - q1)).alias("low"), (q3 + k * (q3 - q1)).alias("high"))
+        q1, q3 = F.col("q1"), F.col("q3")
+        return quantiles(df, by, c, {"q1": 0.25, "q3": 0.75}).select(*by, (q1 - k * (q3 - q1)).alias("low"), (q3 + k * (q3 - q1)).alias("high"))
     if method == "zscore":
         return df.groupBy(*by).agg((F.avg(c) - k * F.stddev_pop(c)).alias("low"), (F.avg(c) + k * F.stddev_pop(c)).alias("high"))
     if method == "percentile":
-        return df.groupBy(*by).agg(F.percentile(c, F.lit(k)).alias("low"), F.percentile(c, F.lit(1 - k)).alias("high"))
+        return quantiles(df, by, c, {"low": k, "high": 1 - k})
     if method != "mad":
         raise ValueError(f"unknown method {method!r}")
-    mid = df.groupBy(*by).agg(F.percentile(c, F.lit(0.5)).alias("_m"))
-    joined = df.join(mid, by) if by else df.crossJoin(F.broadcast(mid))
-    dev = F.percentile(F.abs(c - F.col("_m")), F.lit(0.5)) * k / 0.6745
-    return joined.groupBy(*by).agg((F.first("_m") - dev).alias("low"), (F.first("_m") + dev).alias("high"))
+    mid = cut(quantiles(df, by, c, {"_m": 0.5}), "medians")
+    dev = quantiles(beside(df, mid, by), by, F.abs(c - F.col("_m")), {"_d": 0.5})
+    spread = F.col("_d") * k / 0.6745
+    return beside(mid, dev, by).select(*by, (F.col("_m") - spread).alias("low"), (F.col("_m") + spread).alias("high"))
 
 
 def outliers(df: DataFrame, by: list[str], value: str, method: str = "iqr", k: float = 1.5, action: str = "mark") -> DataFrame:

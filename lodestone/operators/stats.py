@@ -4,32 +4,41 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ranges import average_ranks, beside, quantiles
+
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, n, mean, sd (sample), cv, skew and kurtosis (moments over the sample deviation), min, q1, median, q3, max."""
     c = F.col(value).cast("double")
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.skewness(c).alias("_s"), F.kurtosis(c).alias("_k"), F.stddev_pop(c).alias("_p"), F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"))
+    out = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.skewness(c).alias("_s"), F.kurtosis(c).alias("_k"), F.stddev_pop(c).alias("_p"), F.min(c).alias("min"), F.max(c).alias("max"))
+    out = beside(out, quantiles(df, by, c, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)
     ratio = F.try_divide(F.col("_p"), F.col("sd"))
-    return out.select(*by, "n", "mean", "sd", F.try_divide(F.col("sd"), F.abs("mean")).alias("cv"), (F.col("_s") * F.pow(ratio, 3)).alias("skew"), ((F.col("_k") + 3) * F.pow(ratio, 4) - 3).alias("kurtosis"), "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
+    return out.select(*by, "n", "mean", "sd", F.try_divide(F.col("sd"), F.abs("mean")).alias("cv"), (F.col("_s") * F.pow(ratio, 3)).alias("skew"), ((F.col("_k") + 3) * F.pow(ratio, 4) - 3).alias("kurtosis"), "min", "q1", "median", "q3", "max")
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r of the rows that have both values, as an aggregate; 0 where either does not vary."""
+    x, y = a.cast("double"), b.cast("double")
+    spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y)))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r for each pair of columns, from one scan; 0 where undefined."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*(F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
+    row = df.agg(*(correlation(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
     return row.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)))))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, rho: the correlation of average ranks within groups."""
     for c in (x, y):
-        w, same = Window.partitionBy(*by).orderBy(c), Window.partitionBy(*by, c)
-        df = df.withColumn(f"_{c}", F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
-    return df.groupBy(*by).agg(F.coalesce(F.corr(f"_{x}", f"_{y}"), F.lit(0.0)).alias("rho"))
+        df = average_ranks(df, by, c, f"_{c}")
+    return df.groupBy(*by).agg(correlation(F.col(f"_{x}"), F.col(f"_{y}")).alias("rho"))
 
 
 def regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -50,7 +59,8 @@ def total_variation(base: DataFrame, now: DataFrame, field: str) -> DataFrame:
 
 def psi(base: DataFrame, now: DataFrame, value: str, bins: int = 10, eps: float = 1e-8) -> DataFrame:
     """The population stability index over the base's quantile bins."""
-    cuts = base.agg(F.array_distinct(F.percentile(F.col(value).cast("double"), F.array(*(F.lit(i / bins) for i in range(1, bins))))).alias("cuts"))
+    edges = quantiles(base, [], F.col(value), {f"q{i}": i / bins for i in range(1, bins)})
+    cuts = cut(edges.select(F.array_distinct(F.array_compact(F.array(*(f"q{i}" for i in range(1, bins))))).alias("cuts")), "cuts")
 
     def shares(df, name):
         b = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(cuts)).groupBy(F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("bin")).agg(F.count("*").alias("n"))

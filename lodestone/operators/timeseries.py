@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+from .stats import correlation
+
 
 def _micros(ts: Column) -> Column:
     """Microseconds of either kind of timestamp."""
@@ -126,10 +129,10 @@ def ema(df: DataFrame, by: list[str], order: list[str], value: str, span: int) -
 
 
 def trend(df: DataFrame, by: list[str], order: list, value: str) -> DataFrame:
-    """by, n, slope, intercept, r, cv, direction and strength of the least-squares line over the row index (from 0)."""
-    x = df.withColumn("_i", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("double"))
+    """by, n, slope, intercept, r, cv, direction and strength of the least-squares line over the row index (from 0). ``order`` are names of columns."""
+    x = numbered(df, by, order).withColumn("_i", F.col("_i").cast("double"))
     y = F.col(value).cast("double")
-    r = F.coalesce(F.corr("_i", y), F.lit(0.0))
+    r = correlation(F.col("_i"), y)
     out = x.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, F.col("_i")).alias("slope"), F.regr_intercept(y, F.col("_i")).alias("intercept"), r.alias("r"), F.try_divide(F.stddev_samp(y), F.abs(F.avg(y))).alias("cv"))
     a = F.abs("r")
     direction = F.when((F.col("cv") >= 0.5) & (a < 0.35), "volatile").when((a < 0.2) | (F.abs("slope") <= 1e-9), "flat").when(F.col("slope") > 0, "up").otherwise("down")

@@ -1,3 +1,3 @@
 """All query modules; importing this registers them."""
 
-from . import analytics, applied, features, relational, serving  # noqa: F401
+from . import analytics, applied, features, modelling, relational, serving  # noqa: F401

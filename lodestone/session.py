@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,6 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts lineage, computes the plan once and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/lodestone-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def uncut(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/lodestone-" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application, so that functions of its modules can be unpickled there."""
     app = spark.sparkContext.applicationId
