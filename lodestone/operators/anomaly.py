@@ -79,25 +79,48 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 1
     return scored.crossJoin(F.broadcast(edge)).withColumn("is_outlier", F.col("isolation") > F.col("_edge")).drop("_edge")
 
 
-def cooled(df: DataFrame, identity: list[str], ts: str, seconds: int, ties: Column) -> DataFrame:
-    """The alerts that fire: an identity is silent for ``seconds`` after its last fired alert.
+def firing(times: np.ndarray, last: int | None, wait: int) -> np.ndarray:
+    """The places of the times (sorted) that fire: each one at least ``wait`` after the one that fired before it. Jumps from one to the next."""
+    out, at = [], 0 if last is None else int(np.searchsorted(times, last + wait))
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + wait))
+    return np.array(out, np.int64)
+
 
-    The rows of one identity are sorted in one task (ties by the column) and read as a
-    stream of batches, of which only the last fired time is kept. A null time never fires.
+def fires(df: DataFrame, identity: list[str], micros: Column, wait: int, ties: Column, among: Column) -> DataFrame:
+    """df with ``fired``: of the rows of one identity that ``among`` holds for, by time and ties, those at least ``wait`` microseconds after the one that fired before.
+
+    The rows of one identity are sorted in one task and read as a stream of batches, of
+    which only the last fired time is kept; a row without time never fires.
     """
-    kinds = df.schema
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    ready = df.where(F.col(ts).isNotNull()).withColumns({"_cool_at": micros, "_cool_key": F.xxhash64(*identity), "_cool_id": F.to_json(F.struct(*identity))})
-    ready = ready.repartition("_cool_key").sortWithinPartitions("_cool_key", "_cool_id", "_cool_at", ties)
-    wait = seconds * 1_000_000
+    kinds = df.withColumn("fired", F.lit(False)).schema
+    ready = df.withColumns({"_cool_at": micros, "_cool_among": F.coalesce(among, F.lit(False)) & micros.isNotNull(), "_cool_key": F.xxhash64(*identity), "_cool_id": F.to_json(F.struct(*identity)), "_cool_tie": ties})
+    ready = ready.repartition("_cool_key").sortWithinPartitions("_cool_key", "_cool_id", "_cool_at", "_cool_tie").drop("_cool_tie")
 
     def fire(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, last = None, 0
+        who, last = None, None
         for b in batches:
-            keep = np.zeros(len(b), dtype=bool)
-            for i, (k, t) in enumerate(zip(b["_cool_id"], b["_cool_at"], strict=True)):
-                if k != who or t - last >= wait:
-                    who, last, keep[i] = k, t, True
-            yield b.loc[keep, kinds.names]
+            fired = np.zeros(len(b), dtype=bool)
+            use = np.flatnonzero(b["_cool_among"].to_numpy(dtype=bool))
+            names, times = b["_cool_id"].to_numpy()[use], b["_cool_at"].to_numpy()[use].astype(np.int64)
+            cut = np.flatnonzero(names[1:] != names[:-1]) + 1
+            for s, e in zip(np.append(0, cut), np.append(cut, len(use)), strict=True):
+                if s == e:
+                    continue
+                if names[s] != who:
+                    who, last = names[s], None
+                hit = firing(times[s:e], last, wait)
+                fired[use[s:e][hit]] = True
+                last = int(times[s:e][hit[-1]]) if len(hit) else last
+            b = b.drop(columns=["_cool_at", "_cool_among", "_cool_key", "_cool_id"])
+            b["fired"] = fired
+            yield b[kinds.names]
 
     return ready.mapInPandas(fire, kinds)
+
+
+def cooled(df: DataFrame, identity: list[str], ts: str, seconds: int, ties: Column) -> DataFrame:
+    """The alerts that fire: an identity is silent for ``seconds`` after its last fired alert. A null time never fires."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return fires(df.where(F.col(ts).isNotNull()), identity, micros, seconds * 1_000_000, ties, F.lit(True)).where("fired").drop("fired")

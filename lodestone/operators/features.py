@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .timeseries import sessions
+
 
 def calendar(ts: Column) -> dict[str, Column]:
     """Parts of a timestamp; day_of_week counts from Monday (0), week is the ISO week; the month also as a place on a circle."""
@@ -85,20 +88,63 @@ def new_values(df: DataFrame, by: str, order: list[str], value: str) -> DataFram
     return df.withColumn("is_new", F.col(value).isNotNull() & (seen == 1) & (at > 1))
 
 
-def running_stats(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """df with the number, mean and sample deviation of the entity's values before the row."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({"past_n": F.count(value).over(w), "past_mean": F.avg(value).over(w), "past_sd": F.stddev_samp(value).over(w)})
+def running_stats(df: DataFrame, by: str, order: list[str], value: str, kept: int = 500) -> DataFrame:
+    """df with number, mean, sample and population deviation of the entity's values before the row, median and 95th percentile of the last ``kept`` of them, and the value before (0 for none)."""
+    w = Window.partitionBy(by).orderBy(*order)
+    past, few = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(-kept, -1)
+    sd = F.stddev_pop(value).over(past)
+    return df.withColumns({
+        "past_n": F.count(value).over(past), "past_mean": F.avg(value).over(past), "past_sd": F.stddev_samp(value).over(past), "past_spread": F.coalesce(sd, F.lit(0.0)),
+        "past_median": F.percentile(value, F.lit(0.5)).over(few), "past_p95": F.percentile(value, F.lit(0.95)).over(few), "past_last": F.coalesce(F.lag(value).over(w), F.lit(0.0)),
+    })
+
+
+#: An engagement score's points for each event, session, purchase and use of a feature, the days that recency counts, and the levels.
+ENGAGEMENT = {"event": 1.0, "session": 5.0, "purchase": 20.0, "feature_used": 3.0, "days": 30.0}
+LEVELS = ((150.0, "power_user"), (75.0, "high"), (25.0, "medium"))
+
+
+def engagement(df: DataFrame, by: str, ts: str, tie: str, kind: str, as_of: Column, gap_seconds: int = 1800, purchase: str = "purchase", feature: str = "feature_used") -> DataFrame:
+    """by, events, sessions, score, level: points for events, sessions (parted by more than the gap), purchases and uses of features, and up to 30 for being here lately (whole days before ``as_of``)."""
+    p = ENGAGEMENT
+    own = sessions(df.where(F.col(ts).isNotNull()), by, ts, gap_seconds, [tie]).groupBy(by).agg(F.count("*").alias("events"), F.max("session").alias("sessions"), F.count_if(F.col(kind) == purchase).alias("_p"), F.count_if(F.col(kind) == feature).alias("_f"), F.max(ts).alias("_latest"), F.max(as_of).alias("_now"))
+    days = F.floor((F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col("_latest").cast("timestamp"))) / 86_400_000_000)
+    score = F.col("events") * p["event"] + F.col("sessions") * p["session"] + F.col("_p") * p["purchase"] + F.col("_f") * p["feature_used"] + F.greatest(F.lit(0.0), p["days"] - F.greatest(F.lit(0), days))
+    level = F.lit("low")
+    for least, name in reversed(LEVELS):
+        level = F.when(F.col("score") >= least, name).otherwise(level)
+    return own.withColumn("score", score).select(by, "events", F.col("sessions").cast("long").alias("sessions"), "score", level.alias("level"))
 
 
 def repeated_amounts(df: DataFrame, keys: list[str], key: str, amount: str, ts: str, seconds: int) -> DataFrame:
-    """The rows' ``key`` for which an earlier row (by time, then key) of the same keys has the same amount to 0.01 within the time: an equi-join on cents and their neighbours."""
+    """The rows' ``key`` for which an earlier row (by time, then key) of the same keys has the same amount to 0.01 within the time.
+
+    Only existence is asked, so rows do not meet in pairs: each one looks back, among the
+    rows of its cents and of both neighbours in its span of time and the one before, at the
+    latest of each. Where the latest of a neighbour is in time but differs by more than
+    0.01 (amounts between the cents), earlier ones may not: those few rows are joined.
+    """
     cents, at = F.round(F.col(amount) * 100).cast("long"), F.unix_micros(F.col(ts).cast("timestamp"))
-    late = df.select(*keys, F.col(key), F.col(amount).alias("_a"), at.alias("_t"), F.explode(F.array(cents - 1, cents, cents + 1)).alias("_c"))
-    early = df.select(*keys, F.col(key).alias("_k"), F.col(amount).alias("_b"), at.alias("_u"), cents.alias("_c"))
+    wait = seconds * 1_000_000
+    rows = df.select(*keys, F.col(key), F.col(amount).alias("_a"), at.alias("_t"), cents.alias("_c")).where("_a IS NOT NULL AND _t IS NOT NULL")
+    rows = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)) if keys else rows
+    rows = rows.withColumn("_s", F.floor(F.col("_t") / max(1, wait)).cast("long"))
+    # a row stands in its own cents and, as a neighbour, in those beside it; in its own span of time and, as one before, in the next
+    places = F.array(*(F.struct((F.col("_c") + d).alias("_c"), (F.col("_s") + s).alias("_s"), F.lit(d).alias("_d"), F.lit(s == 0 and d == 0).alias("_asks")) for d in (-1, 0, 1) for s in (0, 1)))
+    placed = rows.select(*keys, key, "_a", "_t", F.explode(places).alias("_p")).select(*keys, key, "_a", "_t", "_p.*")
+    w = Window.partitionBy(*keys, "_c", "_s").orderBy("_t", key).rowsBetween(Window.unboundedPreceding, -1)
+    latest = {f"_l{d + 1}": F.last(F.when(F.col("_d") == d, F.struct("_t", "_a")), ignorenulls=True).over(w) for d in (-1, 0, 1)}
+    seen = placed.withColumns(latest).where("_asks")
+    timely = [F.coalesce(F.col("_t") - F.col(f"_l{i}._t") <= wait, F.lit(False)) for i in range(3)]
+    equal = [F.abs(F.col("_a") - F.col(f"_l{i}._a")) <= 0.01 + 1e-9 for i in range(3)]
+    hit = (timely[0] & equal[0]) | (timely[1] & equal[1]) | (timely[2] & equal[2])
+    seen = cut(seen.select(*keys, key, "_a", "_t", "_c", hit.alias("_hit"), (timely[0] | timely[1] | timely[2]).alias("_open")), "amounts")
+    late = seen.where("_open AND NOT _hit").select(*keys, F.col(key), "_a", "_t", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"))
+    early = rows.select(*keys, F.col(key).alias("_k"), F.col("_a").alias("_b"), F.col("_t").alias("_u"), "_c")
     d = F.col("_t") - F.col("_u")
     earlier = (d > 0) | ((d == 0) & (F.col("_k") < F.col(key)))
-    return late.join(early, [*keys, "_c"]).where(earlier & (d <= seconds * 1_000_000) & (F.abs(F.col("_a") - F.col("_b")) <= 0.01 + 1e-9)).select(key).distinct()
+    rest = late.join(early, [*keys, "_c"]).where(earlier & (d <= wait) & (F.abs(F.col("_a") - F.col("_b")) <= 0.01 + 1e-9)).select(key)
+    return seen.where("_hit").select(key).union(rest).distinct()
 
 
 def quick_changes(df: DataFrame, by: str, order: list[str], place: str, ts: str, seconds: int) -> DataFrame:

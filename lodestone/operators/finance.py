@@ -48,16 +48,26 @@ def bank_matches(statements: DataFrame, transactions: DataFrame, least: float =
     """statement_id, transaction_id, score: each statement's best transaction (ties by id). Both sides have id, amount, date, text.
 
     Amounts agree to 0.01 (half of the score), dates are at most 3 days apart (0.3,
-    falling linearly) and equal texts give 0.2. The join is on cents and their neighbours.
+    falling linearly) and equal texts give 0.2. Transactions are reduced to the smallest id
+    of each (amount, day) and of each (amount, day, text), statements to their different
+    (amount, day, text); those meet on cents and day with their neighbours, so many equal
+    amounts are one row on either side.
     """
     cents = F.round(F.col("amount") * 100).cast("long")
-    s = statements.select(F.col("id").alias("statement_id"), F.col("amount").alias("sa"), F.col("date").alias("sd"), F.col("text").alias("st"), F.explode(F.array(cents - 1, cents, cents + 1)).alias("c"))
-    t = transactions.select(F.col("id").alias("transaction_id"), F.col("amount").alias("ta"), F.col("date").alias("td"), F.col("text").alias("tt"), cents.alias("c"))
-    days = F.abs(F.datediff("sd", "td"))
-    pair = s.join(t, "c").where((F.abs(F.col("sa") - F.col("ta")) <= 0.01 + 1e-9) & (days <= 3))
-    score = 0.5 + 0.3 * (1 - days / 3) + F.when(F.lower("st") == F.lower("tt"), 0.2).otherwise(0.0)
-    best = pair.select("statement_id", "transaction_id", F.round(score, 9).alias("score")).where(F.col("score") >= least).groupBy("statement_id").agg(F.max(F.struct("score", (-F.col("transaction_id")).alias("k"))).alias("b"))
-    return best.select("statement_id", (-F.col("b.k")).alias("transaction_id"), "b.score")
+    day = F.unix_date(F.to_date("date"))
+    s = statements.select(F.col("id").alias("statement_id"), F.col("amount").alias("sa"), day.alias("sd"), F.lower("text").alias("st"), cents.alias("c"))
+    asked = s.select("sa", "sd", "st", "c").distinct()
+    t = transactions.groupBy(F.col("amount").alias("ta"), cents.alias("tc"), day.alias("td"), F.lower("text").alias("tt")).agg(F.min("id").alias("id"))
+    any_text = t.groupBy("ta", "tc", "td").agg(F.min("id").alias("id"))
+    near = asked.withColumn("tc", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).withColumn("td", F.explode(F.sequence(F.col("sd") - 3, F.col("sd") + 3)))
+    same = near.join(t.withColumnRenamed("tt", "st"), ["tc", "td", "st"]).withColumn("bonus", F.lit(0.2))
+    other = near.join(any_text, ["tc", "td"]).withColumn("bonus", F.lit(0.0))
+    pair = same.unionByName(other).where(F.abs(F.col("sa") - F.col("ta")) <= 0.01 + 1e-9)
+    score = F.round(0.5 + 0.3 * (1 - F.abs(F.col("sd") - F.col("td")) / 3) + F.col("bonus"), 9)
+    best = pair.select("sa", "sd", "st", "id", score.alias("score")).where(F.col("score") >= least).groupBy("sa", "sd", "st").agg(F.max(F.struct("score", (-F.col("id")).alias("k"))).alias("b"))
+    best = best.select(F.col("sa").alias("_a"), F.col("sd").alias("_d"), F.col("st").alias("_t"), "b")
+    found = s.join(best, (F.col("sa") == F.col("_a")) & (F.col("sd") == F.col("_d")) & F.col("st").eqNullSafe(F.col("_t")))
+    return found.select("statement_id", (-F.col("b.k")).alias("transaction_id"), "b.score")
 
 
 def cash_flow(df: DataFrame, period: Column, amount: str, receipt: Column, opening: float = 0.0) -> DataFrame:

@@ -82,9 +82,11 @@ def new_value_flags(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, count(value) OVER w AS past_n, avg(value) OVER w AS past_mean, stddev_samp(value) OVER w AS past_sd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+SELECT event_id, count(value) OVER w AS past_n, avg(value) OVER w AS past_mean, stddev_samp(value) OVER w AS past_sd, coalesce(stddev_pop(value) OVER w, 0) AS past_spread, median(value) OVER f AS past_median, quantile_cont(value, 0.95) OVER f AS past_p95,
+  coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS past_last
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING)""")
 def entity_running_stats(spark, sf_dir):
-    return E.running_stats(events(spark, sf_dir), "user_id", ["ts", "event_id"], "value").select("event_id", "past_n", "past_mean", "past_sd")
+    return E.running_stats(events(spark, sf_dir), "user_id", ["ts", "event_id"], "value").select("event_id", "past_n", "past_mean", "past_sd", "past_spread", "past_median", "past_p95", "past_last")
 
 
 @query("""
@@ -121,15 +123,15 @@ def multivariate_outliers(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id, ts, sha256(event_id || ':' || event_type) AS own FROM events), c AS (SELECT *, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE lag(own) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS prev FROM e)
-SELECT event_id, false AS tampered, prev IS DISTINCT FROM lag(own) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS unlinked FROM c""")
+WITH e AS (SELECT event_id, user_id, event_type, ts, sha256(event_id || ':' || CASE WHEN event_id % 70 = 3 THEN 'other' ELSE event_type END) AS own FROM events), c AS (SELECT *, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE lag(own) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS prev FROM e)
+SELECT event_id, own <> sha256(event_id || ':' || event_type) AS tampered, prev IS DISTINCT FROM lag(own) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS unlinked FROM c""")
 def hash_chain(spark, sf_dir):
-    """A chain of the events' hashes in which every fiftieth link is spoilt."""
+    """A chain of the events' hashes in which every fiftieth link is spoilt, and every seventieth row was changed after it was hashed."""
     from pyspark.sql import Window
 
     digest = F.sha2(F.concat_ws(":", "event_id", "event_type"), 256)
     before = F.lag("own").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    chain = events(spark, sf_dir).withColumn("own", digest).withColumn("prev", F.when(F.col("event_id") % 50 == 7, "x").otherwise(before))
+    chain = events(spark, sf_dir).withColumn("own", F.when(F.col("event_id") % 70 == 3, F.sha2(F.concat_ws(":", "event_id", F.lit("other")), 256)).otherwise(digest)).withColumn("prev", F.when(F.col("event_id") % 50 == 7, "x").otherwise(before))
     return E.broken_links(chain, ["user_id"], ["ts", "event_id"], "own", "prev", digest).select("event_id", "tampered", "unlinked")
 
 
@@ -234,12 +236,12 @@ def list_aggregate(spark, sf_dir):
 
 
 @query("""
-WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS purchases, max(ts) AS latest FROM events GROUP BY 1),
-s AS (SELECT *, n + 20 * purchases + greatest(0, 30 - date_diff('day', latest::DATE, (SELECT max(ts)::DATE FROM events))) AS score FROM u)
-SELECT user_id, score::DOUBLE AS score, CASE WHEN score >= 150 THEN 'champion' WHEN score >= 75 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM s""")
+WITH s AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+u AS (SELECT user_id, count(*) AS events, count(*) FILTER (gap IS NULL OR gap > 1800000000) AS sessions, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'click') AS f, max(ts) AS latest FROM s GROUP BY 1),
+x AS (SELECT *, events + 5 * sessions + 20 * p + 3 * f + greatest(0, 30 - (epoch_us((SELECT max(ts) FROM events)) - epoch_us(latest)) // 86400000000) AS score FROM u)
+SELECT user_id, events, sessions, score::DOUBLE AS score, CASE WHEN score >= 150 THEN 'power_user' WHEN score >= 75 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM x""")
 def engagement(spark, sf_dir):
+    """As of the last event; clicks stand for uses of a feature."""
     e = events(spark, sf_dir)
-    u = e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.max("ts").alias("latest"))
     now = e.agg(F.max("ts").alias("now"))
-    score = F.col("n") + 20 * F.col("purchases") + F.greatest(F.lit(0), 30 - F.datediff("now", "latest"))
-    return u.crossJoin(F.broadcast(now)).select("user_id", score.cast("double").alias("score")).withColumn("level", F.when(F.col("score") >= 150, "champion").when(F.col("score") >= 75, "high").when(F.col("score") >= 25, "medium").otherwise("low"))
+    return E.engagement(e.crossJoin(F.broadcast(now)), "user_id", "ts", "event_id", "event_type", F.col("now"), feature="click")

@@ -10,6 +10,7 @@ from ..operators import detectors as D
 from ..operators import metrics as M
 from ..operators import selection as L
 from ..operators import states as S
+from ..operators import triggers as G
 from ..operators.aggregate import Agg
 from ..session import cut, shared_folder
 from ..streaming import windows as W
@@ -168,3 +169,36 @@ def metric_graph(spark, sf_dir):
     late = F.month("o_orderdate") > 6
     o = table(spark, sf_dir, "orders").withColumns({"is_closed": (F.col("o_orderstatus") == "F").cast("int"), "early": F.when(~late, F.col("o_totalprice")), "late": F.when(late, F.col("o_totalprice"))})
     return M.computed(o, ["o_orderpriority"], METRICS)
+
+
+_ROUTE = "CASE WHEN severity = 'critical' THEN CASE WHEN domain = 'security' THEN 'security' WHEN domain = 'fraud' THEN 'fraud' WHEN domain = 'finance' THEN 'finance' ELSE 'executive' END WHEN domain IN ('fraud', 'security', 'finance', 'data') THEN domain ELSE 'ops' END"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, coalesce(value, 0) AS score, CASE WHEN event_id % 3 = 0 THEN value / 40 END AS z, CASE event_type WHEN 'purchase' THEN 'finance' WHEN 'error' THEN 'security' WHEN 'signup' THEN 'fraud' WHEN 'click' THEN 'data' END AS domain,
+  event_type AS signal, event_id % 37 = 0 AS closed, CASE WHEN event_id % 101 = 0 THEN 'high' END AS hint FROM events),
+w AS (SELECT *, count(*) OVER p AS past, avg(score) OVER p + 2.5 * coalesce(stddev_samp(score) OVER p, 0) AS usual, t - lag(t) OVER (PARTITION BY user_id, signal ORDER BY t, event_id) AS since,
+  (SELECT count(*) FROM e y WHERE y.user_id = e.user_id AND (y.t < e.t OR y.t = e.t AND y.event_id < e.event_id) AND e.t - y.t <= 43200000000) AS recent
+  FROM e WINDOW p AS (PARTITION BY signal ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CASE WHEN past >= 20 THEN greatest(0, least(greatest(usual, 35), 85)) ELSE 35 END AS threshold FROM w),
+s AS (SELECT *, CASE WHEN score >= 85 OR z >= 4.5 THEN 'critical' WHEN hint = 'high' OR score >= 65 OR z >= 3 THEN 'high' WHEN score >= threshold OR z >= 2 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'info' END AS severity,
+  CASE WHEN closed THEN 'suppressed' WHEN score < threshold AND NOT coalesce(z >= 2, false) THEN 'below_threshold' WHEN since <= 3600000000 THEN 'deduped' END AS state FROM h),
+c AS (SELECT event_id, user_id, signal, t, row_number() OVER (PARTITION BY user_id, signal ORDER BY t, event_id) AS i FROM s WHERE state IS NULL),
+f AS (SELECT event_id, user_id, signal, t, i FROM c WHERE i = 1
+  UNION ALL SELECT n.event_id, n.user_id, n.signal, n.t, n.i FROM (SELECT c.*, row_number() OVER (PARTITION BY c.user_id, c.signal ORDER BY c.i) AS k FROM f JOIN c ON c.user_id = f.user_id AND c.signal = f.signal AND c.i > f.i AND c.t > f.t + 172800000000) n WHERE k = 1),
+d AS (SELECT s.*, coalesce(state, CASE WHEN s.event_id IN (SELECT event_id FROM f) THEN 'fired' ELSE 'cooldown' END) AS status FROM s),
+o AS (SELECT *, CASE WHEN status = 'fired' AND recent >= 2 AND severity = 'medium' THEN 'high' WHEN status = 'fired' AND recent >= 2 AND severity = 'high' THEN 'critical' ELSE severity END AS loud FROM d),
+x AS (SELECT *, CASE WHEN status IN ('suppressed', 'below_threshold') THEN 'ignore' WHEN status IN ('deduped', 'cooldown') THEN 'monitor' ELSE CASE loud WHEN 'critical' THEN 'incident' WHEN 'high' THEN 'escalate' WHEN 'medium' THEN 'alert' WHEN 'low' THEN 'monitor' ELSE 'ignore' END END AS decision FROM o)
+SELECT event_id, status, decision, loud AS severity, CASE WHEN status IN ('suppressed', 'below_threshold') THEN 'none' ELSE {_ROUTE} END AS route, threshold::DOUBLE AS threshold, recent,
+  concat_ws(',', CASE WHEN hint IS NOT NULL AND severity <> 'info' THEN 'severity_hint=high' END, CASE WHEN severity IN ('critical', 'high', 'medium') THEN severity || '_threshold_met' WHEN severity = 'low' THEN 'low_signal' ELSE 'informational' END,
+    CASE status WHEN 'suppressed' THEN 'suppressed_by_policy' WHEN 'below_threshold' THEN 'score_below_threshold' WHEN 'deduped' THEN 'deduplicated_within_window' WHEN 'cooldown' THEN 'cooldown_active' END, CASE WHEN recent >= 2 THEN 'entity_burst_detected' END) AS reasons
+FROM x""")
+def alert_triggers(spark, sf_dir):
+    """The events' values as anomaly scores: silenced, below a threshold that the signal's past sets, repeated, cooling down, or fired, louder in a burst."""
+    kind = F.col("event_type")
+    domain = F.when(kind == "purchase", "finance").when(kind == "error", "security").when(kind == "signup", "fraud").when(kind == "click", "data")
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("entity"), "ts", F.col("value").alias("score"), F.when(F.col("event_id") % 3 == 0, F.col("value") / 40).alias("zscore"), domain.alias("domain"), F.lit(None).cast("string").alias("category"), kind.alias("signal"),
+        F.when(F.col("event_id") % 37 == 0, "closed").alias("status"), F.when(F.col("event_id") % 101 == 0, "high").alias("hint"),
+    )
+    return G.triggered(e, "event_id", G.Policy(cooldown=2880, recent=720, burst=2)).drop("actions")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,25 +29,30 @@ def velocity(stream: DataFrame, entity: str, ts: str, value: str, label: str, se
         if state.hasTimedOut:
             state.remove()
             return
-        times, sums, labels, seen = map(list, state.get) if state.exists else ([], [], [], [])
+        held_times, held_sums, labels, seen = map(list, state.get) if state.exists else ([], [], [], [])
         known = dict(zip(labels, seen, strict=True))
+        newest = max(seen, default=None)
         new = pd.concat(list(batches)).sort_values(["ts", "value", "label"], kind="stable")
-        found = []
-        for at, moment, v, name in zip(new["at"], new["ts"], new["value"], new["label"], strict=True):
-            v = 0.0 if pd.isna(v) else float(v)
+        at, values = new["at"].to_numpy(np.int64), new["value"].fillna(0.0).to_numpy(float)
+        # both parts are sorted: counts and sums of a window are differences of running ones, extended so that they leave no trace
+        order = np.argsort(held_times, kind="stable")
+        old, own = np.array(held_times, np.int64)[order], np.concatenate(([0], np.cumsum(np.array(held_sums, np.longdouble)[order])))
+        run = np.concatenate(([0], np.cumsum(values.astype(np.longdouble))))
+        lo, hi, begin, end = np.searchsorted(old, at - window), np.searchsorted(old, at, "right"), np.searchsorted(at, at - window), np.arange(1, len(at) + 1)
+        fresh = []
+        for t, name in zip(at.tolist(), new["label"], strict=True):
             name = None if pd.isna(name) else name
-            times.append(int(at))
-            sums.append(v)
-            recent = [s for t, s in zip(times, sums, strict=True) if at - window <= t <= at]
-            known = {k: t for k, t in known.items() if t >= at - ttl}
-            found.append((key[0], moment, v, name, len(recent), sum(recent), name is not None and bool(known) and name not in known))
+            fresh.append(name is not None and newest is not None and newest >= t - ttl and known.get(name, t - ttl - 1) < t - ttl)
             if name is not None:
-                known[name] = max(int(at), known.get(name, int(at)))
-        last = max(times)
-        kept = [(t, s) for t, s in zip(times, sums, strict=True) if t >= last - window]
-        state.update(([t for t, _ in kept], [s for _, s in kept], list(known), list(known.values())))
+                known[name] = max(t, known.get(name, t))
+                newest = max(t, known[name] if newest is None else newest)
+        last = int(max(at[-1], old[-1] if len(old) else at[-1]))
+        times, sums = np.concatenate((old, at)), np.concatenate((np.array(held_sums, float)[order], values))
+        kept, names = times >= last - window, [k for k, t in known.items() if t >= last - ttl]
+        state.update((times[kept].tolist(), sums[kept].tolist(), names, [known[k] for k in names]))
         state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
+        n, total = hi - lo + end - begin, (own[hi] - own[lo] + run[end] - run[begin]).astype(float)
+        yield pd.DataFrame({"entity": key[0], "ts": new["ts"].to_numpy(), "value": values, "label": new["label"].to_numpy(), "n_recent": n, "sum_recent": total, "is_new_label": fresh})
 
     rows = stream.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(
         F.col(entity).cast("string").alias("entity"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("value"), F.col(label).cast("string").alias("label"),
