@@ -138,7 +138,23 @@ def is_cpf(c: Column) -> Column:
     first = _mod11(d, list(range(10, 1, -1)))
     second = _mod11(d, list(range(11, 1, -1)))
     ok = (F.substring(d, 10, 1).cast("int") == first) & (F.substring(d, 11, 1).cast("int") == second)
-    return F.coalesce((F.length(d) == 11) & ~d.rlike(r"^(\d)\1*$") & ok, F.lit(False))
+    return F.when(F.length(d) == 11, ~d.rlike(r"^(\d)\1*$") & ok).otherwise(False)
+
+
+def is_cnpj(c: Column) -> Column:
+    """Fourteen digits, not all alike, with both check digits right."""
+    d = F.regexp_replace(c, "[^0-9]", "")
+    weights = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    ok = (F.substring(d, 13, 1).cast("int") == _mod11(d, weights[1:])) & (F.substring(d, 14, 1).cast("int") == _mod11(d, weights))
+    return F.when(F.length(d) == 14, ~d.rlike(r"^(\d)\1*$") & ok).otherwise(False)
+
+
+def is_luhn(c: Column) -> Column:
+    """13 to 19 digits that pass the Luhn test."""
+    d = F.regexp_replace(c, "[^0-9]", "")
+    padded = F.lpad(d, 19, "0")
+    total = sum(((F.translate(x, "0123456789", "0246813579") if i % 2 else x).cast("int") for i, x in ((i, F.substring(padded, i + 1, 1)) for i in range(19))), F.lit(0))
+    return F.when(F.length(d).between(13, 19), total % 10 == 0).otherwise(False)
 
 
 def dot(a: Column, b: Column) -> Column:

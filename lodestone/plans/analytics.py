@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import quality as Q
 from ..operators import stats as S
 from ..operators import timeseries as T
+from ..operators import vectors as V
 from .catalog import query, table
 
 
@@ -272,10 +273,25 @@ def hash_buckets(spark, sf_dir):
 WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)
 SELECT query_id, vec_id, list_cosine_similarity(q, embedding) AS score FROM q, embeddings WHERE vec_id <> query_id AND list_cosine_similarity(q, embedding) >= 0.9""")
 def similar_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", X.norm(F.col("embedding")).alias("n"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("n").alias("qn"))
-    score = X.dot(F.col("q"), F.col("embedding")) / (F.col("n") * F.col("qn"))
-    return e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score")).where("score >= 0.9")
+    """Every twentieth vector against all, in blocks of two matrices."""
+    found = V.within(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 0.9)
+    return found.select("query_id", F.col("id").alias("vec_id"), "score")
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS score FROM e x JOIN e y ON x.vec_id < y.vec_id)
+SELECT * FROM p WHERE score >= 0.45""")
+def near_vector_pairs(spark, sf_dir):
+    """All vectors with one another by hyperplane tables."""
+    return V.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.45, tables=48)
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.vec_id AS query_id, y.vec_id AS vec_id, list_cosine_similarity(x.v, y.v) AS score FROM e x JOIN e y ON x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place, vec_id, score FROM p QUALIFY place <= 5""")
+def nearest_vectors(spark, sf_dir):
+    found = V.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
+    return found.select("query_id", F.col("place").cast("long").alias("place"), F.col("id").alias("vec_id"), "score")
 
 
 #: Customers (as they are numbered) and suppliers (negative): who bought from whom, and each supplier is the customer of its number.

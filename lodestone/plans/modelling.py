@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as D
 from ..operators import metrics as M
+from ..operators import privacy as P
 from ..operators import selection as L
 from ..operators import states as S
 from ..operators import triggers as G
@@ -202,3 +203,81 @@ def alert_triggers(spark, sf_dir):
         F.when(F.col("event_id") % 37 == 0, "closed").alias("status"), F.when(F.col("event_id") % 101 == 0, "high").alias("hint"),
     )
     return G.triggered(e, "event_id", G.Policy(cooldown=2880, recent=720, burst=2)).drop("actions")
+
+
+_DIGITS = "regexp_replace({x}, '[^0-9]', '', 'g')"
+_AT = "substr({d}, {i}, 1)::INT"
+_CHECK_SQL = {
+    "luhn": "CASE WHEN length({d}) BETWEEN 13 AND 19 THEN list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 1 THEN 2 * substr({d}, i, 1)::INT % 10 + 2 * substr({d}, i, 1)::INT // 10 ELSE substr({d}, i, 1)::INT END)) % 10 = 0 ELSE false END",
+    "cpf": "CASE WHEN length({d}) = 11 THEN {d} <> repeat(substr({d}, 1, 1), 11) AND list_sum(list_transform(range(1, 10), lambda i: substr({d}, i, 1)::INT * (11 - i))) * 10 % 11 % 10 = substr({d}, 10, 1)::INT AND list_sum(list_transform(range(1, 11), lambda i: substr({d}, i, 1)::INT * (12 - i))) * 10 % 11 % 10 = substr({d}, 11, 1)::INT ELSE false END",
+    "cnpj": "CASE WHEN length({d}) = 14 THEN {d} <> repeat(substr({d}, 1, 1), 14) AND list_sum(list_transform(range(1, 13), lambda i: substr({d}, i, 1)::INT * [5,4,3,2,9,8,7,6,5,4,3,2][i])) * 10 % 11 % 10 = substr({d}, 13, 1)::INT AND list_sum(list_transform(range(1, 14), lambda i: substr({d}, i, 1)::INT * [6,5,4,3,2,9,8,7,6,5,4,3,2][i])) * 10 % 11 % 10 = substr({d}, 14, 1)::INT ELSE false END",
+}
+
+
+def findings_sql(source: str, texts: list[str], others: list[str]) -> str:
+    """The rows of ``privacy.findings`` over a table: a count for each column and rule."""
+    parts = []
+    for c in [*texts, *others]:
+        x, known = f"trim({c}::VARCHAR)", P.named(c)
+        for r in P.RULES:
+            if r in known:
+                hit = "true"
+            elif r.value:
+                hit = f"regexp_matches({x}, '{r.value}')" + (f" OR {_CHECK_SQL[r.check].format(d=_DIGITS.format(x=x))}" if r.check else "")
+                hit = f"({hit}) AND {x} <> ''"
+            else:
+                continue
+            action = "BLOCK" if r.type in P.BLOCKED else r.action
+            parts.append(f"SELECT '{c}' AS \"column\", '{r.type}' AS type, 'value' AS \"where\", '{r.severity}' AS severity, '{action}' AS action, count(*) FILTER ({c} IS NOT NULL AND {hit}) AS hits, count({c}) AS non_null FROM {source}")
+        for t, pattern in P.SEARCHED.items() if c in texts else ():
+            r = next(r for r in P.RULES if r.type == t)
+            severity, action = ("CRITICAL" if r.severity == "CRITICAL" else "HIGH"), ("BLOCK" if t in P.BLOCKED else r.action)
+            parts.append(f"SELECT '{c}', '{t}', 'text', '{severity}', '{action}', count(*) FILTER (length({c}) >= 20 AND regexp_matches({c}, '{pattern}')), count({c}) FROM {source}")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE hits > 0"
+
+
+_PEOPLE = "people AS (SELECT c_custkey AS customer, c_name, lower(replace(c_name, '#', '.')) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '@example.com' END AS contact, lpad((c_custkey * 7919 % 100000000)::VARCHAR, 8, '0') AS code, lpad((c_custkey * 104729)::VARCHAR, 11, '3') AS digits, CASE WHEN c_custkey % 2 = 0 THEN 'card 4111 1111 1111 ' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') END AS note, 'sk-' || substr(sha256(c_name), 1, 20) AS opaque FROM customer)"
+
+
+def _people(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("customer"), "c_name", F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.when(k % 3 == 0, "").otherwise("@example.com")).alias("contact"), F.lpad((k * 7919 % 100000000).cast("string"), 8, "0").alias("code"),
+        F.lpad((k * 104729).cast("string"), 11, "3").alias("digits"), F.when(k % 2 == 0, F.concat(F.lit("card 4111 1111 1111 "), F.lpad((k % 10000).cast("string"), 4, "0"))).alias("note"), F.concat(F.lit("sk-"), F.substring(F.sha2("c_name", 256), 1, 20)).alias("opaque"),
+    )
+
+
+_PEOPLE_SQL = findings_sql("people", ["c_name", "contact", "code", "digits", "note", "opaque"], ["customer"])
+
+
+@query(f"WITH {_PEOPLE} {_PEOPLE_SQL}")
+def personal_columns(spark, sf_dir):
+    """The customers with contacts, codes, digits, notes and keys, column by column."""
+    return P.findings(_people(spark, sf_dir))
+
+
+@query(findings_sql("documents", ["text", "lang", "source"], ["doc_id", "n_chars"]))
+def personal_texts(spark, sf_dir):
+    return P.findings(table(spark, sf_dir, "documents").select("text", "lang", "source", "doc_id", "n_chars"))
+
+
+_POINTS = "hits * (CASE severity WHEN 'LOW' THEN 5 WHEN 'MEDIUM' THEN 15 WHEN 'HIGH' THEN 35 ELSE 60 END + CASE action WHEN 'WARN' THEN 5 WHEN 'MASK' THEN 10 WHEN 'BLOCK' THEN 30 ELSE 0 END + CASE WHEN type IN ('CREDIT_CARD', 'PASSWORD', 'API_KEY', 'TOKEN') THEN 15 ELSE 0 END)"
+
+
+@query(f"""
+WITH {_PEOPLE}, f AS ({_PEOPLE_SQL})
+SELECT "column", sum(hits)::BIGINT AS detected, sum(hits) / max(non_null) AS ratio, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, arg_max(severity, list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) AS severity, arg_max(action, list_position(['WARN', 'MASK', 'BLOCK'], action)) AS action,
+  least(100, (sum({_POINTS}) + 2.5) / sqrt(sum(hits)))::DOUBLE AS risk FROM f GROUP BY 1""")
+def personal_risk(spark, sf_dir):
+    return P.columns_at_risk(P.findings(_people(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_PEOPLE}, f AS ({_PEOPLE_SQL}), k AS (SELECT * FROM f WHERE hits >= 0.02 * greatest(non_null, 1)),
+own AS (SELECT "column", max(list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) AS s, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM k GROUP BY 1),
+chars AS (SELECT * FROM (UNPIVOT (SELECT row_number() OVER () AS row_id, c_name, contact, code, digits, note, opaque, customer::VARCHAR AS customer FROM people) ON c_name, contact, code, digits, note, opaque, customer INTO NAME col VALUE v)),
+bits AS (SELECT col, row_id, v, -sum(n / length(v) * log2(n / length(v))) AS e FROM (SELECT col, row_id, v, ch, count(*) AS n FROM (SELECT *, unnest(string_split(v, '')) AS ch FROM chars) GROUP BY ALL) GROUP BY 1, 2, 3),
+stats AS (SELECT col AS "column", round(avg(e), 6) AS entropy, avg(length(v)) AS long, count(*) FILTER (contains(v, ' ')) AS spaced FROM bits GROUP BY 1)
+SELECT "column", CASE WHEN entropy >= 4 AND long >= 20 AND spaced = 0 AND coalesce(s, 0) <= 2 THEN 'confidential' WHEN s = 4 THEN 'restricted' WHEN s = 3 THEN 'confidential' WHEN s IS NOT NULL THEN 'internal' ELSE 'public' END AS label, coalesce(types, '') AS types, entropy FROM stats LEFT JOIN own USING ("column")""")
+def classified_columns(spark, sf_dir):
+    return P.classified(_people(spark, sf_dir))
