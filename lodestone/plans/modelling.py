@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import detectors as D
+from ..operators import inference as I
+from ..operators import materialise as Z
 from ..operators import metrics as M
 from ..operators import privacy as P
 from ..operators import selection as L
@@ -281,3 +283,58 @@ stats AS (SELECT col AS "column", round(avg(e), 6) AS entropy, avg(length(v)) AS
 SELECT "column", CASE WHEN entropy >= 4 AND long >= 20 AND spaced = 0 AND coalesce(s, 0) <= 2 THEN 'confidential' WHEN s = 4 THEN 'restricted' WHEN s = 3 THEN 'confidential' WHEN s IS NOT NULL THEN 'internal' ELSE 'public' END AS label, coalesce(types, '') AS types, entropy FROM stats LEFT JOIN own USING ("column")""")
 def classified_columns(spark, sf_dir):
     return P.classified(_people(spark, sf_dir))
+
+
+_DIRTY = """dirty AS (SELECT CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderkey::VARCHAR END AS num, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 1000)::VARCHAR ELSE (o_orderkey % 977)::VARCHAR || '.' || (o_custkey % 90 + 10)::VARCHAR || '0' END AS price,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' WHEN o_orderkey % 5 = 0 THEN 'N/A' ELSE 'false' END AS flag, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS moment, strftime(o_orderdate, '%Y-%m-%d') AS day,
+  CASE WHEN o_orderkey % 500 = 7 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS mixed, NULL::VARCHAR AS nothing, o_orderpriority AS words FROM orders)"""
+_KIND = "CASE WHEN v IS NULL OR lower(v) IN ('', 'null', 'none', 'na', 'n/a', 'nan', '-') THEN NULL " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN '{k}'" for k, p in I.KINDS.items()) + " ELSE 'string' END"
+
+
+@query(f"""
+WITH {_DIRTY}, u AS (SELECT row_number() OVER () AS i, * FROM dirty),
+c AS (SELECT col AS "column", trim(v) AS v FROM u UNPIVOT INCLUDE NULLS (v FOR col IN (num, price, flag, moment, day, mixed, nothing, words))),
+k AS (SELECT "column", v, {_KIND} AS kind FROM c),
+n AS (SELECT *, CASE WHEN kind IN ('integer', 'decimal') THEN length(regexp_replace(regexp_extract(v, '^[+-]?([0-9]*)', 1), '^0+([0-9])', '\\1')) END AS w, CASE WHEN kind IN ('integer', 'decimal') THEN length(regexp_replace(regexp_extract(v, '\\.([0-9]*)$', 1), '0+$', '')) END AS s FROM k),
+a AS (SELECT "column", list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)) AS kinds, count(*) - count(kind) AS nulls, count(kind) AS non_null, max(length(v)) FILTER (kind IS NOT NULL) AS max_length, greatest(1, max(w) + max(s)) AS p, max(s) AS s FROM n GROUP BY 1),
+t AS (SELECT *, CASE WHEN kinds IS NULL THEN 'unknown' WHEN len(kinds) = 1 THEN kinds[1] WHEN kinds = ['decimal', 'integer'] THEN 'decimal' WHEN kinds = ['date', 'timestamp'] THEN 'timestamp' ELSE 'string' END AS type FROM a)
+SELECT "column", type, nulls > 0 AS nullable, nulls, non_null, max_length, CASE WHEN type IN ('integer', 'decimal') THEN p END AS precision, CASE WHEN type IN ('integer', 'decimal') THEN s END AS scale FROM t""")
+def inferred_schema(spark, sf_dir):
+    """Types of a text table made of the orders, with blanks, mixed numbers, dates and times."""
+    k, c, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
+    text = lambda x: x.cast("string")
+    dirty = table(spark, sf_dir, "orders").select(
+        F.when(k % 9 == 0, " ").otherwise(text(k)).alias("num"), F.when(k % 4 == 0, text(k % 1000)).otherwise(F.concat(text(k % 977), F.lit("."), text(c % 90 + 10), F.lit("0"))).alias("price"),
+        F.when(k % 2 == 0, "TRUE").when(k % 5 == 0, "N/A").otherwise("false").alias("flag"), F.when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "yyyy-MM-dd HH:mm:ss")).alias("moment"), F.date_format(d, "yyyy-MM-dd").alias("day"),
+        F.when(k % 500 == 7, F.concat(F.lit("x"), text(k))).otherwise(text(k)).alias("mixed"), F.lit(None).cast("string").alias("nothing"), F.col("o_orderpriority").alias("words"),
+    )
+    return I.inferred(dirty).drop("position")
+
+
+def _stored_orders(spark, sf_dir):
+    """The orders as features of customers, a chunk for each year, the second chunk written twice and the first one first wrongly."""
+    at = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("k"))
+    third = F.pmod(F.col("k"), F.lit(3))
+    Z.write_chunk(o.where(third != 2), at, "orders", ["o_custkey"], "at", "c0")
+    for chunk, n in (("c0", 0), ("c1", 1), ("c2", 2), ("c1", 1)):
+        Z.write_chunk(o.where(third == n), at, "orders", ["o_custkey"], "at", chunk)
+    return at, o
+
+
+@query("SELECT o_custkey, o_orderdate AS \"at\", o_totalprice AS price, o_orderkey AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey % 3 DESC, o_totalprice DESC, o_orderkey DESC) = 1")
+def latest_features(spark, sf_dir):
+    """The stored latest rows after chunks were corrected and repeated."""
+    at, _ = _stored_orders(spark, sf_dir)
+    return Z.latest(spark, at, "orders")
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS o_custkey, TIMESTAMP '2024-06-01' - INTERVAL 1 DAY * (c_custkey % 400) AS "at" FROM customer)
+SELECT s.o_custkey, s."at", arg_max(o_totalprice, (o_orderdate, o_orderkey % 3)) AS price FROM s LEFT JOIN orders o ON o.o_custkey = s.o_custkey AND o.o_orderdate <= s."at" GROUP BY 1, 2""")
+def features_as_of(spark, sf_dir):
+    """The stored features as each customer had them at a day of its own."""
+    at, o = _stored_orders(spark, sf_dir)
+    kind = o.schema["at"].dataType
+    spine = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.expr("timestamp'2024-06-01' - make_dt_interval(cast(c_custkey % 400 as int))").cast(kind).alias("at"))
+    return Z.as_of(spine, spark, at, "orders", ["o_custkey"], "at", ["price"])
