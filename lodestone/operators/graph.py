@@ -1,21 +1,39 @@
-"""Graphs as edge tables: every round is a join on node ids, and cuts its lineage in the checkpoint folder."""
+"""Graphs as edge tables: every round is a join on node ids, and cuts its lineage in the checkpoint folder; tables that later rounds supersede are deleted."""
 
 from __future__ import annotations
 
-import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import cut, uncut
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts lineage, computes the plan once and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/lodestone-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, "graph")
+
+
+class _Pieces:
+    """A result that grows by a table each round: MANY tables become one, so neither is the whole rewritten each time nor does the plan grow without end."""
+
+    MANY = 16
+
+    def __init__(self, *tables: DataFrame):
+        self.tables = list(tables)
+
+    def add(self, table: DataFrame) -> None:
+        self.tables.append(table)
+        if len(self.tables) >= self.MANY:
+            whole = _cut(self.frame())
+            uncut(*self.tables)
+            self.tables = [whole]
+
+    def frame(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionByName(t)
+        return out
 
 
 def _rounds(most: int | None):
@@ -34,14 +52,17 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """node, distance: nodes reachable from the ``node`` column of start (in at most ``depth`` steps, if given), and the fewest steps."""
-    seen = frontier = _cut(start.select("node").distinct().withColumn("distance", F.lit(0)))
+    frontier = _cut(start.select("node").distinct().withColumn("distance", F.lit(0)))
+    seen = _Pieces(frontier)
     step = edges.select("src", "dst").distinct()
     for d in count(1) if depth is None else range(1, depth + 1):
-        frontier = _cut(frontier.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(d)))
+        ahead = frontier.where(F.col("distance") == d - 1).join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = _cut(ahead.join(seen.frame(), "node", "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+        frontier = seen.tables[-1]  # the table it is in now
+    return seen.frame()
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -51,7 +72,9 @@ def shortest_paths(edges: DataFrame, start: DataFrame, rounds: int | None = None
     for _ in _rounds(rounds):
         via = best.join(w, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
         new = _cut(best.unionByName(via).groupBy("node").agg(F.min("cost").alias("cost")))
-        if new.exceptAll(best).isEmpty():
+        done = new.exceptAll(best).isEmpty()
+        uncut(best)
+        if done:
             return new
         best = new
 
@@ -65,8 +88,10 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         spread = label.join(near, "node").select("node", F.least("component", "n").alias("component"), F.col("component").alias("was"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("far"))
         new = _cut(spread.join(jump, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "was"))
+        uncut(label)
         label = new.drop("was")
         if new.where("component <> was").isEmpty():
+            uncut(both)
             return label
 
 
@@ -74,17 +99,18 @@ def topological_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame
     """node, level: the longest path from a source; nodes on or behind a cycle have none (null)."""
     e = _cut(edges.select("src", "dst").distinct())
     nodes = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    done, left = None, e
-    rest = nodes
+    done, left, rest = _Pieces(), e, nodes
     for level in (k - 1 for k in _rounds(rounds)):
         free = _cut(rest.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
-        done = free if done is None else _cut(done.unionByName(free))
+        was = rest, left
         rest = _cut(rest.join(free, "node", "left_anti"))
         left = _cut(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+        uncut(*was)
+        done.add(free)
     stuck = rest.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+    return done.frame().unionByName(stuck) if done.tables else stuck
 
 
 def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -102,39 +128,49 @@ def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """
     left = _cut(edges.select("src", "dst").where("src <> dst").distinct())
     nodes = _cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node IS NOT NULL").distinct())
-    done = []
+    done = _Pieces()
     for _ in _rounds(rounds):
         while True:
             inner = left.select(F.col("src").alias("node")).intersect(left.select("dst"))
             alone = _cut(nodes.join(inner, "node", "left_anti"))
             if alone.isEmpty():
                 break
-            done.append(alone.withColumn("component", F.col("node")))
+            was = nodes, left
             nodes = _cut(nodes.join(alone, "node", "left_anti"))
             left = _cut(subgraph(left, nodes))
+            uncut(*was)
+            done.add(_cut(alone.withColumn("component", F.col("node"))))
+            uncut(alone)
         if nodes.isEmpty():
             break
         colour = _cut(nodes.withColumn("component", F.col("node")))
         while True:
             sent = colour.join(left, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "component")
             new = _cut(colour.unionByName(sent).groupBy("node").agg(F.min("component").alias("component")))
-            if new.exceptAll(colour).isEmpty():
-                break
+            over = new.exceptAll(colour).isEmpty()
+            uncut(colour)
             colour = new
+            if over:
+                break
         ends = left.join(colour.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
         back = _cut(ends.where("a = b").select("src", "dst"))
-        found = frontier = _cut(colour.where("node = component"))
-        while not frontier.isEmpty():
-            before = frontier.join(back, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "component").distinct()
-            frontier = _cut(before.join(found, "node", "left_anti"))
-            found = _cut(found.unionByName(frontier))
-        done.append(found)
-        nodes = _cut(nodes.join(found, "node", "left_anti"))
+        frontier = _cut(colour.where("node = component").withColumn("step", F.lit(0)))
+        found = _Pieces(frontier)
+        for step in count(1):
+            before = frontier.where(F.col("step") == step - 1).join(back, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "component").distinct()
+            frontier = _cut(before.join(found.frame(), "node", "left_anti").withColumn("step", F.lit(step)))
+            if frontier.isEmpty():
+                break
+            found.add(frontier)
+            frontier = found.tables[-1]
+        parts = _cut(found.frame().drop("step"))
+        was = nodes, left
+        nodes = _cut(nodes.join(parts, "node", "left_anti"))
         left = _cut(subgraph(left, nodes))
+        uncut(*was, *found.tables, back, colour)
+        done.add(parts)
     out = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    return out.unionByName(done.frame()) if done.tables else out
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
@@ -148,5 +184,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     for _ in range(rounds):
         sinks = rank.join(out, F.col("node") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s"))
         got = rank.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("k")).alias("g"))
-        rank = _cut(nodes.join(got, "node", "left").crossJoin(F.broadcast(sinks)).select("node", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + F.col("s") / n)).alias("rank")))
+        new = _cut(nodes.join(got, "node", "left").crossJoin(F.broadcast(sinks)).select("node", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + F.col("s") / n)).alias("rank")))
+        uncut(rank)
+        rank = new
     return rank

@@ -310,14 +310,20 @@ def graph_degrees(spark, sf_dir):
     return G.degrees(trade_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT 1::BIGINT AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM r JOIN edges ON src = node WHERE distance < 3) SELECT node, min(distance) AS distance FROM r GROUP BY 1")
+@query(f"""
+WITH RECURSIVE {EDGES_SQL}, r(node, distance) USING KEY (node) AS (
+  SELECT 1::BIGINT, 0 UNION (SELECT e.dst, min(r.distance) + 1 FROM r JOIN edges e ON e.src = r.node LEFT JOIN recurring.r AS known ON known.node = e.dst WHERE known.node IS NULL GROUP BY e.dst))
+SELECT node, distance::INT AS distance FROM r""")
 def graph_reach(spark, sf_dir):
-    return G.reach(trade_edges(spark, sf_dir), spark.sql("SELECT 1L AS node"), depth=3)
+    """All that the first customer's trades lead to, however far."""
+    return G.reach(trade_edges(spark, sf_dir), spark.sql("SELECT 1L AS node"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {EDGES_SQL}, ends AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r(node, component) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM ends UNION (SELECT e.b, min(r.component) FROM r JOIN ends e ON e.a = r.node JOIN recurring.r AS known ON known.node = e.b WHERE r.component < known.component GROUP BY e.b))
+SELECT node, component FROM r""")
 def graph_components(spark, sf_dir):
-    """Too many pairs for recursive SQL; tested against brute force."""
     return G.components(trade_edges(spark, sf_dir))
 
 

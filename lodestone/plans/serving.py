@@ -84,15 +84,15 @@ def highlighted(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT lang, coalesce(source, 'unknown') AS source, doc_id, n_chars, coalesce(text, '') AS text, row_number() OVER (PARTITION BY lang, coalesce(source, 'unknown') ORDER BY n_chars DESC NULLS LAST, doc_id) AS turn FROM documents WHERE n_chars < 400 QUALIFY turn <= 6),
+WITH r AS (SELECT lang, coalesce(source, 'unknown') AS source, doc_id, n_chars, coalesce(text, '') AS text, row_number() OVER (PARTITION BY lang, coalesce(source, 'unknown') ORDER BY n_chars NULLS LAST, doc_id) AS turn FROM documents QUALIFY turn <= 6),
 t AS (SELECT *, first(n_chars) OVER w AS top, first(doc_id) OVER w AS fk FROM r WINDOW w AS (PARTITION BY lang, source ORDER BY turn)),
-p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY turn, top DESC NULLS LAST, fk) AS position FROM t QUALIFY position <= 6),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY turn, top NULLS LAST, fk) AS position FROM t QUALIFY position <= 6),
 u AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY lang ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM p)
 SELECT lang, doc_id, position, CASE WHEN length(text) > 1200 - used THEN substr(text, 1, greatest(0, 1200 - used - 18)::INT) || chr(10) || '...[TRUNCATED]' ELSE text END AS content FROM u WHERE used < 1200""")
 def context_packing(spark, sf_dir):
-    """The longest of the documents under 400 characters for each language, sources in turn, in 1,200 characters."""
-    docs = table(spark, sf_dir, "documents").where("n_chars < 400")
-    return R.packed(docs, ["lang"], "source", "doc_id", "n_chars", "text", 1200, 6)
+    """The shortest documents of each language, sources in turn, in 1,200 characters."""
+    docs = table(spark, sf_dir, "documents").withColumn("score", -F.col("n_chars"))
+    return R.packed(docs, ["lang"], "source", "doc_id", "score", "text", 1200, 6)
 
 
 @query()
@@ -106,12 +106,13 @@ _WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\
 
 
 @query(f"""
-WITH c AS (SELECT conv_id, turn AS claim, {_WORDS} AS w FROM conversations WHERE role = 'assistant'), e AS (SELECT conv_id, turn AS doc, {_WORDS} AS w FROM conversations WHERE role <> 'assistant'),
+WITH one AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) = 1),
+c AS (SELECT conv_id, turn AS claim, {_WORDS} AS w FROM one WHERE role = 'assistant'), e AS (SELECT conv_id, turn AS doc, {_WORDS} AS w FROM one WHERE role <> 'assistant'),
 s AS (SELECT conv_id, claim, doc, len(list_intersect(c.w, e.w)) / len(list_distinct(list_concat(c.w, e.w))) AS s FROM c JOIN e USING (conv_id) WHERE len(list_intersect(c.w, e.w)) > 0)
 SELECT c.conv_id, c.claim, coalesce(max(s), 0) AS support, arg_min(doc, (-s, doc)) AS doc, coalesce(max(s), 0) >= 0.2 AS is_supported FROM c LEFT JOIN s ON c.conv_id = s.conv_id AND c.claim = s.claim GROUP BY 1, 2""")
 def supported_claims(spark, sf_dir):
-    """How far the assistant's turns rest on what the conversation says elsewhere."""
-    turns = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    """How far the assistant's turns rest on what the conversation says elsewhere. Of rows that repeat a turn the least by role and text counts."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("x")).select("conv_id", "turn", "x.role", "x.text")
     mine = F.col("role") == "assistant"
     claims = turns.where(mine).withColumnRenamed("turn", "claim")
     return R.supported(claims, turns.where(~mine).withColumnRenamed("turn", "doc"), ["conv_id"], "claim", "doc", "text", 0.2)
