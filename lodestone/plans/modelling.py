@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as D
 from ..operators import inference as I
+from ..operators import lagged as X
 from ..operators import materialise as Z
 from ..operators import metrics as M
 from ..operators import privacy as P
@@ -338,3 +339,26 @@ def features_as_of(spark, sf_dir):
     kind = o.schema["at"].dataType
     spine = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.expr("timestamp'2024-06-01' - make_dt_interval(cast(c_custkey % 400 as int))").cast(kind).alias("at"))
     return Z.as_of(spine, spark, at, "orders", ["o_custkey"], "at", ["price"])
+
+
+def _periods(spark, sf_dir):
+    """The revenue of each order status in periods of four weeks, as numbered series."""
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.floor(F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")) / 28).cast("int").alias("p"), "o_totalprice")
+    sums = o.groupBy("o_orderstatus", "p").agg(F.sum("o_totalprice").alias("v"))
+    return X.indexed(sums, ["o_orderstatus"], "p", "v")
+
+
+_WEEKS = """
+WITH s AS (SELECT o_orderstatus, floor(date_diff('day', DATE '1990-01-01', o_orderdate::DATE) / 28) AS p, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+x AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY p) - 1 AS t, v FROM s)"""
+
+
+@query(f"""{_WEEKS},
+f AS (SELECT * FROM (VALUES (1, 40), (2, 55), (3, 70)) AS f(fold, train_end)),
+m AS (SELECT fold, train_end, o_orderstatus, avg(v) FILTER (t >= train_end - 7) AS p1, sum(v) FILTER (t >= train_end - 6) AS rest FROM f JOIN x ON t < train_end GROUP BY ALL HAVING count(*) >= 7),
+a AS (SELECT fold, train_end, p1 - v AS e, v FROM m JOIN x USING (o_orderstatus) WHERE t = train_end UNION ALL SELECT fold, train_end, (rest + p1) / 7 - v, v FROM m JOIN x USING (o_orderstatus) WHERE t = train_end + 1)
+SELECT fold, train_end, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(abs(e / v)) FILTER (v <> 0) AS mape, avg(e) AS bias FROM a GROUP BY 1, 2""")
+def forecast_backtest(spark, sf_dir):
+    """Two steps ahead by the mean of the last seven values, from three expanding windows."""
+    spec = X.Lags((1, 2, 3), (7,))
+    return X.backtest(_periods(spark, sf_dir), ["o_orderstatus"], X.moving_average(7), spec, [(40, 42), (55, 57), (70, 72)])
