@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,29 +42,61 @@ def best(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame
     return df.withColumn("place", place).where(F.col("place") <= k)
 
 
-def diverse(df: DataFrame, by: list[str], key: str, score: str, tags: str, k: int, balance: float = 0.7, candidates: int = 50) -> DataFrame:
+_WORD = re.compile(r"\w+")
+
+
+def _by_tags(column: list):
+    return [frozenset(() if t is None else t) for t in column], lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+
+
+def _by_text(column: list):
+    """A candidate's text as a query for a chosen one: 0.75 of its words found there, 0.10 of the places they take, 0.15 if it stands there whole."""
+    plain = [" ".join((t or "").lower().split()) for t in column]
+    rows = [(t, Counter(words), len(words)) for t in plain for words in (_WORD.findall(t),)]
+
+    def similarity(a, b):
+        if not a[2] or not b[2]:
+            return 0.0
+        shared = a[1].keys() & b[1].keys()
+        return min(1.0, 0.75 * len(shared) / len(a[1]) + 0.10 * sum(b[1][w] for w in shared) / b[2] + (0.15 if a[0] in b[0] else 0.0))
+
+    return rows, similarity
+
+
+def _by_vector(column: list):
+    rows = [None if v is None or not (n := float(np.linalg.norm(v))) else np.asarray(v, float) / n for v in column]
+    return rows, lambda a, b: 0.0 if a is None or b is None else float(a @ b)
+
+
+_LIKE = {"tags": _by_tags, "text": _by_text, "vector": _by_vector}
+
+
+def diverse(df: DataFrame, by: list[str], key: str, score: str, tags: str, k: int, balance: float = 0.7, candidates: int = 50, like: str = "tags") -> DataFrame:
     """by, key, rank: k of the ``candidates`` best rows of each group, chosen by maximal marginal relevance.
 
     The best row is first; each next one has the greatest balance * score - (1 - balance) * overlap,
-    overlap being the largest Jaccard similarity of its ``tags`` (an array) to a chosen row's;
-    ties go to the better place. A group of any size sends at most ``candidates`` rows to
-    its task: that number is the feature. A null score counts as the lowest, null tags as none.
+    overlap being its largest similarity to a chosen row by the column ``tags``: Jaccard of
+    arrays (``like`` tags), the keyword score of texts (text) or the cosine of vectors
+    (vector; 0 without one). Ties go to the better place. A group of any size sends at most
+    ``candidates`` rows to its task: that number is the feature. A null score counts as the
+    lowest, null tags and texts as empty.
     """
+    prepare = _LIKE[like]
     few = best(df.select(*by, key, score, tags), by, [F.desc_nulls_last(score), F.asc(key)], candidates)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
-        sets = [frozenset(() if t is None else t) for t in group[tags]]
+        sets, similarity = prepare(list(group[tags]))
         rel = [float("-inf") if pd.isna(s) else float(s) for s in group[score]]
-        overlap = [0.0] * len(sets)
+        overlap: list[float | None] = [None] * len(sets)
         left, chosen = list(range(len(sets))), []
         while left and len(chosen) < k:
-            at = left[0] if not chosen else max(left, key=lambda i: (balance * rel[i] - (1 - balance) * overlap[i], -i))
+            at = left[0] if not chosen else max(left, key=lambda i: (balance * rel[i] - (1 - balance) * (overlap[i] or 0.0), -i))
             left.remove(at)
             chosen.append(at)
             for i in left:
-                union = len(sets[i] | sets[at])
-                overlap[i] = max(overlap[i], len(sets[i] & sets[at]) / union if union else 0.0)
+                s = similarity(sets[i], sets[at])
+                overlap[i] = s if overlap[i] is None else max(overlap[i], s)
         out = group.iloc[chosen][[*by, key]].copy()
         out["rank"] = range(1, len(chosen) + 1)
         return out

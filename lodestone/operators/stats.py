@@ -77,8 +77,8 @@ def ks(base: DataFrame, now: DataFrame, value: str, buckets: int = 256) -> DataF
     Values are counted first; running sums are taken inside ranges of the values
     and the ranges' totals are added, so no task sees all values.
     """
-    side = lambda df, s: df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias(s))
-    n = side(base, "a").join(side(now, "b"), "v", "full").na.fill(0)
+    side = lambda df, a, b: df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    n = cut(side(base, 1, 0).union(side(now, 0, 1)).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "values")
     cuts = n.agg(F.array_distinct(F.percentile_approx("v", F.array(*(F.lit(i / buckets) for i in range(1, buckets))))).alias("cuts"))
     n = n.crossJoin(F.broadcast(cuts)).select("v", "a", "b", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"))
     run = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

@@ -98,8 +98,8 @@ def context_packing(spark, sf_dir):
 @query()
 def diverse_documents(spark, sf_dir):
     """Greedy choice depends on every choice before, which SQL cannot say plainly; tested against a plain loop."""
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.log1p("n_chars").alias("score"), R.word_set(F.col("text")).alias("words"))
-    return R.diverse(docs, ["lang"], "doc_id", "score", "words", 10)
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.log1p("n_chars").alias("score"), "text")
+    return R.diverse(docs, ["lang"], "doc_id", "score", "text", 10, like="text")
 
 
 _WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]+'))"

@@ -46,6 +46,32 @@ def test_diverse_equals_a_greedy_loop(spark):
         assert got[g] == plain_choice([(i, s, frozenset(t)) for h, i, s, t in rows if h == g], 8, 0.7)
 
 
+def test_diverse_by_text_and_by_vector(spark):
+    rng = random.Random(5)
+    rows = [(i, round(rng.random(), 3), " ".join(rng.choice(["Red", "fox", "runs", "élan", "a_b"]) for _ in range(rng.randrange(7))) if i % 9 else None, [rng.gauss(0, 1) for _ in range(3)] if i % 7 else None) for i in range(40)]
+    df = spark.createDataFrame([("g", *r) for r in rows], "g string, id long, s double, t string, v array<double>")
+
+    def keyword(q, t):
+        words, q, t = re.findall(r"\w+", (t or "").lower()), (q or "").lower(), (t or "").lower()
+        asked = set(re.findall(r"\w+", q))
+        if not asked or not words:
+            return 0.0
+        return min(1.0, 0.75 * len(asked & set(words)) / len(asked) + 0.1 * sum(w in asked for w in words) / len(words) + 0.15 * (q in t))
+
+    def cosine(a, b):
+        return 0.0 if a is None or b is None else sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    for column, like, similarity in ((2, "text", keyword), (3, "vector", cosine)):
+        left = sorted(rows, key=lambda r: (-r[1], r[0]))
+        chosen = [left.pop(0)]
+        while len(chosen) < 9:
+            best = max(left, key=lambda r: (0.7 * r[1] - 0.3 * max(similarity(r[column], c[column]) for c in chosen), -left.index(r)))
+            left.remove(best)
+            chosen.append(best)
+        got = R.diverse(df, ["g"], "id", "s", "tv"[column - 2], 9, like=like).orderBy("rank").collect()
+        assert [r.id for r in got] == [c[0] for c in chosen], like
+
+
 def test_hashed_embedding_equals_a_loop(spark):
     texts = {1: "Ein Wort, ein Wort und élan_2", 2: "", 3: None, 4: "..."}
     got = {r.id: r.embedding for r in R.hashed_embedding(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", "text", 16).collect()}
