@@ -1,4 +1,4 @@
-"""Places and quantiles of rows within groups, however few and large the groups are: rows are dealt to range partitions, of which only the counts meet."""
+"""Places, ranks and quantiles of rows within groups, however few and large the groups are: rows are dealt to range partitions of which only the counts meet, quantiles are bracketed by sketches."""
 
 from __future__ import annotations
 
@@ -37,18 +37,42 @@ def beside(df: DataFrame, extra: DataFrame, by: list[str]) -> DataFrame:
     return df.join(named, on, "left").drop(*(f"_b{i}" for i in range(len(by))))
 
 
-def quantiles(df: DataFrame, by: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
-    """by and a column for each share (0 to 1): the exact quantile, linear between neighbours, of the group's non-null values. Groups without any are absent."""
-    rows = numbered(df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()), by, ["_v"])
-    at = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in shares.items()}
-    wanted = F.array(*(f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)))
-    picked = rows.where(F.array_contains(wanted, F.col("_i")))
+def quantiles(df: DataFrame, by: list[str], value: Column, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """by and a column for each share (0 to 1): the exact quantile, linear between neighbours, of the group's non-null values. Groups without any are absent.
+
+    A sketch of each group brackets the wanted places within 1 / accuracy of its rows. A
+    second scan counts: values inside a bracket one by one, what lies between brackets as
+    one entry with its least and largest value. Counts are combined before the shuffle, so
+    no rows move but those few, and the entries' running sums tell the exact values.
+    """
+    rows = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    e = 2.0 / accuracy
+    ends = [x for p in shares.values() for x in (max(0.0, p - e), min(1.0, p + e))]
+    brackets = cut(rows.groupBy(*by).agg(F.percentile_approx("_v", F.array(*map(F.lit, ends)), accuracy).alias("_p")), "brackets")
+    v, pairs = F.col("_v"), [(F.col("_p")[2 * i], F.col("_p")[2 * i + 1]) for i in range(len(shares))]
+    inside, gap = F.lit(False), F.lit(0)
+    for lo, hi in pairs:
+        inside |= (v >= lo) & (v <= hi)
+        gap += (v >= lo).cast("int") + (v > hi).cast("int")
+    placed = beside(rows, brackets, by).select(*by, v, F.when(inside, v).alias("_one"), F.when(~inside, gap).alias("_gap"))
+    entries = placed.groupBy(*by, "_one", "_gap").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    entries = entries.withColumns({"_s": before, "_n": F.sum("_c").over(group)})
+
+    def at(place: Column) -> Column:
+        """The value at a place, where the entry has it."""
+        own = (place >= F.col("_s")) & (place < F.col("_s") + F.col("_c"))
+        known = F.when((F.col("_lo") == F.col("_hi")) | (place == F.col("_s")), F.col("_lo")).when(place == F.col("_s") + F.col("_c") - 1, F.col("_hi")).otherwise(F.raise_error(F.lit("a place lies between brackets")).cast("double"))
+        return F.max(F.when(own, known))
+
     aggs = []
-    for x in at.values():
-        aggs += [F.max(F.when(F.col("_i") == F.floor(x), F.col("_v"))), F.max(F.when(F.col("_i") == F.ceil(x), F.col("_v"))), F.max(x - F.floor(x))]
-    out = picked.groupBy(*by).agg(*(a.alias(f"_q{i}") for i, a in enumerate(aggs)))
-    between = lambda i: F.col(f"_q{3 * i}") * (1 - F.col(f"_q{3 * i + 2}")) + F.col(f"_q{3 * i + 1}") * F.col(f"_q{3 * i + 2}")
-    return out.select(*by, *(between(i).alias(name) for i, name in enumerate(shares)))
+    for i, p in enumerate(shares.values()):
+        x = (F.col("_n") - 1) * F.lit(float(p))
+        aggs += [at(F.floor(x)).alias(f"_a{i}"), at(F.ceil(x)).alias(f"_b{i}"), F.max(x - F.floor(x)).alias(f"_w{i}")]
+    out = entries.groupBy(*by).agg(*aggs)
+    out = out.select(*by, *((F.col(f"_a{i}") * (1 - F.col(f"_w{i}")) + F.col(f"_b{i}") * F.col(f"_w{i}")).alias(name) for i, name in enumerate(shares)))
+    return out if by else out.where(" OR ".join(f"`{name}` IS NOT NULL" for name in shares))
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:

@@ -185,6 +185,13 @@ def test_range_quantiles_and_ranks(spark):
     assert [got["hot"][c] for c in "abc"] == pytest.approx(np.quantile(hot, [0.25, 0.5, 0.999]).tolist())
     assert got["one"].b == 5 and got[None].b == 1.5 and "none" not in got
     assert R.quantiles(df, [], F.col("v"), {"m": 0.5}).first().m == np.median([v for _, v in rows if v is not None])
+    assert R.quantiles(df.where("g = 'none'"), [], F.col("v"), {"m": 0.5}).count() == 0
+    for n in (1, 2, 3, 7, 10, 101, 5000, 40_000):  # small groups, ties, and more rows than a coarse sketch tells apart
+        values = np.concatenate((rng.normal(0, 1, n - n // 3), np.full(n // 3, 0.25)))
+        made = spark.createDataFrame([(float(x),) for x in values], "v double")
+        for accuracy in (10, 10_000):
+            ps = {f"q{i}": p for i, p in enumerate((0.0, 0.01, 0.25, 0.5, 0.9, 1.0))}
+            assert list(R.quantiles(made, [], F.col("v"), ps, accuracy).first()) == pytest.approx(np.quantile(values, list(ps.values())).tolist()), (n, accuracy)
     numbers = R.numbered(df, ["g"], ["v"]).collect()
     assert sorted(r._i for r in numbers if r.g == "hot") == list(range(9001)) and all(r._n == 9001 for r in numbers if r.g == "hot")
     import pandas as pd
