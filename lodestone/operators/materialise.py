@@ -79,16 +79,25 @@ def history(spark: SparkSession, path: str, view: str) -> DataFrame:
     return _stored(spark, f"{path}/history").where(F.col("view") == view).drop("view", "part")
 
 
-def as_of(spine: DataFrame, spark: SparkSession, path: str, view: str, by: list[str], ts: str, features: list[str]) -> DataFrame:
-    """spine with the features that each entity had at the row's ``ts`` (the time itself included; null where it had none): the last one is carried forward in one sort of both."""
+def as_of(spine: DataFrame, spark: SparkSession, path: str, view: str, by: list[str], ts: str, features: list[str], first: tuple[str, ...] = (), known: bool = False) -> DataFrame:
+    """spine with the features that each entity had at the row's ``ts`` (the time itself included; null where it had none): the last one is carried forward in one sort of both.
+
+    Of an entity's rows with one time the one of the last chunk counts, and of those the one
+    that comes first by the stored columns ``first``. With ``known`` a feature's last value
+    that is not null counts, else the values of the last row.
+    """
     stored = history(spark, path, view)
     marks = {f: F.lit(None).cast(stored.schema[f].dataType) for f in features}
+    ties = [f"_o{i}" for i in range(len(first))]
     left = spine.withColumns({**{f"_f_{f}": v for f, v in marks.items()}, "_side": F.lit(1), "_has": F.lit(False)})
-    right = stored.select(*by, ts, *(F.col(f).alias(f"_f_{f}") for f in features), "chunk", F.lit(0).alias("_side"), F.lit(True).alias("_has"))
+    right = stored.select(*by, ts, *(F.col(f).alias(f"_f_{f}") for f in features), "chunk", *(F.col(c).alias(o) for c, o in zip(first, ties, strict=True)), F.lit(0).alias("_side"), F.lit(True).alias("_has"))
     both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.asc(ts), F.asc("_side"), F.asc_nulls_first("chunk")).rowsBetween(Window.unboundedPreceding, 0)
-    row = F.last(F.when(F.col("_has"), F.struct(*(f"_f_{f}" for f in features))), ignorenulls=True).over(w)
-    out = both.withColumn("_row", row).where("_side = 1")
+    w = Window.partitionBy(*by).orderBy(F.asc(ts), F.asc("_side"), F.asc_nulls_first("chunk"), *(F.desc_nulls_first(o) for o in ties)).rowsBetween(Window.unboundedPreceding, 0)
+    if known:
+        last = F.struct(*(F.last(f"_f_{f}", ignorenulls=True).over(w).alias(f"_f_{f}") for f in features))
+    else:
+        last = F.last(F.when(F.col("_has"), F.struct(*(f"_f_{f}" for f in features))), ignorenulls=True).over(w)
+    out = both.withColumn("_row", last).where("_side = 1")
     return out.select(*spine.columns, *(F.col("_row")[f"_f_{f}"].alias(f) for f in features))
 
 

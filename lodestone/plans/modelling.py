@@ -337,8 +337,8 @@ def features_as_of(spark, sf_dir):
     """The stored features as each customer had them at a day of its own."""
     at, o = _stored_orders(spark, sf_dir)
     kind = o.schema["at"].dataType
-    spine = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.expr("timestamp'2024-06-01' - make_dt_interval(cast(c_custkey % 400 as int))").cast(kind).alias("at"))
-    return Z.as_of(spine, spark, at, "orders", ["o_custkey"], "at", ["price"])
+    spine = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.expr("timestamp'2024-06-01' - make_dt_interval(cast(c_custkey % 400 as int))").cast(kind).alias("at")).distinct()
+    return Z.as_of(spine, spark, at, "orders", ["o_custkey"], "at", ["price"], first=("k",), known=True)
 
 
 def _periods(spark, sf_dir):
