@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, spread
+
 
 def enrich(df: DataFrame, ref: DataFrame, keys: list[str], fields: list[str], merge: str = "overwrite", missing: str = "keep", order: str | None = None) -> DataFrame:
     """df with ``fields`` of the first matching reference row (by ``order``, else by the fields themselves).
@@ -74,10 +76,18 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_t
 
 
 def fuzzy_matches(df: DataFrame, key: str, text: str, block: Column, threshold: float) -> DataFrame:
-    """a, b, similarity (a < b): rows of one block whose texts are similar by Levenshtein ratio. Lengths are bounded first, so most pairs cost no distance."""
-    x = df.select(F.col(key).alias("a"), F.col(text).alias("ta"), block.alias("block"))
-    y = x.select(F.col("a").alias("b"), F.col("ta").alias("tb"), "block")
+    """a, b, similarity (a < b): rows of one block whose texts are similar by Levenshtein ratio.
+
+    Different texts of a block meet first, each pair once, and lengths are bounded before a
+    distance is taken; then the rows of similar texts meet, so copies cost no distance.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), block.alias("block")).where("k IS NOT NULL AND t IS NOT NULL AND block IS NOT NULL")
+    texts = cut(spread(rows.select("block", "t").distinct()), "texts")
     longest = F.greatest(F.length("ta"), F.length("tb"))
     close = F.abs(F.length("ta") - F.length("tb")) <= (1 - threshold) * longest
     sim = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("ta", "tb") / longest)
-    return x.join(y, "block").where((F.col("a") < F.col("b")) & close).select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    met = texts.withColumnRenamed("t", "ta").join(texts.withColumnRenamed("t", "tb"), "block").where((F.col("ta") <= F.col("tb")) & close)
+    met = cut(met.select("block", "ta", "tb", sim.alias("similarity")).where(F.col("similarity") >= threshold), "similar-texts")
+    both = met.unionByName(met.where("ta <> tb").select("block", F.col("tb").alias("ta"), F.col("ta").alias("tb"), "similarity"))
+    x, y = rows.select(F.col("k").alias("a"), F.col("t").alias("ta"), "block"), rows.select(F.col("k").alias("b"), F.col("t").alias("tb"), "block")
+    return spread(x.join(both, ["block", "ta"])).join(y, ["block", "tb"]).where("a < b").select("a", "b", "similarity")

@@ -172,7 +172,7 @@ SELECT a.p_partkey AS a, b.p_partkey AS b, 1 - levenshtein(a.p_name, b.p_name) /
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
 WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.8""")
 def fuzzy_block_join(spark, sf_dir):
-    return J.fuzzy_matches(table(spark, sf_dir, "part"), "p_partkey", "p_name", F.concat_ws("|", "p_brand", F.col("p_size").cast("string")), 0.8)
+    return J.fuzzy_matches(table(spark, sf_dir, "part"), "p_partkey", "p_name", F.concat("p_brand", F.lit("|"), F.col("p_size").cast("string")), 0.8)
 
 
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")

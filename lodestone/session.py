@@ -41,6 +41,12 @@ def uncut(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of df dealt to all cores, for a small file whose rows take long: it would be read, and worked on, by a task or two."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application, so that functions of its modules can be unpickled there."""
     app = spark.sparkContext.applicationId
