@@ -50,18 +50,21 @@ def bank_matches(statements: DataFrame, transactions: DataFrame, least: float =
     Amounts agree to 0.01 (half of the score), dates are at most 3 days apart (0.3,
     falling linearly) and equal texts give 0.2. Transactions are reduced to the smallest id
     of each (amount, day) and of each (amount, day, text), statements to their different
-    (amount, day, text); those meet on cents and day with their neighbours, so many equal
-    amounts are one row on either side.
+    (amount, day, text), so many equal amounts are one row on either side; those meet in
+    cells of eight cents and a week, of which a statement looks at one to four.
     """
-    cents = F.round(F.col("amount") * 100).cast("long")
+    cell = lambda amount: F.floor(amount / 0.08)
+    week = lambda day: F.floor(day / 7)
     day = F.unix_date(F.to_date("date"))
-    s = statements.select(F.col("id").alias("statement_id"), F.col("amount").alias("sa"), day.alias("sd"), F.lower("text").alias("st"), cents.alias("c"))
-    asked = s.select("sa", "sd", "st", "c").distinct()
-    t = transactions.groupBy(F.col("amount").alias("ta"), cents.alias("tc"), day.alias("td"), F.lower("text").alias("tt")).agg(F.min("id").alias("id"))
-    any_text = t.groupBy("ta", "tc", "td").agg(F.min("id").alias("id"))
-    near = asked.withColumn("tc", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).withColumn("td", F.explode(F.sequence(F.col("sd") - 3, F.col("sd") + 3)))
-    same = near.join(t.withColumnRenamed("tt", "st"), ["tc", "td", "st"]).withColumn("bonus", F.lit(0.2))
-    other = near.join(any_text, ["tc", "td"]).withColumn("bonus", F.lit(0.0))
+    s = statements.select(F.col("id").alias("statement_id"), F.col("amount").alias("sa"), day.alias("sd"), F.lower("text").alias("st"))
+    asked = s.select("sa", "sd", "st").distinct()
+    t = transactions.groupBy(F.col("amount").alias("ta"), day.alias("td"), F.lower("text").alias("tt")).agg(F.min("id").alias("id"))
+    placed = lambda x: x.withColumns({"c": cell(F.col("ta")), "w": week(F.col("td"))})
+    any_text = placed(t.groupBy("ta", "td").agg(F.min("id").alias("id")))
+    near = asked.withColumn("c", F.explode(F.sequence(cell(F.col("sa") - 0.0101), cell(F.col("sa") + 0.0101)))).withColumn("w", F.explode(F.sequence(week(F.col("sd") - 3), week(F.col("sd") + 3))))
+    apart = F.abs(F.col("sd") - F.col("td")) <= 3
+    same = near.join(placed(t).withColumnRenamed("tt", "st"), ["c", "w", "st"]).where(apart).withColumn("bonus", F.lit(0.2))
+    other = near.join(any_text, ["c", "w"]).where(apart).withColumn("bonus", F.lit(0.0))
     pair = same.unionByName(other).where(F.abs(F.col("sa") - F.col("ta")) <= 0.01 + 1e-9)
     score = F.round(0.5 + 0.3 * (1 - F.abs(F.col("sd") - F.col("td")) / 3) + F.col("bonus"), 9)
     best = pair.select("sa", "sd", "st", "id", score.alias("score")).where(F.col("score") >= least).groupBy("sa", "sd", "st").agg(F.max(F.struct("score", (-F.col("id")).alias("k"))).alias("b"))
