@@ -54,7 +54,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataF
     """node, distance: nodes reachable from the ``node`` column of start (in at most ``depth`` steps, if given), and the fewest steps."""
     frontier = _cut(start.select("node").distinct().withColumn("distance", F.lit(0)))
     seen = _Pieces(frontier)
-    step = edges.select("src", "dst").distinct()
+    step = _cut(edges.select("src", "dst"))  # computed once, however many rounds
     for d in count(1) if depth is None else range(1, depth + 1):
         ahead = frontier.where(F.col("distance") == d - 1).join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = _cut(ahead.join(seen.frame(), "node", "left_anti").withColumn("distance", F.lit(d)))
@@ -62,6 +62,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataF
             break
         seen.add(frontier)
         frontier = seen.tables[-1]  # the table it is in now
+    uncut(step)
     return seen.frame()
 
 
