@@ -16,7 +16,7 @@ from ..operators import selection as L
 from ..operators import states as S
 from ..operators import triggers as G
 from ..operators.aggregate import Agg
-from ..session import cut, shared_folder
+from ..session import cut, shared_folder, spread
 from ..streaming import windows as W
 from .catalog import query, table
 
@@ -244,7 +244,7 @@ _PEOPLE = "people AS (SELECT c_custkey AS customer, c_name, lower(replace(c_name
 
 def _people(spark, sf_dir):
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(
         k.alias("customer"), "c_name", F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.when(k % 3 == 0, "").otherwise("@example.com")).alias("contact"), F.lpad((k * 7919 % 100000000).cast("string"), 8, "0").alias("code"),
         F.lpad((k * 104729).cast("string"), 11, "3").alias("digits"), F.when(k % 2 == 0, F.concat(F.lit("card 4111 1111 1111 "), F.lpad((k % 10000).cast("string"), 4, "0"))).alias("note"), F.concat(F.lit("sk-"), F.substring(F.sha2("c_name", 256), 1, 20)).alias("opaque"),
     )
