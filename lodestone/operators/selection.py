@@ -1,6 +1,6 @@
 """Feature selection: which columns of a table are worth keeping for a target, and why the others are not.
 
-Two scans: one aggregate holds the moments and co-moments of all numeric columns; one
+A few scans: each of the first holds some moments and co-moments of the numeric columns; one
 grouping of unpivoted (feature, value, class) cells holds the distinct values of all
 columns and the contingency tables of the categorical ones. What follows has a row for
 each column (or pair of columns), whatever the size of the table.
@@ -8,6 +8,8 @@ each column (or pair of columns), whatever the size of the table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .stats import correlation
 
 #: Against division by 0.
 EPSILON = 1e-12
+#: Correlations of one scan.
+TOGETHER = 7
 
 
 def _missing(c: Column) -> Column:
@@ -69,7 +73,9 @@ def co_moments(df: DataFrame, numeric: list[str], target: str | None) -> DataFra
     out = [F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(names)]
     out += [r(c, target).alias(f"t{i}") for i, c in enumerate(names) if target]
     out += [r(a, b).alias(f"c{i}_{i + 1 + j}") for i, a in enumerate(names) for j, b in enumerate(names[i + 1 :])]
-    return df.agg(*out)
+    # an aggregate of many buffers is not compiled and takes several times as long as a few scans
+    parts = [df.agg(*out[i : i + TOGETHER]) for i in range(0, len(out), TOGETHER)] or [df.agg(F.count("*").alias("n"))]
+    return reduce(DataFrame.crossJoin, parts)
 
 
 def select_features(
