@@ -3,11 +3,15 @@
 1. Each image gets corners on a pyramid of scales, and for each corner 256 binary
    tests on a smoothed patch that is turned to the corner's own direction.
 2. Equal bytes are one class. A class's descriptors are entered in Hamming tables, one
-   for each fixed set of KEY_BITS tests: equal bits there are one entry.
-3. In each table entry every image is paired with the first one. Pairs that share
-   MIN_SHARED entries are compared; what then stays in different components of an entry
-   is paired too, in blocks, so no entry ends up in one task and no pair inside a
-   component is made.
+   for each fixed set of KEY_BITS tests: equal bits there are one entry. With it goes a
+   sketch of SKETCH_BITS other tests; two descriptors of an entry are close if their
+   sketches differ in at most NEAR_BITS.
+3. In each table entry every image is paired with the first one, if they are close there.
+   Of the others only those stay that are close to another one (in an entry of more than
+   BLOCK all stay). Pairs are compared; those close ones of an entry that then are in
+   different components are paired too, in blocks, so no entry ends up in one task and no
+   pair inside a component is made. Unlike pictures that share an entry by chance so leave
+   the work before any row is made of them.
 4. A pair of images is a copy if enough matched corners agree on one similarity
    transform (scale, turn and shift).
 
@@ -26,6 +30,7 @@ columns are ignored; an empty table gives no rows. Images of any size are read w
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +45,10 @@ LEVELS, FACTOR, PER_CELL, CELL, RADIUS, TESTS = 5, 1.2, 4, 32, 9, 256
 TURNS = 64
 #: Corners of a patch may differ in so many tests.
 MAX_BITS = 56
-#: Hamming tables, and the tests that are a table's key.
-TABLES, KEY_BITS = 8, 48
-#: A copy has so many corners that agree, and shares so many entries at least.
-MIN_INLIERS, MIN_SHARED = 8, 2
+#: Hamming tables, the tests that are a table's key, those of its sketch, and how many of these may differ.
+TABLES, KEY_BITS, SKETCH_BITS, NEAR_BITS = 6, 48, 64, 6
+#: A copy has so many corners that agree.
+MIN_INLIERS = 8
 #: Places may be off by so many pixels, and this share of the distance.
 TOLERANCE = 2.5
 #: Corners on either side of one comparison of a table entry.
@@ -246,28 +251,29 @@ def _features(batches):
 
 
 _rng = np.random.default_rng(5)
-_KEY = [_rng.permutation(TESTS)[:KEY_BITS] for _ in range(TABLES)]
+_ORDER = [_rng.permutation(TESTS) for _ in range(TABLES)]
 
 
-def keys(bits: np.ndarray) -> np.ndarray:
-    """TABLES x corners: the table's number and the bits of its tests."""
+def keys(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each TABLES x corners: the table's number and the bits of its key's tests; the bits of its sketch's."""
     each = np.unpackbits(bits, axis=1)
-    out = np.zeros((TABLES, len(bits)), np.int64)
-    for t, of in enumerate(_KEY):
+    out, sketch = np.zeros((2, TABLES, len(bits)), np.int64)
+    for t, of in enumerate(_ORDER):
         raw = np.zeros((len(bits), 8), np.uint8)
-        raw[:, : KEY_BITS // 8] = np.packbits(each[:, of], axis=1)
+        raw[:, : KEY_BITS // 8] = np.packbits(each[:, of[:KEY_BITS]], axis=1)
         out[t] = raw.view("<i8")[:, 0] + (t << KEY_BITS)
-    return out
+        sketch[t] = np.ascontiguousarray(np.packbits(each[:, of[KEY_BITS : KEY_BITS + SKETCH_BITS]], axis=1)).view("<i8")[:, 0]
+    return out, sketch
 
 
 def _entries(batches):
-    """(key, rep) for each corner and table."""
+    """(key, rep, sketch) for each corner and table."""
     for b in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
         ids = b.column(0).to_numpy()
         points = [np.frombuffer(x.as_buffer(), POINT) for x in b.column(1)]
         own = np.repeat(ids, [len(p) for p in points])
-        for k in keys(np.concatenate([p["bits"] for p in points])):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own)], names=["key", "rep"])
+        for k, w in zip(*keys(np.concatenate([p["bits"] for p in points])), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own), pa.array(w)], names=["key", "rep", "sketch"])
 
 
 def _star(batches):
@@ -291,6 +297,67 @@ def _star(batches):
         key, last, head, i = k[-1], r[-1], heads[-1], int(number[-1])
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches are close."""
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= NEAR_BITS
+
+
+def _close(batches):
+    """From entries sorted by key and rep, rows of two kinds: (key, a, b) for the first image a of a key and each other one close to it there; (key, a, null, sketch) for
+    those others that are close to one another, or are in an entry of more than BLOCK. Of a key that goes on in the next batch at most BLOCK rows are held."""
+
+    def row(key, a, b, sketch):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b, pa.int64()), pa.array(sketch)], names=["key", "a", "b", "sketch"])
+
+    def beyond(head, key, rep, sketch):
+        """Rows of an entry of more than BLOCK, whose first one is given."""
+        ok = _near(sketch, head[2]) & (rep != head[1])
+        yield row(key[ok], np.full(ok.sum(), head[1]), rep[ok], sketch[ok])
+        yield row(key, rep, np.full(len(key), None), sketch)
+
+    held = head = None
+    for batch in chain(batches, [None]):
+        cols = [c.to_numpy() for c in batch.columns] if batch else [np.zeros(0, np.int64)] * 3
+        if held:
+            cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+        held = None
+        if head and len(cols[0]):
+            of = np.searchsorted(cols[0], head[0], "right")
+            yield from beyond(head, *(c[:of] for c in cols))
+            cols = [c[of:] for c in cols]
+            head = None if len(cols[0]) else head
+        if not len(cols[0]):
+            continue
+        end = np.searchsorted(cols[0], cols[0][-1]) if batch else len(cols[0])
+        held = [c[end:] for c in cols]
+        if len(held[0]) > BLOCK:
+            head = tuple(c[0] for c in held)
+            yield from beyond(head, *(c[1:] for c in held))
+            held = None
+        key, rep, sketch = (c[:end] for c in cols)
+        same = np.append(key[1:] == key[:-1], False)
+        some = np.flatnonzero(same | np.append(False, same)[: len(key)])  # rows that are not alone with their key
+        if not len(some):
+            continue
+        key, rep, sketch = key[some], rep[some], sketch[some]
+        star = next(_star([pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key)))], names=["key", "rep"])]))
+        first, at, number = (star.column(c).to_numpy() for c in (1, 2, 3))
+        ok = _near(sketch[first], sketch[at]) & (rep[first] != rep[at])
+        yield row(key[at[ok]], rep[first[ok]], rep[at[ok]], sketch[at[ok]])
+        size = np.bincount(first, minlength=len(key))[first]  # of the others
+        stay = np.zeros(len(key), bool)
+        stay[at[size >= BLOCK]] = True
+        few = size < BLOCK
+        at, number = at[few], number[few]
+        lag = 0
+        while len(at):
+            lag += 1
+            at, number = at[number > lag], number[number > lag]
+            two = at[_near(sketch[at], sketch[at - lag]) & (rep[at] != rep[at - lag])]
+            stay[two] = stay[two - lag] = True
+        yield row(key[stay], rep[stay], np.full(stay.sum(), None), sketch[stay])
+
+
 def _verify(batches):
     for batch in batches:
         a, b, pa_, pb = (batch.column(k) for k in range(4))
@@ -299,13 +366,13 @@ def _verify(batches):
 
 
 def _block_pairs(batches):
-    """Pairs (key, a, b) of different components, a < b, from runs of one (key, i, j)."""
+    """Close pairs (a, b) of different components, a < b, from runs of one (key, i, j)."""
     for t in runs(batches, 3):
-        side, comp, rep = (t[c].to_numpy() for c in ("side", "comp", "rep"))
+        side, comp, rep, sketch = (t[c].to_numpy() for c in ("side", "comp", "rep", "sketch"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        p, q = np.nonzero(comp[left][:, None] != comp[right][None])
+        p, q = np.nonzero((comp[left][:, None] != comp[right][None]) & _near(sketch[left][:, None], sketch[right][None]))
         a, b = rep[left[p]], rep[right[q]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t["key"][0].as_py())), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, points: DataFrame, name: str) -> DataFrame:
@@ -327,23 +394,20 @@ def copies(images: DataFrame, key: str = "media_id", column: str = "image") -> D
     classes = written(known.groupBy("hash").agg(F.min("id").alias("rep"), F.count("*").alias("n_class")), "media-classes")
     nodes = written(classes.groupBy("rep").agg(F.xxhash64(F.min("hash")).alias("of")), "media-nodes")
     points = known.where("n_points > 0").join(small(nodes), (F.col("id") == F.col("rep")) & (F.xxhash64("hash") == F.col("of"))).select("rep", "points")
-    entries = points.mapInArrow(_entries, "key long, rep long")
-    star = written(entries.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_star, "key long, head long, rep long, i long"), "media-star")
-    votes = star.groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("v"))
-    first = written(votes.where(F.col("v") >= MIN_SHARED).select("a", "b"), "media-first")
+    entries = points.mapInArrow(_entries, "key long, rep long, sketch long")
+    close = written(entries.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_close, "key long, a long, b long, sketch long"), "media-close")
+    first = written(close.where("b is not null").select("a", "b").distinct(), "media-first")
     near = _verified(first, points, "first")
     label = components(near, "media-first")
-    # entries of three images or more, of which some are still apart: all pairs with the first one were counted above
-    many = written(star.groupBy("key").agg(F.max("i").alias("last"), F.min("head").alias("head")).where("last > 1").select("key", "head"), "media-many")
-    members = star.select("key", "rep").join(small(many), "key").select("key", "head", "rep").unionByName(many.select("key", "head", F.col("head").alias("rep")))
-    leaves = written(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("comp"), "rep"), "media-leaves")
-    met = spread(cross_blocks(leaves, ["rep"], BLOCK), "key", "i", "j").mapInArrow(_block_pairs, "key long, a long, b long").distinct()
-    met = met.join(small(many), "key").where("a <> head").groupBy("a", "b").agg(F.count("*").alias("w"))
-    more = met.join(votes, ["a", "b"], "left").where(F.col("w") + F.coalesce("v", F.lit(0)) >= MIN_SHARED).select("a", "b").join(first, ["a", "b"], "left_anti")
+    # close ones of an entry that are still apart: all pairs with its first image were compared above
+    members = close.where("b is null").select("key", F.col("a").alias("rep"), "sketch").distinct()
+    leaves = written(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("comp"), "rep", "sketch"), "media-leaves")
+    met = spread(cross_blocks(leaves, ["rep", "sketch"], BLOCK), "key", "i", "j").mapInArrow(_block_pairs, "a long, b long").distinct()
+    more = met.join(first, ["a", "b"], "left_anti")
     more = _verified(written(more, "media-more"), points, "more")
     label = components(near.union(more), "media-all")
     final = written(classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("hash", "n_class", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")), "media-final")
-    forget(star, leaves, many, nodes)
+    forget(close, leaves, nodes)
     linked = known.select("id", "hash", "n_points").join(small(final), "hash").select(F.col("id").alias(key), "n_points", "class_id", "n_class", "component_id")
     lone = feats.where("id is null").select(F.col("id").alias(key), "n_points", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_class"), F.lit(None).cast("long").alias("component_id"))
     return linked.unionByName(lone)

@@ -71,3 +71,44 @@ def test_hostile_images(spark):
     assert got == sorted([(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 3), (None, None, 1, None), (4, 4, 1, 4), (7, 7, 3, 7), (7, 7, 3, 7), (7, 7, 1, 7), (8, 7, 3, 7), (None, None, 1, None)], key=str)
     assert M.copies(df.limit(0)).count() == 0
     assert M.media_from_embeddings(spark.createDataFrame([(None, None), (3, []), (13, [0.5, None])], "vec_id long, embedding array<float>")).count() == 5
+
+
+def close_by_hand(rows, block):
+    """What _close has to give, entry by entry."""
+    near = lambda x, y: (x ^ y).bit_count() <= M.NEAR_BITS
+    pairs, stay = set(), set()
+    for k in {r[0] for r in rows}:
+        of = [r for r in rows if r[0] == k]
+        pairs |= {(k, of[0][1], r) for _, r, w in of[1:] if r != of[0][1] and near(w, of[0][2])}
+        stay |= {(k, r, w) for i, (_, r, w) in enumerate(of[1:], 1) if len(of) > block or any(i != j and r != q and near(w, x) for j, (_, q, x) in enumerate(of[1:], 1))}
+    return pairs, stay
+
+
+def test_close_images_of_entries_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 5)]
+    size = [int(x) for x in rng.integers(1, 14, 40)]
+    rows = sorted((k, int(rng.integers(0, 30)), base[rng.integers(0, 5)] ^ int(rng.integers(0, 1 << 9))) for k, n in enumerate(size) for _ in range(n))
+    for block in (4, 512):
+        monkeypatch.setattr(M, "BLOCK", block)
+        for step in (1, 3, 7, 1000):
+            parts = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[s : s + step]], pa.int64()) for c in range(3)], names=["key", "rep", "sketch"]) for s in range(0, len(rows), step)]
+            got = [tuple(x.values()) for b in M._close(parts) for x in b.to_pylist()]
+            assert ({g[:3] for g in got if g[2] is not None}, {(g[0], g[1], g[3]) for g in got if g[2] is None}) == close_by_hand(rows, block), (block, step)
+
+
+def test_unlike_pictures_that_share_entries_make_few_rows():
+    """Five times the pictures: what is written for the blocks and the pairs stays near what their copies need."""
+    import pyarrow as pa
+
+    made = []
+    for n in (300, 1500):
+        vectors = np.random.default_rng(6).normal(0, 0.125, (n, 64)).tolist()
+        points = [np.frombuffer(x, M.POINT)["bits"] for x in M.describe([M.pgm(x) for x in M.rendered(vectors)])]
+        key, sketch = (x.ravel() for x in M.keys(np.concatenate(points)))
+        rep = np.tile(np.repeat(np.arange(n), [len(p) for p in points]), M.TABLES)
+        order = np.lexsort((rep, key))
+        made.append(sum(b.num_rows for b in M._close([pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (key, rep, sketch)], names=["key", "rep", "sketch"])])))
+    assert made[1] <= n // 5  # they are no copies; sharing an entry alone would give some thousands of rows
