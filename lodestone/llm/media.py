@@ -30,6 +30,8 @@ columns are ignored; an empty table gives no rows. Images of any size are read w
 from __future__ import annotations
 
 import re
+from functools import partial
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -242,6 +244,9 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     return most
 
 
+FEATURES = "id long, hash string, points binary, n_points long"
+
+
 def _features(batches):
     for b in batches:
         for lo in range(0, b.num_rows, 256):
@@ -389,7 +394,11 @@ def copies(images: DataFrame, key: str = "media_id", column: str = "image") -> D
     """One row per input row: the id, n_points, class_id (smallest id with the same bytes), n_class (rows of the class) and component_id (smallest id reachable over copies)."""
     rows = images.select(F.col(key).cast("long").alias("id"), F.col(column).alias("image"))
     rows = rows.withColumn("hash", F.sha2(F.coalesce("image", F.lit(b"").cast("binary")), 256))
-    feats = written(rows.select("id", "image", "hash").mapInArrow(_features, "id long, hash string, points binary, n_points long"), "media-points")
+    return _linked(rows.select("id", "image", "hash").mapInArrow(_features, FEATURES), key)
+
+
+def _linked(feats: DataFrame, key: str) -> DataFrame:
+    feats = written(feats, "media-points")
     known = feats.where("id is not null")
     classes = written(known.groupBy("hash").agg(F.min("id").alias("rep"), F.count("*").alias("n_class")), "media-classes")
     nodes = written(classes.groupBy("rep").agg(F.xxhash64(F.min("hash")).alias("of")), "media-nodes")
@@ -442,20 +451,31 @@ def edited(grey: np.ndarray, kind: int) -> np.ndarray:
     return resize(grey[None], 1.4)[0] * 0.9 + 20
 
 
+def _pictures(batches, every: int):
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            ids, out = [], []
+            keys, vectors = (b.column(k).slice(lo, 256).to_pylist() for k in range(2))
+            for v, x in zip(keys, rendered(vectors), strict=True):
+                ids.append(None if v is None else 2 * v)
+                out.append(pgm(x))
+                if v is not None and v % every == 3:
+                    ids.append(2 * v + 1)
+                    out.append(pgm(edited(x, v // every % 3)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["media_id", "image"])
+
+
+def _described(batches, every: int):
+    for b in _pictures(batches, every):
+        hashes = pa.array([sha256(x.as_buffer()).hexdigest() for x in b.column(1)])
+        yield from _features([pa.RecordBatch.from_arrays([*b.columns, hashes], names=["id", "image", "hash"])])
+
+
 def media_from_embeddings(embeddings: DataFrame, every: int = 10) -> DataFrame:
     """media_id, image: a picture of every vector (2 * vec_id), and of each vector whose vec_id is 3 modulo ``every`` an edited copy (2 * vec_id + 1)."""
+    return embeddings.select("vec_id", "embedding").mapInArrow(partial(_pictures, every=every), "media_id long, image binary")
+
 
-    def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                ids, out = [], []
-                keys, vectors = (b.column(k).slice(lo, 256).to_pylist() for k in range(2))
-                for v, x in zip(keys, rendered(vectors), strict=True):
-                    ids.append(None if v is None else 2 * v)
-                    out.append(pgm(x))
-                    if v is not None and v % every == 3:
-                        ids.append(2 * v + 1)
-                        out.append(pgm(edited(x, v // every % 3)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["media_id", "image"])
-
-    return embeddings.select("vec_id", "embedding").mapInArrow(run, "media_id long, image binary")
+def copies_of_embeddings(embeddings: DataFrame, every: int = 10) -> DataFrame:
+    """The copies of media_from_embeddings; a picture is described by the worker that makes it, so pictures are not sent from one to another."""
+    return _linked(embeddings.select("vec_id", "embedding").mapInArrow(partial(_described, every=every), FEATURES), "media_id")

@@ -36,7 +36,7 @@ def op1_quality_rules(spark, sf_dir):
 
 
 def op2_media_copies(spark, sf_dir):
-    return media.copies(media.media_from_embeddings(table(spark, sf_dir, "embeddings")))
+    return media.copies_of_embeddings(table(spark, sf_dir, "embeddings"))
 
 
 def op3_packed_tokens(spark, sf_dir):
